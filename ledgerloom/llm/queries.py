@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.near_dups import near_duplicates
+from ledgerloom.llm.token_files import read_token_files, write_token_files
+
+#: The folder of the public tokenizers' files.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,5 +20,10 @@ def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=(80, 100))
 
 
-QUERIES = {"op5_minhash_near_dups": op5_minhash_near_dups}
+def op10_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written to files of directly addressable codes and read from them."""
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0))
+
+
+QUERIES = {f.__name__: f for f in (op5_minhash_near_dups, op10_addressable_codes)}
 ORACLE: dict[str, str] = {}
