@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.llm.language import identify_language, language_prototypes
 from ledgerloom.llm.near_dups import near_duplicates
 from ledgerloom.llm.token_files import read_token_files, write_token_files
 
@@ -20,10 +22,22 @@ def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=(80, 100))
 
 
+def remainder(id_col: str, by: int) -> Column:
+    """crc32 of the id as text, modulo by; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % by
+
+
+def op9_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a third of the documents is held out of learning."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (remainder("doc_id", 3) == 1).alias("held_out"))
+    learned = language_prototypes(docs.where("not held_out"))
+    return identify_language(docs.select("doc_id", "text", "held_out"), learned).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to files of directly addressable codes and read from them."""
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0))
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_near_dups, op10_addressable_codes)}
+QUERIES = {f.__name__: f for f in (op5_minhash_near_dups, op9_hyperdimensional_language, op10_addressable_codes)}
 ORACLE: dict[str, str] = {}
