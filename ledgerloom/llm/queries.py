@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.language import identify_language, language_prototypes
 from ledgerloom.llm.near_dups import near_duplicates
 from ledgerloom.llm.token_files import read_token_files, write_token_files
+from ledgerloom.llm.warc import read_bundles, write_bundles
 
 #: The folder of the public tokenizers' files.
 TOKENIZERS = "/opt/tokenizers"
@@ -22,6 +23,22 @@ def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=(80, 100))
 
 
+def op6_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written to seekable bundles and read back by their index."""
+    back = read_bundles(write_bundles(table(spark, sf_dir, "pages")), payloads=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP6 = """
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select *, min(page_id) over (partition by payload_digest) as first_id from p)
+select page_id, payload_bytes, payload_digest,
+  case when payload_bytes < 100 or first_id is null or page_id is not distinct from first_id then 'response' else 'revisit' end as record_type,
+  case when payload_bytes < 100 or first_id is null or page_id is not distinct from first_id then null else first_id end as refers_to
+from f
+"""
+
+
 def remainder(id_col: str, by: int) -> Column:
     """crc32 of the id as text, modulo by; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % by
@@ -39,5 +56,5 @@ def op10_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0))
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_near_dups, op9_hyperdimensional_language, op10_addressable_codes)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_minhash_near_dups, op6_seekable_warc, op9_hyperdimensional_language, op10_addressable_codes)}
+ORACLE: dict[str, str] = {"op6_seekable_warc": OP6}
