@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.ann import nearest
 from ledgerloom.llm.language import identify_language, language_prototypes
 from ledgerloom.llm.near_dups import near_duplicates
 from ledgerloom.llm.token_files import read_token_files, write_token_files
@@ -39,6 +40,12 @@ from f
 """
 
 
+def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 nearest vectors of every vector whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def remainder(id_col: str, by: int) -> Column:
     """crc32 of the id as text, modulo by; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % by
@@ -56,5 +63,5 @@ def op10_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0))
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_near_dups, op6_seekable_warc, op9_hyperdimensional_language, op10_addressable_codes)}
+QUERIES = {f.__name__: f for f in (op5_minhash_near_dups, op6_seekable_warc, op8_additive_quantisation, op9_hyperdimensional_language, op10_addressable_codes)}
 ORACLE: dict[str, str] = {"op6_seekable_warc": OP6}
