@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.ann import nearest
 from ledgerloom.llm.language import identify_language, language_prototypes
 from ledgerloom.llm.near_dups import near_duplicates
+from ledgerloom.llm.sharding import balanced_shards
 from ledgerloom.llm.token_files import read_token_files, write_token_files
 from ledgerloom.llm.warc import read_bundles, write_bundles
 
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_balanced_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards, equal texts together as far as equal counts of rows allow."""
+    return balanced_shards(table(spark, sf_dir, "documents"), shards=24)
+
+
 def op5_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles are similar by 0.8 or more."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=(80, 100))
@@ -63,5 +69,5 @@ def op10_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0))
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_near_dups, op6_seekable_warc, op8_additive_quantisation, op9_hyperdimensional_language, op10_addressable_codes)}
+QUERIES = {f.__name__: f for f in (op4_balanced_propagation, op5_minhash_near_dups, op6_seekable_warc, op8_additive_quantisation, op9_hyperdimensional_language, op10_addressable_codes)}
 ORACLE: dict[str, str] = {"op6_seekable_warc": OP6}
