@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import sys
 import types
 import zlib
@@ -17,15 +16,19 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.dac import DacFile, encode
 from ledgerloom.llm.storage import file_system, new_path, written
-from ledgerloom.llm.words import text_chunks
+from ledgerloom.llm.words import U, hashes, mix, text_bytes, text_chunks
 
 #: Tokens after which a task begins another file; one longer document is a file of its own.
 FILE_TOKENS = 4 << 20
-#: Pieces of text whose ids a worker remembers, and the longest such piece.
-REMEMBERED, PIECE = 600_000, 48
-#: A piece begins at a single space between two characters that are no white space: byte-level BPE vocabularies of
-#: this kind never join what stands on both sides of it.
-_CUT = re.compile("(?<=[!-~¡-ᙿ])(?= [!-~¡-ᙿ])")
+#: Pieces of text whose ids a worker remembers, and how many are encoded at a time. A text whose words stand apart by
+#: single spaces and line ends is cut before each of these: byte-level BPE of this kind never joins what stands on both
+#: sides. Other texts are encoded as they are.
+REMEMBERED, AT_ONCE = 1_500_000, 400
+#: Bytes that end a piece, and other white space: its bytes, or the first two of its bytes.
+_CUT = np.zeros(256, bool)
+_CUT[[0x20, 0x0A]] = True
+_ODD = np.zeros(256, bool)
+_ODD[[0x09, 0x0B, 0x0C, 0x0D, 0x1C, 0x1D, 0x1E, 0x1F]] = True
 
 
 class Encoder:
@@ -37,8 +40,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self._forget()
         self.bytes_of = self._lengths()
+        self.line_end = len(self._plain(["\n"])[0]) // 4
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -66,32 +70,92 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces that begin with a space and end with none: encoded as one text and cut by their bytes."""
-        ids = np.frombuffer(self._plain(["".join(pieces)])[0], "<u4")
-        ends = np.cumsum([len(p.encode()) for p in pieces])
-        at = np.cumsum(self.bytes_of[ids])
-        cuts = np.searchsorted(at, ends) + 1
-        if len(at) == 0 or (at[np.minimum(cuts - 1, len(at) - 1)] != ends).any():  # a piece isn't a whole number of ids
-            return dict(zip(pieces, self._plain(pieces), strict=True))
-        begins = np.concatenate([[0], cuts[:-1]])
-        return {p: ids[b:e].tobytes() for p, b, e in zip(pieces, begins.tolist(), cuts.tolist(), strict=True)}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian uint32."""
+    def _learn(self, pieces: list[bytes], keys: list[int]) -> None:
+        """Remembers the ids of pieces, each with the space or line end before it: some are encoded as one text, which
+        is cut by their bytes."""
+        for k in range(0, len(pieces), AT_ONCE):
+            some = pieces[k : k + AT_ONCE]
+            ids = np.frombuffer(self._plain([b"".join(some).decode()])[0], "<u4")
+            ends = np.cumsum([len(p) for p in some])
+            at = np.cumsum(self.bytes_of[ids])
+            cuts = np.searchsorted(at, ends) + 1
+            if (at[np.minimum(cuts - 1, len(at) - 1)] != ends).any():  # a piece isn't a whole number of ids
+                each = [np.frombuffer(x, "<u4") for x in self._plain([p.decode() for p in some])]
+                ids, cuts = np.concatenate(each), np.cumsum([len(x) for x in each])
+            n, used = len(some), self.used
+            while used + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            while len(self.known) + n > len(self.at):
+                self.at, self.n = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.n, np.zeros_like(self.n)])
+            self.ids[used : used + len(ids)] = ids
+            first = len(self.known)
+            begins = np.concatenate([[0], cuts[:-1]])
+            self.at[first : first + n], self.n[first : first + n] = used + begins, cuts - begins
+            self.known.update(zip(keys[k : k + AT_ONCE], range(first, first + n), strict=True))
+            self.used = used + len(ids)
+
+    def _forget(self) -> None:
+        """known: a piece's hash to its number; at and n: where its ids are in ids, and how many."""
+        self.known: dict[int, int] = {}
+        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.at, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """For each text its ids as little-endian uint32; a null is empty."""
         if self.bytes_of is None:
-            return self._plain(texts)
-        cut = [_CUT.split(t) for t in texts]
+            return self._plain([t or "" for t in texts.to_pylist()])
+        import pandas as pd
+
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = {p for pieces in cut for p in pieces if p not in self.known}
-        inner = [p for p in new if len(p) <= PIECE and p[:1] == " " and not p[-1].isspace() and p.isprintable()]
-        rest = list(new.difference(inner))
-        found = self._learn(inner) if inner else {}
-        found |= zip(rest, self._plain(rest), strict=True)
-        self.known.update((p, found[p]) for p in inner)
-        get = lambda p, known=self.known: known[p] if p in known else found[p]
-        return [b"".join(map(get, pieces)) for pieces in cut]
+            self._forget()
+        data, bounds = text_bytes(texts)
+        full = np.flatnonzero(np.diff(bounds) > 0)
+        out = [b""] * len(texts)
+        if not len(full):
+            return out
+        cut, firsts = _CUT[data], np.zeros(len(data) + 1, bool)
+        firsts[bounds[full]] = True
+        after = np.append(data[1:], np.uint8(0))
+        odd = _ODD[data] | (cut & (firsts[:-1] | firsts[1:])) | (cut & np.append(cut[1:], True))
+        odd |= ((data == 0xC2) & ((after == 0x85) | (after == 0xA0))) | ((data == 0xE1) & (after == 0x9A)) | ((data == 0xE3) & (after == 0x80))
+        for i in np.flatnonzero((data == 0xE2) & ((after == 0x80) | (after == 0x81))):
+            odd[i] = data[i : i + 3].tobytes().decode().isspace()
+        plain = np.ones(len(texts), bool)
+        plain[np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1] = False
+        other = [i for i in full.tolist() if not plain[i]]
+        for i, ids in zip(other, self._plain([texts[i].as_py() for i in other]), strict=True):
+            out[i] = ids
+        full = full[plain[full]]
+        if not len(full):
+            return out
+        # a text's first piece counts as one after a line end
+        start = cut | firsts[:-1]
+        begin = np.flatnonzero(start)
+        end = np.append(begin[1:], len(data))
+        of = np.searchsorted(bounds, begin, "right") - 1
+        keep = plain[of]
+        begin, end, of = begin[keep], end[keep], of[keep]
+        first = firsts[begin]
+        line = first | (data[begin] == 0x0A)
+        inner = begin + ~first
+        code, distinct = pd.factorize(mix(hashes(data, inner, end) + line.astype(U)))
+        number = np.array([self.known.get(h, -1) for h in distinct.tolist()], np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            where = np.zeros(len(distinct), np.int64)
+            where[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+            raw = data.tobytes()
+            known = len(self.known)
+            self._learn([(b"\n" if g else b" ") + raw[b:e] for g, b, e in zip(line[where[new]].tolist(), inner[where[new]].tolist(), end[where[new]].tolist(), strict=True)], distinct[new].tolist())
+            number[new] = np.arange(known, known + len(new))
+        at, n = self.at[number][code], self.n[number][code]
+        at, n = at + first * self.line_end, n - first * self.line_end
+        stop = np.cumsum(n)
+        ids = self.ids[np.repeat(at - (stop - n), n) + np.arange(stop[-1])].astype("<u4").tobytes()
+        cuts = np.concatenate([[0], stop])[np.searchsorted(of, [*full.tolist(), len(texts)])] * 4
+        for i, b, e in zip(full.tolist(), cuts.tolist(), cuts[1:].tolist(), strict=False):
+            out[i] = ids[b:e]
+        return out
 
 
 def _writes(path: str, folder: str, end_id: int):
@@ -116,8 +180,8 @@ def _writes(path: str, folder: str, end_id: int):
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [f"{folder}/{name}"], "documents": [len(doc_ids)], "tokens": [int(starts[-1])]})
 
         for batch in batches:
-            for chunk in text_chunks(batch, "text", 2 << 20):
-                coded = encoder.encode([t or "" for t in chunk.column("text").to_pylist()])
+            for chunk in text_chunks(batch, "text", 8 << 20):
+                coded = encoder.encode(chunk.column("text"))
                 for d, x in zip(chunk.column("doc_id").to_pylist(), coded, strict=True):
                     if doc_ids and tokens + len(x) // 4 + 1 > FILE_TOKENS:
                         yield flush()
@@ -163,4 +227,5 @@ def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document, read from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    return manifest.select("file", "start").repartition(F.col("file")).mapInArrow(_reads, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return manifest.select("file", "start").repartition(tasks, "file").mapInArrow(_reads, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -84,30 +84,37 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        length = self.end - self.begin
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        lane = lambda at, left: np.ascontiguousarray(eight[at]).view("<u8").ravel() & _MASK[np.minimum(left, 8)]
-        out = mix(lane(self.begin, length) + U(0x9E3779B97F4A7C15) * (length.astype(U) + U(1))) if len(length) else np.zeros(0, U)
-        long = np.flatnonzero(length > 8)
-        far = long[length[long] > _LONG]
-        long, k = long[length[long] <= _LONG], 8
-        while len(long):
-            out[long] = mix(out[long] * U(0xD6E8FEB86659FD93) + lane(self.begin[long] + k, length[long] - k))
-            k += 8
-            long = long[length[long] > k]
-        for i in far.tolist():
-            out[i] = int.from_bytes(hashlib.blake2b(self.data[self.begin[i] : self.end[i]].tobytes(), digest_size=8).digest(), "little")
-        return out
+        return hashes(self.data, self.begin, self.end)
+
+
+def hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span."""
+    length = end - begin
+    if not len(length):
+        return np.zeros(0, U)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    lane = lambda at, left: np.ascontiguousarray(eight[at]).view("<u8").ravel() & _MASK[np.minimum(left, 8)]
+    out = mix(lane(begin, length) + U(0x9E3779B97F4A7C15) * (length.astype(U) + U(1)))
+    long = np.flatnonzero(length > 8)
+    far = long[length[long] > _LONG]
+    long, k = long[length[long] <= _LONG], 8
+    while len(long):
+        out[long] = mix(out[long] * U(0xD6E8FEB86659FD93) + lane(begin[long] + k, length[long] - k))
+        k += 8
+        long = long[length[long] > k]
+    for i in far.tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[begin[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def shingles(words: Words, size: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of its runs of that many words; with fewer words, of the whole sequence."""
-    hashes, out = words.hashes(), []
-    n = len(hashes)
+    each, out = words.hashes(), []
+    n = len(each)
     rolled = np.zeros(max(0, n - size + 1), U)
     for k in range(size):
-        rolled = rolled * U(0x9FB21C651E98DF25) + hashes[k : k + len(rolled)]
+        rolled = rolled * U(0x9FB21C651E98DF25) + each[k : k + len(rolled)]
     rolled = mix(rolled)
     bounds = words.bounds.tolist()
     for b, e in zip(bounds, bounds[1:], strict=False):
@@ -116,7 +123,7 @@ def shingles(words: Words, size: int) -> list[np.ndarray]:
         elif e > b:
             whole = U(e - b)
             with np.errstate(over="ignore"):
-                for h in hashes[b:e]:
+                for h in each[b:e]:
                     whole = whole * U(0x9FB21C651E98DF25) + h
             out.append(mix(np.array([whole ^ U(0x5851F42D4C957F2D)], U)))
         else:
