@@ -1,11 +1,63 @@
 """From raw documents to token files, in five stages."""
 
-STAGES = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm.decontaminate import decontaminated
+from ledgerloom.llm.language import UNKNOWN, identify_language, language_prototypes
+from ledgerloom.llm.mixing import mix_sources
+from ledgerloom.llm.near_dups import near_duplicates
+from ledgerloom.llm.queries import TOKENIZERS, WEIGHTS
+from ledgerloom.llm.storage import written
+from ledgerloom.llm.token_files import read_token_files, write_token_files
+
+#: A text whose cosine with every language is below this is no text in any of them. Single words of a learned language
+#: are at 0.1 and above, pages of it near 1.
+LEAST_COSINE = 0.05
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents without a letter, and those that are like no language learned from the labelled ones."""
+    known = identify_language(docs.withColumnsRenamed({"score": "its_score", "lang_pred": "its_pred"}), language_prototypes(docs))
+    kept = known.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_COSINE)).drop("lang_pred", "score")
+    return kept.withColumnsRenamed({"its_score": "score", "its_pred": "lang_pred"}).select(docs.columns)
+
+
+def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates, by 5-word shingles, stays: that with the smallest id.
+
+    Of rows that repeat an id and a text one stays; rows with a null id all stay."""
+    kept = near_duplicates(docs, words=5, similarity=(80, 100)).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.union(docs.where("doc_id is null")).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents that hold a passage of a benchmark item."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replicates documents so that sources have their target weights, in shuffled order."""
+    return mix_sources(docs, WEIGHTS, default=1.0, seed="mix").select(docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Writes files of token ids in directly addressable codes; per document what is read back from them."""
+    return read_token_files(write_token_files(docs, f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0))
+
+
+STAGES = [("language", language), ("near_dups", near_dups), ("decontaminate", decontaminate), ("mixture", mixture), ("token_files", token_files)]
+
+#: Components, prototypes and token files aren't expressible in SQL; tests/llm/test_pipeline.py has brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written as a table and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
