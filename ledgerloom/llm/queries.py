@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.ann import nearest
 from ledgerloom.llm.decontaminate import contaminations
 from ledgerloom.llm.language import identify_language, language_prototypes
+from ledgerloom.llm.lm import score_documents
 from ledgerloom.llm.mixing import mix_sources
 from ledgerloom.llm.near_dups import near_duplicates
 from ledgerloom.llm.sharding import balanced_shards
@@ -133,6 +134,11 @@ from f
 """
 
 
+def op7_gated_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by a gated recurrent model; a seventh of the documents is held out."""
+    return score_documents(table(spark, sf_dir, "documents"), remainder("doc_id", 7) == 2)
+
+
 def op8_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 nearest vectors of every vector whose id is divisible by 50."""
     vectors = table(spark, sf_dir, "embeddings")
@@ -156,5 +162,5 @@ def op10_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0))
 
 
-QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_temporal_url_filter, op3_poisson_mixture, op4_balanced_propagation, op5_minhash_near_dups, op6_seekable_warc, op8_additive_quantisation, op9_hyperdimensional_language, op10_addressable_codes)}
+QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_temporal_url_filter, op3_poisson_mixture, op4_balanced_propagation, op5_minhash_near_dups, op6_seekable_warc, op7_gated_recurrent_lm, op8_additive_quantisation, op9_hyperdimensional_language, op10_addressable_codes)}
 ORACLE: dict[str, str] = {"op2_temporal_url_filter": OP2, "op3_poisson_mixture": OP3, "op6_seekable_warc": OP6}
