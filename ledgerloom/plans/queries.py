@@ -1,4 +1,743 @@
-"""Named queries over the driver tables, with the same in SQL."""
+"""Named queries over the driver tables, one for each operator, with the same in DuckDB's SQL where SQL can say it."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from datetime import datetime, timedelta, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import amount as A
+from ledgerloom.operators import evidence as ev
+from ledgerloom.operators import extract, heuristics, history, ingest, labels, preprocess, registry, reorg
+from ledgerloom.operators import replay as rp
+from ledgerloom.operators import tx as T
+from ledgerloom.plans import api
+from ledgerloom.sources import derived, wire
+from ledgerloom.sources.derived import WITH
+from ledgerloom.sources.storage import written
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+AT = datetime(2024, 3, 1, tzinfo=timezone.utc)
+DUST = "3000000"
+PARAMS = preprocess.Params(dust_threshold=DUST, equal_output_min=1, collab_input_min=2, collab_output_min=2)
+
+
+def query(sql: str | None = None, ctes: str = ""):
+    """Registers a query under its function's name; sql, after the derived tables and ctes, says the same."""
+
+    def of(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = f"{WITH}{ctes}\n{sql}"
+        return f
+
+    return of
+
+
+def deltas(spark: SparkSession, d: str) -> DataFrame:
+    return derived.balance_delta(spark, d)
+
+
+# --- what later queries share -------------------------------------------------------------------------------------
+
+SPENT = """, members as (select distinct chain_id, txid, address from balance_delta),
+spent as (select chain_id, txid, address, min(pos) as pos from balance_delta where amount < 0 group by all),
+received as (select * from balance_delta where amount > 0),
+head as (select chain_id, txid, min(pos) as tx_pos, arg_min(block_height, pos) as block_height, arg_min(block_hash, pos) as block_hash from balance_delta group by all)"""
+
+HUBS = SPENT + """, degree as (
+  select a.chain_id, a.address, count(distinct b.address) as degree from members a join members b on a.chain_id = b.chain_id and a.txid = b.txid and a.address <> b.address group by all),
+hub_label as (
+  select chain_id, target_address as address, arg_min(category, label_id) as hub_type from label
+  where status = 'active' and target_type = 'address' and category in ('exchange', 'mixer', 'bridge') group by all),
+scored as (
+  select m.chain_id, m.address, h.hub_type, least(coalesce(d.degree, 0) / 50.0::double, 1.0::double) as score
+  from (select distinct chain_id, address from members) m left join hub_label h using (chain_id, address) left join degree d using (chain_id, address)),
+hub as (
+  select chain_id, address, coalesce(hub_type, 'unknown') as hub_type, case when hub_type is not null then 0.99::double else score end as hub_confidence
+  from scored where hub_type is not null or score >= 0.5)"""
+
+EXCLUDED = HUBS + f""", equal_group as (select chain_id, txid, max(n) as equal from (select chain_id, txid, amount, count(*) as n from received group by all) group by all),
+coinjoin as (
+  select chain_id, txid from equal_group join (select chain_id, txid, count(*) as inputs from spent group by all) using (chain_id, txid) join (select chain_id, txid, count(*) as outputs from received group by all) using (chain_id, txid)
+  where equal >= 1 and inputs >= 2 and outputs >= 2),
+dust as (select distinct chain_id, address from balance_delta where amount > 0 and amount <= {DUST}),
+dust_only as (select s.chain_id, s.txid from spent s left join dust using (chain_id, address) group by all having bool_and(dust.address is not null)),
+excluded as (
+  select chain_id, txid, 'dust-only' as reason from dust_only union all
+  select chain_id, txid, 'coinjoin' from coinjoin where (chain_id, txid) not in (select chain_id, txid from dust_only))"""
+
+#: coinjoin takes away too much here for what follows; only dust excludes.
+COMMON = EXCLUDED + """, clean as (
+  select s.*, row_number() over (partition by s.chain_id, s.txid order by s.pos) - 1 as rank from spent s
+  where (chain_id, address) not in (select chain_id, address from hub) and (chain_id, txid) not in (select chain_id, txid from dust_only)),
+common_input as (
+  select c.chain_id, f.address as address_a, c.address as address_b, 'common-input' as heuristic_key, c.txid as source_txid, h.block_hash as source_block_hash, h.block_height as source_block_height,
+    0.95::double as confidence, 0 as engine_ord, h.tx_pos, c.rank as k1, 0::bigint as k2
+  from clean c join clean f on f.chain_id = c.chain_id and f.txid = c.txid and f.rank = 0 join head h on h.chain_id = c.chain_id and h.txid = c.txid where c.rank > 0),
+first_spender as (select chain_id, txid, arg_min(address, pos) as anchor from spent group by all),
+funding as (
+  select f.chain_id, f.anchor as address_a, r.address as address_b, 'funding' as heuristic_key, f.txid as source_txid, h.block_hash as source_block_hash, h.block_height as source_block_height,
+    0.6::double as confidence, 3 as engine_ord, h.tx_pos, r.pos as k1, 0::bigint as k2
+  from first_spender f join received r using (chain_id, txid) join head h using (chain_id, txid) join address a on a.chain_id = r.chain_id and a.address = r.address
+  where r.meta is null and r.address <> f.anchor and a.first_seen_height = h.block_height and (f.chain_id, f.anchor) not in (select chain_id, address from hub))"""
+
+EVIDENCE = COMMON + """, candidate as (select * from common_input union all select * from funding),
+accepted as (
+  select * from candidate where address_a <> address_b and (chain_id, address_a) not in (select chain_id, address from hub) and (chain_id, address_b) not in (select chain_id, address from hub)),
+evidence as (
+  select *, row_number() over (order by engine_ord, tx_pos, k1, k2, address_a, address_b) as op_id,
+    case when source_block_height % 7 = 0 then 'invalidated' else 'active' end as status, case when source_block_height % 7 = 0 then 'reorg' end as invalidated_reason from accepted),
+usable as (select * from evidence where status = 'active'),
+by_source as (
+  select chain_id, least(address_a, address_b) as a, greatest(address_a, address_b) as b, source_txid, max(confidence) as c, min(op_id) as first from usable group by all),
+pair as (select chain_id, a, b, 1 - product(1 - c) as confidence, min(first) as first_order from by_source group by all),
+sym as (select chain_id, a as x, b as y from pair union select chain_id, b, a from pair),
+reach as (select chain_id, x, y from sym union select r.chain_id, r.x, s.y from reach r join sym s on s.chain_id = r.chain_id and s.x = r.y),
+seen as (select chain_id, address, min(o) as seen from (select chain_id, address_a as address, 2 * op_id as o from usable union all select chain_id, address_b, 2 * op_id + 1 from usable) group by all),
+comp as (select chain_id, x as address, min(y) as component, count(*) as size from reach group by all),
+anchor as (select c.chain_id, c.component, arg_min(c.address, s.seen) as anchor from comp c join seen s using (chain_id, address) group by all),
+member as (select c.chain_id, c.address, substring(sha256(a.anchor), 1, 32) as cluster_id, a.anchor as anchor_address, c.size from comp c join anchor a using (chain_id, component))"""
+
+
+def hubs(spark: SparkSession, d: str) -> DataFrame:
+    all_ = deltas(spark, d)
+    return preprocess.mark_hubs(all_, all_, derived.label(spark, d), PARAMS)
+
+
+def registry_of(spark: SparkSession, d: str) -> DataFrame:
+    """The registry with hub flags, written once for what reads it several times."""
+    h = hubs(spark, d).select("chain_id", "address", "hub_type", F.col("hub_confidence").alias("c"), F.lit(True).alias("h"))
+    out = derived.address(spark, d).join(h, ["chain_id", "address"], "left")
+    return written(out.select("chain_id", "address", "first_seen_height", "last_seen_height", F.coalesce("h", F.lit(False)).alias("is_hub"), "hub_type", F.round("c", 3).cast("decimal(4,3)").alias("hub_confidence"), F.lit(False).alias("dust_flag")), "registry")
+
+
+def context(spark: SparkSession, d: str, **config) -> heuristics.Context:
+    all_ = deltas(spark, d)
+    _, dust_only = preprocess.mark_dust(all_, spark.createDataFrame([], "chain_id string, address string"), PARAMS)
+    return heuristics.Context(all_, registry_of(spark, d), dust_only, derived.sweep_target(spark, d), config)
+
+
+def candidates_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c = context(spark, d)
+    found = heuristics.common_input(c.history, c).unionByName(heuristics.funding(c.history, c))
+    return found, c.addresses
+
+
+def evidence_of(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence of common inputs and funding; that of every seventh height's blocks is rolled back."""
+    found, addresses = candidates_of(spark, d)
+    accepted, _ = ev.record(found, addresses)
+    rows = written(ev.appended(ev.numbered(accepted), AT), "evidence")
+    gone = rows.where("source_block_height % 7 = 0").select("chain_id", F.col("source_block_hash").alias("block_hash"))
+    events, _ = reorg.on_reorg(rows, gone, AT)
+    return ev.folded(rows, events)
+
+
+CANDIDATE = ["chain_id", "address_a", "address_b", "heuristic_key", "source_txid", "source_block_hash", "source_block_height", "confidence", "engine_ord", "tx_pos", "k1", "k2"]
+CANDIDATE_SQL = ", ".join(CANDIDATE)
+
+# --- transactions -------------------------------------------------------------------------------------------------
+
+
+@query("select chain_id, txid, address, pos from spent", SPENT)
+def f1_spent_addresses(spark, d):
+    return T.spent_addresses(deltas(spark, d))
+
+
+@query("select chain_id, txid, address, amount, pos from balance_delta where amount > 0")
+def f2_received_entries(spark, d):
+    return T.received_entries(deltas(spark, d)).select("chain_id", "txid", "address", F.col("amount").cast("long").alias("amount"), "pos")
+
+
+@query("select chain_id, txid, address, min(pos) as pos from balance_delta group by all")
+def f3_tx_addresses(spark, d):
+    return T.tx_addresses(deltas(spark, d))
+
+
+@query("select distinct chain_id, address from balance_delta")
+def f4_batch_addresses(spark, d):
+    return T.batch_addresses(deltas(spark, d))
+
+
+@query("select address, min(pos) as pos from balance_delta group by address")
+def f5_distinct_in_order(spark, d):
+    return T.distinct_in_order(deltas(spark, d), ["address"], "pos")
+
+
+@query(f"select distinct chain_id, address from balance_delta where amount > 0 and amount <= {DUST}")
+def f6_dust_inflows(spark, d):
+    return T.dust_inflows(deltas(spark, d), DUST)
+
+
+@query("select a.chain_id, a.address, h.address is not null as is_hub from address a left join hub h using (chain_id, address)", HUBS)
+def f7_is_hub(spark, d):
+    return registry_of(spark, d).select("chain_id", "address", "is_hub")
+
+
+@query("select b.chain_id, b.txid, b.address, coalesce(a.first_seen_height = h.block_height, false) as is_new from (select distinct chain_id, txid, address from balance_delta) b left join address a using (chain_id, address) join head h using (chain_id, txid)", SPENT)
+def f8_new_addresses(spark, d):
+    all_ = deltas(spark, d)
+    rows = all_.select(*T.TX, "address").distinct().join(derived.address(spark, d), ["chain_id", "address"], "left").join(T.tx_heads(all_), T.TX)
+    return rows.select(*T.TX, "address", F.coalesce(F.col("first_seen_height") == F.col("block_height"), F.lit(False)).alias("is_new"))
+
+
+@query("select chain_id, txid, delta_index, meta is not null as creation from balance_delta")
+def f9_contract_creation(spark, d):
+    return deltas(spark, d).select(*T.TX, "delta_index", T.is_contract_creation(F.col("meta")).alias("creation"))
+
+
+@query("select chain_id, txid, delta_index, amount % 1000 = 0 as is_round from balance_delta")
+def f10_round_amounts(spark, d):
+    return deltas(spark, d).select(*T.TX, "delta_index", A.is_round(F.col("amount")).alias("is_round"))
+
+
+@query("select chain_id, address, hub_type from hub_label", HUBS)
+def f11_hub_labels(spark, d):
+    return preprocess.hub_labels(derived.label(spark, d))
+
+
+@query("select chain_id, op_id, address_a, address_b from usable where confidence >= 0.9", EVIDENCE)
+def f12_threshold_evidence(spark, d):
+    return rp.usable(evidence_of(spark, d), 0.9).select("chain_id", "op_id", "address_a", "address_b")
+
+
+@query("select count(*) as active, sum((address_a = address_b)::int)::bigint as loops from usable", EVIDENCE)
+def f13_active_without_loops(spark, d):
+    return rp.usable(evidence_of(spark, d)).agg(F.count("*").alias("active"), F.sum((F.col("address_a") == F.col("address_b")).cast("long")).alias("loops"))
+
+
+@query("select distinct chain_id, least(a.address, b.address) as a, greatest(a.address, b.address) as b from members a join members b using (chain_id, txid) where a.address <> b.address", SPENT)
+def f16_normalised_pairs(spark, d):
+    return history.shared_transactions(deltas(spark, d)).select("chain_id", "a", "b")
+
+
+@query("select chain_id, txid, tx_pos, block_height, block_hash, (select count(*) from balance_delta b where b.chain_id = head.chain_id and b.txid = head.txid) as n from head", SPENT)
+def a1_tx_groups(spark, d):
+    return T.tx_groups(deltas(spark, d)).select(*T.TX, "tx_pos", "block_height", "block_hash", F.size("deltas").cast("long").alias("n"))
+
+
+# --- extraction and the wire --------------------------------------------------------------------------------------
+
+EXTRACTED = """, ok as (select * from raw_tx where status <> 0),
+rows as (
+  select *, 0 as o, lower("from") as address, '-' || value as amount, 'native' as kind, null as meta from ok where value <> 0
+  union all select *, 1, lower("to"), value::varchar, 'native', null from ok where "to" is not null and value <> 0
+  union all select *, 1, lower(contract_address), value::varchar, 'native', '{"contract_creation":true}' from ok where "to" is null and contract_address is not null
+  union all select *, 2, '0x' || lpad(lower(to_hex(o_custkey)), 40, '0'), '-' || (k * 3 % 1000), 'token', '{"token_contract":"0xtok' || (k % 7) || '"}' from ok where k % 3 in (0, 1)
+  union all select *, 3, '0x' || lpad(lower(to_hex(k % 997)), 40, '0'), (k * 3 % 1000)::varchar, 'token', '{"token_contract":"0xtok' || (k % 7) || '"}' from ok where k % 3 in (0, 1))"""
+
+
+@query("select chain_id, tx_hash as txid, cast(row_number() over (partition by tx_hash order by o) - 1 as integer) as delta_index, address, amount, kind, block_height, sha256(block_height::varchar) as block_hash, meta from rows", EXTRACTED)
+def x1_account_deltas(spark, d):
+    return extract.account_deltas(derived.raw_tx(spark, d), derived.receipt(spark, d)).drop("tx_index")
+
+
+@query("select chain_id, tx_hash as txid, lower(contract_address) as contract, value::varchar as amount from ok where \"to\" is null and contract_address is not null", EXTRACTED)
+def x3_deployments(spark, d):
+    rows = extract.account_deltas(derived.raw_tx(spark, d), derived.receipt(spark, d)).where(T.is_contract_creation(F.col("meta")))
+    return rows.select("chain_id", "txid", F.col("address").alias("contract"), "amount")
+
+
+@query("select o_orderkey as k, (o_orderkey::hugeint * 1000000007)::varchar as v from orders")
+def c3_uint256(spark, d):
+    k = F.col("o_orderkey")
+    return derived.table(spark, d, "orders").select(k.alias("k"), extract.uint256(F.concat(F.lit("0x"), F.hex(k * 1_000_000_007))).alias("v"))
+
+
+@query("select 'tpch' as chain_id, 'o' || l_orderkey as txid, l_linenumber::integer as delta_index, case when l_linenumber > 3 then 'unparsed:o' || l_orderkey || ':' || l_linenumber else 's' || l_suppkey end as address, cast(cents as varchar) as amount from lines where side = 1 and l_linenumber > 0")
+def x8_utxo_outputs(spark, d):
+    lines = derived.table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity >= 40")
+    vout = lines.select(F.lit("tpch").alias("chain_id"), F.concat(F.lit("o"), "l_orderkey").alias("txid"), F.col("l_linenumber").alias("n"), F.when(F.col("l_linenumber") <= 3, F.concat(F.lit("s"), "l_suppkey")).alias("address"), F.round(F.col("l_extendedprice") * 100).cast("long").cast("string").alias("amount"), F.lit(1).cast("long").alias("block_height"), F.lit("h").alias("block_hash"))
+    vin = spark.createDataFrame([], "chain_id string, txid string, n int, prev_txid string, prev_n int")
+    return extract.utxo_deltas(vin, vout).select("chain_id", "txid", "delta_index", "address", "amount")
+
+
+@query("select chain_id, txid, delta_index, address, amount::varchar as amount, block_height, block_hash, meta from balance_delta")
+def x10_wire_round_trip(spark, d):
+    messages = wire.delta_messages(deltas(spark, d)).withColumn("offset", F.monotonically_increasing_id())
+    return wire.deltas_of(wire.decoded(messages)).select("chain_id", "txid", "delta_index", "address", "amount", "block_height", "block_hash", "meta")
+
+
+@query("select case when event_id % 4 = 1 then 'amount is no string' when event_id % 4 = 2 then 'amount is no integer' else 'unknown type' end as error, count(*) as n from events where event_id % 4 > 0 group by all")
+def x10_poison_messages(spark, d):
+    e = F.col("event_id")
+    text = F.concat(F.lit('{"type":"'), F.when(e % 4 == 3, "other").otherwise("balance_delta"), F.lit('","chain_id":"c","txid":"t","delta_index":'), e, F.lit(',"amount":'), F.when(e % 4 == 1, e.cast("string")).when(e % 4 == 2, F.lit('"1.5"')).otherwise(F.lit('"-7"')), F.lit("}"))
+    messages = derived.table(spark, d, "events").select(text.alias("value"), F.lit("c").alias("key"), e.alias("offset"))
+    return wire.poison(wire.decoded(messages)).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("select chain_id as key, '{\"type\":\"reorg\",\"chain_id\":\"tpch\",\"rolled_back_block_hashes\":[' || string_agg('\"' || hash || '\"', ',' order by height desc) || ']}' as value from block where height % 40 = 0 group by chain_id")
+def k2_reorg_messages(spark, d):
+    return wire.reorg_messages(derived.block(spark, d).where("height % 40 = 0"))
+
+
+# --- ingest and upserts -------------------------------------------------------------------------------------------
+
+
+@query("select chain_id, txid, delta_index, address from balance_delta where block_height % 2 = 1")
+def k3_idempotent_ingest(spark, d):
+    """A batch that comes twice, half of which is stored."""
+    all_ = deltas(spark, d)
+    return ingest.new_deltas(all_.unionByName(all_), all_.where("block_height % 2 = 0")).select("chain_id", "txid", "delta_index", "address")
+
+
+@query("select (select count(*) from balance_delta where block_height % 2 = 1) as inserted, (select count(*) from balance_delta where block_height % 2 = 0) as skipped")
+def a19_ingest_counts(spark, d):
+    all_ = deltas(spark, d)
+    return ingest.ingest_counts(all_, ingest.new_deltas(all_, all_.where("block_height % 2 = 0")))
+
+
+OLD_NEW = """, old as (select chain_id, address, min(block_height) as f, max(block_height) as l from balance_delta where block_height < 2200 group by all),
+new as (select chain_id, address, max(block_height) as h from balance_delta where block_height >= 2200 group by all)"""
+
+
+@query("select chain_id, address, coalesce(f, h) as first_seen_height, greatest(coalesce(l, h), coalesce(h, l)) as last_seen_height from old full join new using (chain_id, address)", OLD_NEW)
+def k4_upserted_addresses(spark, d):
+    all_ = deltas(spark, d)
+    old = all_.where("block_height < 2200").groupBy("chain_id", "address").agg(F.min("block_height").alias("first_seen_height"), F.max("block_height").alias("last_seen_height"))
+    old = old.select("*", F.lit(False).alias("is_hub"), F.lit(None).cast("string").alias("hub_type"), F.lit(None).cast("decimal(4,3)").alias("hub_confidence"), F.lit(False).alias("dust_flag"))
+    return ingest.upserted_addresses(old, all_.where("block_height >= 2200")).select("chain_id", "address", "first_seen_height", "last_seen_height")
+
+
+@query("select a.chain_id, a.address, h.address is not null as is_hub, h.hub_type, cast(round(h.hub_confidence, 3) as decimal(4,3)) as hub_confidence from address a left join hub h using (chain_id, address)", HUBS)
+def k6_hub_flags(spark, d):
+    base = derived.address(spark, d).select("*", F.lit(False).alias("is_hub"), F.lit(None).cast("string").alias("hub_type"), F.lit(None).cast("decimal(4,3)").alias("hub_confidence"), F.lit(False).alias("dust_flag"))
+    return ingest.with_hubs(base, hubs(spark, d)).select("chain_id", "address", "is_hub", "hub_type", "hub_confidence")
+
+
+@query("select a.chain_id, a.address, d.address is not null as dust_flag from address a left join dust d using (chain_id, address)", EXCLUDED)
+def k7_dust_flags(spark, d):
+    base = derived.address(spark, d).select("*", F.lit(False).alias("dust_flag"))
+    return ingest.with_dust(base, T.dust_inflows(deltas(spark, d), DUST)).select("chain_id", "address", "dust_flag")
+
+
+@query("select chain_id, txid, reason from excluded", EXCLUDED)
+def k8_excluded_transactions(spark, d):
+    all_ = deltas(spark, d)
+    _, dust = preprocess.mark_dust(all_, spark.createDataFrame([], "chain_id string, address string"), PARAMS)
+    none = spark.createDataFrame([], "chain_id string, txid string, reason string, detector_confidence decimal(4,3), signal string")
+    return preprocess.merged_exclusions(none, preprocess.mark_collaborative(all_, PARAMS), dust).select("chain_id", "txid", "reason")
+
+
+@query("select user_id, arg_max(event_type, event_id) as event_type, max(event_id) as event_id from events group by user_id")
+def k14_upsert_latest(spark, d):
+    e = derived.table(spark, d, "events").select("user_id", "event_type", "event_id", F.col("event_id").alias("turn"))
+    return ingest.latest(e, ["user_id"], "turn").select("user_id", "event_type", "event_id")
+
+
+@query("select chain_id, height, hash from block where height % 3 <> 0")
+def k17_new_blocks(spark, d):
+    b = derived.block(spark, d)
+    return ingest.new_blocks(b.unionByName(b), b.where("height % 3 = 0")).select("chain_id", "height", "hash")
+
+
+@query("select chain_id, height, hash from block where height <= 2500")
+def k20_without_orphans(spark, d):
+    ancestors = spark.createDataFrame([("tpch", 2500)], "chain_id string, ancestor long")
+    return reorg.without_orphans(derived.block(spark, d), ancestors).select("chain_id", "height", "hash")
+
+
+CATALOGUE_SQL = "(values " + ", ".join(f"('{k}', '{a}', {c}::decimal(4,3))" for k, a, c in registry.CATALOGUE) + ") h(heuristic_key, applies_to, c)"
+
+
+@query(f"select 'b' as chain_id, heuristic_key, true as enabled, case heuristic_key when 'change' then 0.25::double else c::double end as confidence from {CATALOGUE_SQL} where applies_to in ('utxo', 'both')")
+def j4_heuristic_config(spark, d):
+    """A new chain's heuristics, one of them with a confidence of its own (also S18, S19, K21)."""
+    from ledgerloom import schemas
+
+    catalogue = registry.heuristics(spark)
+    _, own = registry.add_chain(spark.createDataFrame([], schemas.CHAIN), spark.createDataFrame([], schemas.CHAIN_HEURISTIC), catalogue, "b", "B", "utxo", "B", 8, 6, "none", now=AT)
+    own = own.withColumn("confidence_override", F.when(F.col("heuristic_key") == "change", F.lit(0.25)).cast("decimal(4,3)"))
+    return registry.heuristic_config(own, catalogue).select("chain_id", "heuristic_key", "enabled", "confidence")
+
+
+# --- scans --------------------------------------------------------------------------------------------------------
+
+
+@query("select txid, delta_index, address, amount from balance_delta where block_hash = sha256('2400')")
+def s8_deltas_of_block(spark, d):
+    return deltas(spark, d).where(F.col("block_hash") == F.sha2(F.lit("2400"), 256)).orderBy("txid", "delta_index").select("txid", "delta_index", "address", F.col("amount").cast("long").alias("amount"))
+
+
+@query("select delta_index, address, amount from balance_delta where txid = (select min(txid) from balance_delta)")
+def s7_deltas_of_tx(spark, d):
+    all_ = deltas(spark, d)
+    first = all_.agg(F.min("txid").alias("txid"))
+    return all_.join(first, "txid", "left_semi").orderBy("delta_index").select("delta_index", "address", F.col("amount").cast("long").alias("amount"))
+
+
+@query("select op_id, address_a, address_b, heuristic_key, cast(confidence as decimal(4,3)) as confidence from usable", EVIDENCE)
+def s9_active_evidence(spark, d):
+    return ev.active(evidence_of(spark, d)).select("op_id", "address_a", "address_b", "heuristic_key", "confidence")
+
+
+@query("select op_id, status from evidence where source_block_hash in (select hash from block where height % 10 = 0)", EVIDENCE)
+def s10_evidence_by_blocks(spark, d):
+    hashes = derived.block(spark, d).where("height % 10 = 0").select("chain_id", F.col("hash").alias("block_hash"))
+    return ev.by_blocks(evidence_of(spark, d), hashes).select("op_id", "status")
+
+
+@query("select op_id, status from evidence where address_a in (select 'p' || p_partkey from part where p_partkey % 5 = 0) or address_b in (select 'p' || p_partkey from part where p_partkey % 5 = 0)", EVIDENCE)
+def s12_evidence_by_addresses(spark, d):
+    asked = derived.table(spark, d, "part").where("p_partkey % 5 = 0").select(F.lit("tpch").alias("chain_id"), F.concat(F.lit("p"), "p_partkey").alias("address"))
+    return ev.by_addresses(evidence_of(spark, d), asked).select("op_id", "status")
+
+
+@query("select label_id, category, status from label where target_address = 's12'")
+def s14_labels_of_target(spark, d):
+    return labels.labels_of(derived.label(spark, d), "tpch", "address", "s12").select("label_id", "category", "status")
+
+
+# --- joins --------------------------------------------------------------------------------------------------------
+
+
+@query("select chain_id, address, degree from degree", HUBS)
+def j1_counterparty_degree(spark, d):
+    return history.degrees(deltas(spark, d))
+
+
+@query("select a.chain_id, a.address as a, b.address as b, count(*) as shared from members a join members b on a.chain_id = b.chain_id and a.txid = b.txid and a.address < b.address group by all", SPENT)
+def j2_shared_transactions(spark, d):
+    return history.shared_transactions(deltas(spark, d))
+
+
+@query("select r.chain_id, r.address as target, count(distinct s.address) as sources from received r join spent s on s.chain_id = r.chain_id and s.txid = r.txid and s.address <> r.address group by all", SPENT)
+def j3_sources_of_targets(spark, d):
+    return history.sources_of_targets(deltas(spark, d))
+
+
+@query("select r.chain_id, r.txid, r.delta_index, exists (select 1 from balance_delta s where s.chain_id = r.chain_id and s.address = r.address and s.amount < 0 and s.block_height > r.block_height) as respent from balance_delta r where r.amount < 0")
+def j5_spent_again_later(spark, d):
+    all_ = deltas(spark, d)
+    rows = all_.where(A.sign(F.col("amount")) < 0).join(history.last_spent(all_), ["chain_id", "address"], "left")
+    return rows.select(*T.TX, "delta_index", F.coalesce(F.col("last_spent_height") > F.col("block_height"), F.lit(False)).alias("respent"))
+
+
+@query("select chain_id, txid, address, pos from spent where (chain_id, address) not in (select chain_id, address from hub)", HUBS)
+def j6_spenders_without_hubs(spark, d):
+    return heuristics.without(T.spent_addresses(deltas(spark, d)), registry_of(spark, d).where("is_hub").select("chain_id", "address"), "address").select(*T.TX, "address", "pos")
+
+
+@query("select distinct chain_id, txid from balance_delta where (chain_id, txid) not in (select chain_id, txid from dust_only)", EXCLUDED)
+def j7_not_excluded(spark, d):
+    c = context(spark, d)
+    return c.not_excluded(c.history).select(*T.TX).distinct()
+
+
+@query("select distinct chain_id, txid from balance_delta where (chain_id, txid) not in (select chain_id, txid from balance_delta b where amount <> 0 and (b.chain_id, b.address) in (select chain_id, address from hub))", HUBS)
+def j8_no_hub_touched(spark, d):
+    c = context(spark, d)
+    touching = c.history.where(A.sign(F.col("amount")) != 0).join(c.hubs(), ["chain_id", "address"], "left_semi").select(*T.TX).distinct()
+    return c.history.select(*T.TX).distinct().join(touching, T.TX, "left_anti")
+
+
+@query("select r.txid, r.address, s.address as source, t.confidence from received r join sweep_target t using (chain_id, address) join spent s on s.chain_id = r.chain_id and s.txid = r.txid and s.address <> r.address", SPENT)
+def j10_targets_and_spenders(spark, d):
+    all_ = deltas(spark, d)
+    outs = T.received_entries(all_).select(*T.TX, "address").join(derived.sweep_target(spark, d).select("chain_id", "address", "confidence"), ["chain_id", "address"])
+    return outs.join(T.spent_addresses(all_).select(*T.TX, F.col("address").alias("source")), T.TX).where("address <> source").select("txid", "address", "source", "confidence")
+
+
+@query("select engine_ord, count(*) as n, sum((address_a = address_b)::int)::bigint as loops from candidate where not exists (select 1 from accepted a where a.engine_ord = candidate.engine_ord and a.tx_pos = candidate.tx_pos and a.k1 = candidate.k1) group by all", EVIDENCE)
+def j12_rejected_candidates(spark, d):
+    _, rejected = ev.record(*candidates_of(spark, d))
+    return rejected.groupBy("engine_ord").agg(F.count("*").alias("n"), F.sum((F.col("address_a") == F.col("address_b")).cast("long")).alias("loops"))
+
+
+@query("select b.chain_id, b.height, coalesce(b.parent_hash = p.hash, true) as continuous from block b left join block p on p.chain_id = b.chain_id and p.height = b.height - 1")
+def j15_block_continuity(spark, d):
+    return reorg.continuity(derived.block(spark, d)).select("chain_id", "height", "continuous")
+
+
+ROLLBACK = """, node as (select chain_id, height, case when height >= 2500 then 'new' || height else hash end as hash from block),
+tip as (select max(height) + 1 as n from block),
+bad as (select b.height from block b left join node c using (chain_id, height) where coalesce(b.hash = c.hash, false)
+  union all select b.height - 1 from block b where not exists (select 1 from block p where p.height = b.height - 1)),
+anc as (select max(height) as ancestor from bad where height < (select n from tip))"""
+
+
+@query("select height, hash from block, anc where height > ancestor", ROLLBACK)
+def j16_rolled_back_blocks(spark, d):
+    stored = derived.block(spark, d)
+    node = stored.withColumn("hash", F.when(F.col("height") >= 2500, F.concat(F.lit("new"), "height")).otherwise(F.col("hash")))
+    gone, _ = reorg.rollback(stored, node, stored.groupBy("chain_id").agg((F.max("height") + 1).alias("new_height")))
+    return gone.select("height", "hash")
+
+
+# --- aggregates ---------------------------------------------------------------------------------------------------
+
+
+@query("select chain_id, address, coalesce(sum(amount) filter (amount > 0), 0)::varchar as received from balance_delta group by all")
+def a5_received_in_total(spark, d):
+    return history.received_in_total(deltas(spark, d))
+
+
+@query("select chain_id, txid, address, (-sum(amount))::varchar as spent from balance_delta where amount < 0 group by all")
+def a6_spent_in_tx(spark, d):
+    return history.spent_in_tx(deltas(spark, d))
+
+
+@query("select chain_id, txid, equal from equal_group", EXCLUDED)
+def a7_largest_equal_group(spark, d):
+    return history.largest_equal_group(deltas(spark, d))
+
+
+@query("select chain_id, address, max(block_height) as height from balance_delta group by all")
+def a8_max_heights(spark, d):
+    return history.max_heights(deltas(spark, d))
+
+
+@query("select chain_id, txid from dust_only", EXCLUDED)
+def a9_all_spenders_dusted(spark, d):
+    all_ = deltas(spark, d)
+    return preprocess.dust_only(all_, T.dust_inflows(all_, DUST), PARAMS).select(*T.TX)
+
+
+@query("select chain_id, a, b, round(confidence, 9) as confidence, first_order from pair", EVIDENCE)
+def a11_combined_pairs(spark, d):
+    return rp.combined_pairs(rp.usable(evidence_of(spark, d))).select("chain_id", "a", "b", F.round("confidence", 9).alias("confidence"), "first_order")
+
+
+@query("select chain_id, address, seen from seen", EVIDENCE)
+def a14_first_seen(spark, d):
+    return rp.first_seen(rp.usable(evidence_of(spark, d)))
+
+
+@query("select l.label_id from label l where status in ('active', 'stale') and (select count(distinct category) from label m where m.status in ('active', 'stale') and m.target_address = l.target_address) > 1")
+def a15_label_conflicts(spark, d):
+    return labels.conflicts(derived.label(spark, d))
+
+
+# --- scores -------------------------------------------------------------------------------------------------------
+
+
+@query("select chain_id, address, least(degree / 50.0::double, 1.0::double) as score from degree", HUBS)
+def c7_hub_scores(spark, d):
+    return history.degrees(deltas(spark, d)).select("chain_id", "address", preprocess.hub_score(F.col("degree"), F.lit(50.0)).alias("score"))
+
+
+SCORES = EXCLUDED + """, out as (
+  select r.chain_id, r.txid, r.address, r.pos,
+    case when a.first_seen_height = h.block_height then 0.5::double else 0::double end + case when r.amount % 1000 <> 0 then 0.2::double else 0::double end
+    + case when exists (select 1 from balance_delta s where s.chain_id = r.chain_id and s.address = r.address and s.amount < 0 and s.block_height > h.block_height) then 0.3::double else 0::double end as score
+  from received r join head h using (chain_id, txid) left join address a on a.chain_id = r.chain_id and a.address = r.address)"""
+
+
+@query("select chain_id, txid, address, pos, score from out", SCORES)
+def c8_change_scores(spark, d):
+    c = context(spark, d)
+    return heuristics.change_scores(c.history, c, registry.HeuristicParams()).select(*T.TX, "address", "pos", "score")
+
+
+# --- preprocessing, engines, merge --------------------------------------------------------------------------------
+
+
+@query("select chain_id, address, hub_type, hub_confidence from hub", HUBS)
+def p1_mark_hubs(spark, d):
+    return hubs(spark, d)
+
+
+@query("select chain_id, txid, 'coinjoin' as reason, 0.8::decimal(4,3) as detector_confidence from coinjoin", EXCLUDED)
+def p2_mark_collaborative(spark, d):
+    return preprocess.mark_collaborative(deltas(spark, d), PARAMS).select("chain_id", "txid", "reason", "detector_confidence")
+
+
+@query("select chain_id, address, 'flag' as what from dust union all select chain_id, txid, 'exclude' from dust_only", EXCLUDED)
+def p3_mark_dust(spark, d):
+    flags, excluded = preprocess.mark_dust(deltas(spark, d), spark.createDataFrame([], "chain_id string, address string"), PARAMS)
+    return flags.select("chain_id", "address", F.lit("flag").alias("what")).union(excluded.select("chain_id", "txid", F.lit("exclude")))
+
+
+@query(f"select {CANDIDATE_SQL} from common_input", COMMON)
+def h1_common_input(spark, d):
+    c = context(spark, d)
+    return heuristics.common_input(c.history, c).select(CANDIDATE)
+
+
+SWEEP = EXCLUDED + """, total as (select chain_id, address, sum(abs(amount)) as got from balance_delta group by all),
+in_tx as (select chain_id, txid, address, -sum(amount) as spent from balance_delta where amount < 0 group by all),
+sources as (select r.chain_id, r.address, count(distinct s.address) as n from received r join spent s on s.chain_id = r.chain_id and s.txid = r.txid and s.address <> r.address group by all)"""
+
+
+@query(
+    "select r.chain_id, r.address as address_a, s.address as address_b, r.txid as source_txid, least(t.confidence::double, 0.9::double) as confidence from received r join sweep_target t using (chain_id, address)"
+    " join spent s on s.chain_id = r.chain_id and s.txid = r.txid and s.address <> r.address join in_tx i on i.chain_id = s.chain_id and i.txid = s.txid and i.address = s.address"
+    " join total g on g.chain_id = s.chain_id and g.address = s.address join sources n on n.chain_id = r.chain_id and n.address = r.address"
+    " where i.spent::hugeint * 9007199254740992 >= g.got::hugeint * 8106479329266893 and n.n >= 2",
+    SWEEP,
+)
+def h2_sweep(spark, d):
+    """Over a history in which every address first received what it spends later, as parts never receive otherwise."""
+    c = context(spark, d)
+    batch = c.history
+    funded = batch.where(A.sign(F.col("amount")) < 0).withColumns({"txid": F.concat(F.lit("f"), "txid"), "amount": A.negated(F.col("amount"))})
+    c.history = batch.unionByName(funded)
+    return heuristics.sweep(batch, c).select("chain_id", "address_a", "address_b", "source_txid", "confidence")
+
+
+@query("select o.chain_id, f.anchor as address_a, arg_max(o.address, (o.score, -o.pos)) as address_b, o.txid as source_txid, least(max(o.score), 0.4::double) as confidence from out o join (select chain_id, txid, arg_min(address, pos) as anchor from spent group by all) f using (chain_id, txid) where (o.chain_id, o.txid) not in (select chain_id, txid from dust_only) and (o.chain_id, o.txid) not in (select chain_id, txid from balance_delta b where b.amount <> 0 and (b.chain_id, b.address) in (select chain_id, address from hub)) group by o.chain_id, o.txid, f.anchor having max(o.score) >= 0.3", SCORES)
+def h3_change(spark, d):
+    c = context(spark, d)
+    return heuristics.change(c.history, c).select("chain_id", "address_a", "address_b", "source_txid", "confidence")
+
+
+@query(f"select {CANDIDATE_SQL} from funding", COMMON)
+def h4_funding(spark, d):
+    c = context(spark, d)
+    return heuristics.funding(c.history, c).select(CANDIDATE)
+
+
+@query("select f.chain_id, f.anchor as address_a, r.address as address_b, f.txid as source_txid, 0.85::double as confidence, r.pos as k1 from first_spender f join received r using (chain_id, txid) where r.meta is not null and r.address <> f.anchor and (f.chain_id, f.anchor) not in (select chain_id, address from hub)", COMMON)
+def h5_deployer(spark, d):
+    c = context(spark, d)
+    return heuristics.deployer(c.history, c).select("chain_id", "address_a", "address_b", "source_txid", "confidence", "k1")
+
+
+BEHAVIORAL = COMMON + """, shared as (select a.chain_id, a.address as a, b.address as b, count(*) as n from members a join members b on a.chain_id = b.chain_id and a.txid = b.txid and a.address < b.address group by all),
+born as (select a.chain_id, a.address as a, b.address as b, arg_min(a.txid, h.tx_pos) as txid from members a join members b on a.chain_id = b.chain_id and a.txid = b.txid and a.address < b.address join head h on h.chain_id = a.chain_id and h.txid = a.txid group by all)"""
+
+
+@query("select b.chain_id, b.a as address_a, b.b as address_b, b.txid as source_txid, 0.3::double as confidence from born b join shared s using (chain_id, a, b) where s.n >= 1 and (b.chain_id, b.a) not in (select chain_id, address from hub) and (b.chain_id, b.b) not in (select chain_id, address from hub)", BEHAVIORAL)
+def h6_behavioral(spark, d):
+    """Pairs that share a transaction at least: in these tables few share three."""
+    c = context(spark, d, behavioral=(0.3, True, registry.HeuristicParams(min_interactions=1)))
+    return heuristics.behavioral(c.history, c).select("chain_id", "address_a", "address_b", "source_txid", "confidence")
+
+
+@query("select chain_id, op_id, address_a, address_b, heuristic_key, source_txid from evidence", EVIDENCE)
+def m2_recorded_evidence(spark, d):
+    return evidence_of(spark, d).select("chain_id", "op_id", "address_a", "address_b", "heuristic_key", "source_txid")
+
+
+# --- clusters -----------------------------------------------------------------------------------------------------
+
+SLICE = SPENT + """, ranked as (select *, row_number() over (partition by chain_id, txid order by pos) as r, first_value(address) over (partition by chain_id, txid order by pos) as anchor from spent),
+pair0 as (select distinct chain_id, anchor as x, address as y from ranked where r > 1),
+sym0 as (select chain_id, x, y from pair0 union select chain_id, y, x from pair0),
+reach0 as (select chain_id, x, y from sym0 union select r.chain_id, r.x, s.y from reach0 r join sym0 s on s.chain_id = r.chain_id and s.x = r.y)"""
+
+
+@query("select component as anchor_address, substring(sha256(component), 1, 32) as cluster_id, count(*) as size from (select x, min(y) as component from reach0 group by x) group by all", SLICE)
+def common_input_clusters(spark, d):
+    """The smallest whole slice: spenders of one transaction belong together; clusters of that, named by their smallest address."""
+    spent = T.ranked(T.spent_addresses(deltas(spark, d)))
+    first = spent.where("rank = 0").select(*T.TX, F.col("address").alias("anchor"))
+    pairs = spent.where("rank > 0").join(first, T.TX).select("chain_id", F.col("anchor").alias("a"), F.col("address").alias("b"))
+    return rp.labelled(pairs).groupBy(F.col("component").alias("anchor_address")).agg(F.count("*").alias("size")).select("anchor_address", rp.cluster_id(F.col("anchor_address")).alias("cluster_id"), "size")
+
+
+@query("select chain_id, address, cluster_id, anchor_address, size from member", EVIDENCE)
+def g3_cluster_members(spark, d):
+    return rp.replay(evidence_of(spark, d)).select("chain_id", "address", "cluster_id", "anchor_address", "size")
+
+
+@query()
+def g3_confidences(spark, d):
+    """The whole replay, confidences along the spanning forest included."""
+    return rp.replay(evidence_of(spark, d)).withColumn("confidence", F.round("confidence", 9)).withColumn("representative_confidence", F.round("representative_confidence", 9))
+
+
+@query("select count(distinct cluster_id) as clusters, count(*) as members, coalesce(max(size), 0) as largest from member", EVIDENCE)
+def a16_cluster_statistics(spark, d):
+    return rp.replay(evidence_of(spark, d)).agg(F.count_distinct("cluster_id").alias("clusters"), F.count("*").alias("members"), F.coalesce(F.max("size"), F.lit(0)).alias("largest"))
+
+
+@query("select op_id, invalidated_reason from evidence where status = 'invalidated'", EVIDENCE)
+def r1_rolled_back_evidence(spark, d):
+    return evidence_of(spark, d).where("status = 'invalidated'").select("op_id", "invalidated_reason")
+
+
+@query("select op_id, case when op_id = 1 and status = 'active' then 'manual-correction' else invalidated_reason end as reason from evidence", EVIDENCE)
+def r2_manual_correction(spark, d):
+    rows = evidence_of(spark, d)
+    events, _ = reorg.on_correction(rows, "tpch", 1, "wrong", AT)
+    return ev.folded(rows, events).select("op_id", F.col("invalidated_reason").alias("reason"))
+
+
+@query("""select label_id, case when c then 'conflicted' when old then 'stale' else status end as status, cast(case when old then round(source_confidence::double * 0.5, 3) else source_confidence::double end as decimal(4,3)) as source_confidence
+from (select l.*, status = 'active' and timestamp '2024-03-01' - last_verified_at > interval 30 days as old,
+  status in ('active', 'stale') and (select count(distinct category) from label m where m.status in ('active', 'stale') and m.target_address = l.target_address) > 1 as c from label l)""")
+def l1_label_maintenance(spark, d):
+    return labels.maintained(derived.label(spark, d), timedelta(days=30), 0.5, AT).select("label_id", "status", "source_confidence")
+
+
+# --- reads --------------------------------------------------------------------------------------------------------
+
+
+def reader(spark: SparkSession, d: str) -> api.Reader:
+    rows = written(evidence_of(spark, d), "evidence")
+    clusters, members = rp.materialised(written(rp.replay(rows), "replayed"))
+    return api.Reader(members, clusters, rows, derived.label(spark, d), registry_of(spark, d))
+
+
+@query("select cluster_id from member where address = (select min(address) from member)", EVIDENCE)
+def q1_cluster_of(spark, d):
+    r = reader(spark, d)
+    return r.cluster_of("tpch", r.membership.agg(F.min("address")).first()[0]).select("cluster_id")
+
+
+LARGEST = "(select cluster_id from member order by size desc, cluster_id limit 1)"
+
+
+@query(f"select address from member where cluster_id = {LARGEST} order by address limit 3 offset 1", EVIDENCE)
+def q2_members_page(spark, d):
+    r = reader(spark, d)
+    largest = r.cluster.orderBy(F.desc("size"), "cluster_id").first().cluster_id
+    return r.members_of("tpch", largest, limit=3, offset=1)
+
+
+@query(f"select true as same from member a join member b on a.cluster_id = b.cluster_id where a.cluster_id = {LARGEST} order by a.address, b.address desc limit 1", EVIDENCE)
+def q3_same_cluster(spark, d):
+    r = reader(spark, d)
+    largest = r.cluster.orderBy(F.desc("size"), "cluster_id").first().cluster_id
+    ends = r.membership.where(F.col("cluster_id") == largest).agg(F.min("address").alias("a"), F.max("address").alias("b")).first()
+    return r.same_cluster("tpch", ends.a, ends.b).select("same")
+
+
+@query(f"select op_id, status from evidence where address_a in (select address from member where cluster_id = {LARGEST}) or address_b in (select address from member where cluster_id = {LARGEST})", EVIDENCE)
+def q4_evidence_of_cluster(spark, d):
+    r = reader(spark, d)
+    return r.evidence_of("tpch", cluster_id=r.cluster.orderBy(F.desc("size"), "cluster_id").first().cluster_id).select("op_id", "status")
+
+
+@query("select hub_type, cast(round(hub_confidence, 3) as decimal(4,3)) as hub_confidence from hub where address = (select min(address) from hub)", HUBS)
+def q6_hub_status(spark, d):
+    r = registry_of(spark, d)
+    none = spark.createDataFrame([], "chain_id string")
+    first = r.where("is_hub").agg(F.min("address")).first()[0]
+    return api.Reader(none, none, none, none, r).hub_status("tpch", first).select("hub_type", "hub_confidence")
+
+
+@query("""select 'tpch' as chain_id, name, label, value::double as value from (
+  select 'cluster_max_size' as name, null as label, coalesce(max(size), 0) as value from member union all select 'cluster_count', null, count(distinct cluster_id) from member
+  union all select 'merge_evidence_active', heuristic_key, count(*) from evidence where status = 'active' group by heuristic_key
+  union all select 'merge_evidence_invalidated', invalidated_reason, count(*) from evidence where status = 'invalidated' group by invalidated_reason
+  union all select 'label_status', status, count(*) from label group by status)""", EVIDENCE)
+def q7_metrics(spark, d):
+    r = reader(spark, d)
+    chains = spark.createDataFrame([("tpch", True)], "chain_id string, enabled boolean")
+    return api.metrics(r.cluster, r.evidence, r.labels, chains)
+
+
+@query("select coalesce(s.cluster_id, sp.address) as from_entity, coalesce(r.cluster_id, re.address) as to_entity, count(distinct sp.txid) as transactions from spent sp left join member s on s.address = sp.address join received re on re.chain_id = sp.chain_id and re.txid = sp.txid left join member r on r.address = re.address where coalesce(s.cluster_id, sp.address) <> coalesce(r.cluster_id, re.address) group by all", EVIDENCE)
+def q8_entity_flow(spark, d):
+    return api.entity_flow(deltas(spark, d), reader(spark, d).membership).select("from_entity", "to_entity", "transactions")
+
+
+@query("select kind, count(*) as n from (select case when event_type = (select min(event_type) from events) then 'reorg' else 'deltas' end as kind from events) group by kind")
+def t4_barrier_rows(spark, d):
+    """Events as messages: one type is a reorganisation, each a segment of its own."""
+    from ledgerloom.streaming.consumer import segments
+
+    e = derived.table(spark, d, "events")
+    first = e.agg(F.min("event_type").alias("m"))
+    body = F.when(F.col("event_type") == F.col("m"), F.concat(F.lit('{"type":"reorg","chain_id":"c","rolled_back_block_hashes":["h'), "user_id", F.lit('"]}')))
+    body = F.coalesce(body, F.concat(F.lit('{"type":"balance_delta","chain_id":"c","txid":"t'), "event_id", F.lit('","delta_index":0,"address":"a'), "user_id", F.lit('","amount":"1","kind":"native","block_height":1,"block_hash":"b"}')))
+    rows = wire.decoded(e.join(first, how="cross").select(body.alias("value"), F.lit("c").alias("key"), F.col("event_id").alias("offset")))
+    cut = segments(rows, by_block=False)
+    per = cut.groupBy("chain", "segment").agg(F.min("kind").alias("kind"), F.count("*").alias("n"))
+    return per.groupBy(F.when(F.col("kind") == "reorg", "reorg").otherwise("deltas").alias("kind")).agg(F.sum("n").alias("n"))
