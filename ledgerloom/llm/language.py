@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.words import text_chunks
+from ledgerloom.llm.words import text_chunks, tidy
 
 #: Components of a vector, letters of an n-gram, and the seed of the letters' random vectors.
 DIM, GRAM, SEED = 512, 3, 20240
 UNKNOWN = "und"
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 
 
 def _kept(name: str, make):
@@ -92,7 +92,7 @@ def bundled(texts: list[str]) -> np.ndarray:
     """One vector for each text: the sum of its n-grams' vectors; zero if it has no letter."""
     code, of, vectors = grams(texts)
     out = np.zeros((len(texts), DIM), np.float32)
-    step = max(1, (8 << 20) // max(1, len(vectors)))
+    step = max(1, (3 << 20) // max(1, len(vectors)))
     bounds = np.searchsorted(of, np.arange(0, len(texts) + step, step))
     for k, (b, e) in enumerate(zip(bounds, bounds[1:], strict=False)):
         rows = min(step, len(texts) - k * step)
@@ -128,7 +128,7 @@ def language_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str =
     without a language or text add nothing.
     """
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    parts = known.mapInArrow(_sums, "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v")).collect()
+    parts = known.mapInArrow(tidy(_sums), "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v")).collect()
     names = sorted({r.lang for r in parts})
     out = np.zeros((len(names), DIM))
     for r in parts:
@@ -162,4 +162,4 @@ def identify_language(docs: DataFrame, prototypes: tuple[list[str], np.ndarray],
                     score[some] = np.clip(cos[np.arange(len(norm)), best][some], 0, 1)
                 yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(pred.tolist(), pa.string()), pa.array(score)], names=[*chunk.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(of, schema)
+    return docs.mapInArrow(tidy(of), schema)

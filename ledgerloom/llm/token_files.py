@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.dac import DacFile, encode
 from ledgerloom.llm.storage import file_system, new_path, written
-from ledgerloom.llm.words import U, hashes, mix, text_bytes, text_chunks
+from ledgerloom.llm.words import U, hashes, mix, text_bytes, text_chunks, tidy
 
 #: Tokens after which a task begins another file; one longer document is a file of its own.
 FILE_TOKENS = 4 << 20
 #: Pieces of text whose ids a worker remembers, and how many are encoded at a time. A text whose words stand apart by
 #: single spaces and line ends is cut before each of these: byte-level BPE of this kind never joins what stands on both
 #: sides. Other texts are encoded as they are.
-REMEMBERED, AT_ONCE = 1_500_000, 400
+REMEMBERED, AT_ONCE = 700_000, 400
 #: Bytes that end a piece, and other white space: its bytes, or the first two of its bytes.
 _CUT = np.zeros(256, bool)
 _CUT[[0x20, 0x0A]] = True
@@ -180,7 +180,7 @@ def _writes(path: str, folder: str, end_id: int):
             return pa.RecordBatch.from_pydict({"part": [part], "seq": [seq], "file": [f"{folder}/{name}"], "documents": [len(doc_ids)], "tokens": [int(starts[-1])]})
 
         for batch in batches:
-            for chunk in text_chunks(batch, "text", 8 << 20):
+            for chunk in text_chunks(batch, "text", 4 << 20):
                 coded = encoder.encode(chunk.column("text"))
                 for d, x in zip(chunk.column("doc_id").to_pylist(), coded, strict=True):
                     if doc_ids and tokens + len(x) // 4 + 1 > FILE_TOKENS:
@@ -205,7 +205,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fol
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    files = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(_writes(tokenizer_path, folder, end_id), "part long, seq long, file string, documents long, tokens long")
+    files = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(_writes(tokenizer_path, folder, end_id)), "part long, seq long, file string, documents long, tokens long")
     files = written(files, "manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     # one row per file of millions of tokens, so one task holds the order of files
@@ -228,4 +228,4 @@ def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document, read from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return manifest.select("file", "start").repartition(tasks, "file").mapInArrow(_reads, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.select("file", "start").repartition(tasks, "file").mapInArrow(tidy(_reads), "doc_id long, start long, n_tokens long, ids_crc32 long")
