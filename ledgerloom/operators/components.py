@@ -42,6 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     label = written(reduce(through, maps[1:], maps[0].select(F.col("u").alias("vertex"), "to")), "roots")
     root = label.groupBy("to").agg(F.min("vertex").alias("component"))
-    out = written(label.join(root, "to").select("vertex", "component"), "components")
+    # one component can have a large part of all vertices: what reads the result finds them spread again
+    out = written(label.join(root, "to").select("vertex", "component").repartition("vertex"), "components")
     dropped(spark, label, *maps)
     return out

@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amount as A
+from ledgerloom.sources.storage import written
 
 _DELTA = "type string, chain_id string, txid string, delta_index int, address string, amount string, kind string, block_height bigint, block_hash string, meta string"
 _REORG = "type string, chain_id string, rolled_back_block_hashes array<string>"
 
 
 def message_stream(spark: SparkSession, path: str | None = None, kafka: dict[str, str] | None = None, max_files: int = 100) -> DataFrame:
-    """A stream of (value, key, offset) from text files of JSON lines, or from Kafka where its connector is installed."""
+    """A stream of (value, key, offset) from Kafka where its connector is installed, or from text files of JSON lines:
+    then with the place of each line's split, from which placed() makes the offset in a micro-batch."""
     if kafka:
         raw = spark.readStream.format("kafka").options(**kafka).load()
         return raw.select(F.col("value").cast("string").alias("value"), F.col("key").cast("string").alias("key"), "offset")
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path).withColumn("file", F.col("_metadata.file_name"))
-    return lines.select("value", F.get_json_object("value", "$.chain_id").alias("key"), F.monotonically_increasing_id().alias("offset"))
+    at = F.struct(F.col("_metadata.file_modification_time").alias("at"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("begin"))
+    return spark.readStream.option("maxFilesPerTrigger", max_files).text(path).select("value", F.get_json_object("value", "$.chain_id").alias("key"), at.alias("split"))
+
+
+def placed(lines: DataFrame) -> DataFrame:
+    """(value, key, offset) of a micro-batch of lines: files by time and name, lines as they stand in them. Lines of a
+    split are in order where they are read; only splits are ranked among each other."""
+    rows = written(lines.withColumn("row", F.monotonically_increasing_id()), "lines")
+    splits = rows.groupBy("split").agg(F.min("row").alias("base"))
+    ranked = splits.withColumn("turn", F.row_number().over(Window.orderBy("split")).cast("long"))
+    return rows.join(ranked, "split").select("value", "key", (F.shiftleft("turn", 40) + F.col("row") - F.col("base")).alias("offset"))
 
 
 def decoded(messages: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.plans.pipeline import Pipeline
 from ledgerloom.sources.storage import written
-from ledgerloom.sources.wire import decoded, deltas_of, poison, reorgs_of
+from ledgerloom.sources.wire import decoded, deltas_of, placed, poison, reorgs_of
 
 
 def segments(rows: DataFrame, by_block: bool) -> DataFrame:
@@ -27,7 +27,7 @@ def segments(rows: DataFrame, by_block: bool) -> DataFrame:
 def consume(pipeline: Pipeline, rows: DataFrame, by_block: bool = False) -> None:
     """One micro-batch: bad messages to quarantine, then every chain's segments in order. Whatever was stored before a
     failure is skipped when the micro-batch comes again."""
-    parsed = written(decoded(rows), "decoded")
+    parsed = written(decoded(placed(rows) if "split" in rows.columns else rows), "decoded")
     bad = written(poison(parsed), "poison")
     if not bad.isEmpty():
         pipeline.state.commit(append={"poison": bad})
