@@ -1,51 +1,5 @@
-"""Connected components of an edge table by repeated contraction, with joins only."""
+"""Connected components, as the library has them."""
 
-from __future__ import annotations
+from ledgerloom.operators.components import components
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ledgerloom.llm.storage import dropped, written
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(vertex, component): for each end of an edge the smallest vertex that it reaches. edges: (x long, y long).
-
-    In a round every vertex goes over to the neighbour, or itself, whose hash is smallest; the edges between what
-    they went over to have the same components and a constant fraction of the vertices. Hashed order keeps chains
-    from taking as many rounds as they have vertices. Rounds are written to the shared folder, none is collected.
-    Loops and repeated edges are harmless; edges with a null end are left out. No edges: no rows.
-    """
-    spark = edges.sparkSession
-    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-    edges = written(edges.where("x != y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "edges")
-    maps: list[DataFrame] = []
-    while not edges.isEmpty():
-        both = edges.union(edges.select("y", "x"))
-        to = (
-            both.select(F.col("x").alias("u"), order("y").alias("o"))
-            .groupBy("u")
-            .agg(F.min("o").alias("o"))
-            .select("u", F.when(F.struct(F.xxhash64("u").alias("h"), F.col("u").alias("v")) < F.col("o"), F.col("u")).otherwise(F.col("o.v")).alias("to"))
-        )
-        to = written(to, "hook")
-        maps.append(to)
-        a, b = to.select(F.col("u").alias("x"), F.col("to").alias("tx")), to.select(F.col("u").alias("y"), F.col("to").alias("ty"))
-        on = edges.join(a, "x").join(b, "y").where("tx != ty")
-        following = written(on.select(F.least("tx", "ty").alias("x"), F.greatest("tx", "ty").alias("y")).distinct(), "edges")
-        dropped(spark, edges)
-        edges = following
-    if not maps:
-        return spark.createDataFrame([], "vertex long, component long")
-
-    def through(label: DataFrame, step: DataFrame) -> DataFrame:
-        then = step.select(F.col("u").alias("to"), F.col("to").alias("then"))
-        return label.join(then, "to", "left").select("vertex", F.coalesce("then", "to").alias("to"))
-
-    label = written(reduce(through, maps[1:], maps[0].select(F.col("u").alias("vertex"), "to")), "roots")
-    least = label.groupBy("to").agg(F.min("vertex").alias("component"))
-    out = written(label.join(least, "to").select("vertex", "component"), "components")
-    dropped(spark, label, *maps)
-    return out
+__all__ = ["components"]

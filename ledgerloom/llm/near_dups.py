@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
 from ledgerloom.llm.storage import dropped, written
-from ledgerloom.llm.words import U, Words, mix, shingles, text_chunks
+from ledgerloom.llm.words import U, Words, mix, shingles, text_chunks, tidy
 
 #: Collections of minhashes on each side of the tensor, and minhashes in each. A table key is one collection of the
 #: left side with one of the right: LANES * LANES tables of 2 * ROWS minhashes, from 2 * LANES * ROWS minhashes.
@@ -21,6 +21,7 @@ LANES, ROWS = 20, 4
 SURE = 5.0
 #: Documents, and shingles, that a block of a large bucket holds; pairs of blocks are compared in different tasks.
 BLOCK, BLOCK_SHINGLES = 128, 400_000
+SALT = 32
 
 _A = mix(np.arange(1, 2 * LANES * ROWS + 1, dtype=U)) | U(1)
 _B = mix(np.arange(1001, 2 * LANES * ROWS + 1001, dtype=U))
@@ -264,7 +265,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     """
     num, den = similarity
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(rows.mapInArrow(sketched(words), SKETCHED), "sketch")
+    sketch = written(rows.mapInArrow(tidy(sketched(words)), SKETCHED), "sketch")
     full = sketch.where("n > 0 and doc_id is not null")
     same = written(full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "same")
     # one row for a representative, even if its id is repeated
@@ -273,16 +274,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     crowded = lanes.groupBy("lane", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = lanes.join(crowded, ["lane", "key"]).select("rep", "lane", "key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     cells = _cells(members.join(reps.select("rep", "n", "sketch"), "rep"), "blocks", ["lane", "key"])
-    near = components(cells.mapInArrow(_candidates(num, den), "x long, y long"))
+    near = components(cells.mapInArrow(tidy(_candidates(num, den)), "x long, y long"))
     sizes = (
         near.join(reps.select(F.col("rep").alias("vertex"), "n"), "vertex")
         .groupBy("component")
         .agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     )
-    named = near.join(sizes, "component").select(F.col("vertex").alias("rep"), "component", "blocks").join(reps.select("rep", "n", "sketch"), "rep")
+    # a component can have any number of documents: its size is looked up under a salt of each
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    sized = near.withColumn("salt", F.pmod(F.xxhash64("vertex"), F.lit(SALT))).join(salted, ["component", "salt"])
+    named = sized.select(F.col("vertex").alias("rep"), "component", "blocks").join(reps.select("rep", "n", "sketch"), "rep")
     whole = rows.withColumnRenamed("doc_id", "rep").join(named.hint("shuffle_hash"), "rep")
-    sets = whole.select("rep", "component", "blocks", "n", "sketch", "text").mapInArrow(_full_sets(words), "rep long, component long, blocks long, n long, sketch binary, shingles binary")
-    links = components(_cells(sets, "blocks", ["component"]).mapInArrow(_confirmed(num, den), "x long, y long"))
+    sets = whole.select("rep", "component", "blocks", "n", "sketch", "text").mapInArrow(tidy(_full_sets(words)), "rep long, component long, blocks long, n long, sketch binary, shingles binary")
+    links = components(_cells(sets, "blocks", ["component"]).mapInArrow(tidy(_confirmed(num, den)), "x long, y long"))
     classes = same.join(links.withColumnRenamed("vertex", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
     keyed = sketch.select("doc_id", "n", "fp1", "fp2")
     linked = keyed.where("n > 0 and doc_id is not null").join(classes, ["fp1", "fp2", "n"])
