@@ -6,6 +6,8 @@ and beyond that ANSI mode raises an error instead of a wrong sum.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ LIMBS, DIGITS = 9, 9
 BASE = 10**DIGITS
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once, however often f names it: inside lambdas nothing else shares it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def is_integer_text(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[+-]?[0-9]+$"), F.lit(False))
 
@@ -63,10 +70,17 @@ def _carried(limbs: Column) -> Column:
 
 def from_limbs(limbs: Column) -> Column:
     """Canonical text of limbs of any size and sign."""
-    text = lambda s: F.array_join(F.transform(s["digits"], lambda x: F.lpad(x.cast("string"), DIGITS, "0")), "")
-    up, down = _carried(limbs), _carried(F.transform(limbs, lambda x: -x))
-    top = lambda s: F.when(s["carry"] != 0, s["carry"].cast("string")).otherwise(F.lit(""))
-    return canonical(F.when(up["carry"] >= 0, F.concat(top(up), text(up))).otherwise(F.concat(F.lit("-"), top(down), text(down))))
+
+    def text(s: Column) -> Column:
+        top = F.when(s["carry"] != 0, s["carry"].cast("string")).otherwise(F.lit(""))
+        digits = F.array_join(F.transform(s["digits"], lambda x: F.lpad(x.cast("string"), DIGITS, "0")), "")
+        return F.regexp_replace(F.concat(top, digits), r"^0+(?=[0-9])", "")
+
+    def signed(x: Column) -> Column:
+        down = let(_carried(F.transform(x, lambda v: -v)), text)
+        return let(_carried(x), lambda up: F.when(up["carry"] >= 0, text(up)).otherwise(F.concat(F.lit("-"), down)))
+
+    return let(limbs, signed)
 
 
 def sum_of(c: Column, where: Column | None = None) -> Column:
@@ -75,6 +89,11 @@ def sum_of(c: Column, where: Column | None = None) -> Column:
     return from_limbs(F.array(*[F.coalesce(F.sum(part(k)), F.lit(0).cast("long")) for k in range(LIMBS)]))
 
 
+def at_most(a: Column, b: Column) -> Column:
+    """a <= b for canonical texts that aren't negative: the shorter is the smaller, and of one length text order decides."""
+    return (F.length(a) < F.length(b)) | ((F.length(a) == F.length(b)) & (a <= b))
+
+
 def times(c: Column, factor: int) -> Column:
     """Limbs, most significant first, of the magnitude times a factor of up to 16 digits: arrays that compare as numbers."""
     zero = F.struct(F.lit(0).cast("decimal(38,0)").alias("carry"), F.array().cast("array<decimal(38,0)>").alias("digits"))

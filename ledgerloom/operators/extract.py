@@ -13,21 +13,16 @@ NO_ADDRESS = "0x" + "0" * 40
 
 
 def uint256(hexadecimal: Column) -> Column:
-    """Decimal text of a hexadecimal number of up to 64 digits, by its digits' weights: exact without a Python function."""
-    digits = F.lpad(F.regexp_replace(hexadecimal, "^0[xX]", ""), 64, "0")
-    # 16 groups of 16 bits; Horner's rule over limbs of nine decimal digits
-    groups = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substr(digits, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
-    zero = F.array_repeat(F.lit(0).cast("long"), A.LIMBS)
+    """Decimal text of a hexadecimal number of up to 64 digits, exact without a Python function: groups of seven digits
+    times the limbs of their weights, which stay far below what a long holds, then carried."""
+    digits = F.lpad(F.regexp_replace(hexadecimal, "^0[xX]", ""), 70, "0")
+    groups = F.array(*[F.conv(F.substring(digits, 70 - 7 * (i + 1) + 1, 7), 16, 10).cast("long") for i in range(10)])
+    weight = lambda i, k: 16 ** (7 * i) // A.BASE**k % A.BASE
 
-    def shifted(limbs: Column, x: Column) -> Column:
-        def carry(s: Column, limb: Column) -> Column:
-            total = limb * 65_536 + s["carry"]
-            low = F.pmod(total, F.lit(A.BASE).cast("long"))
-            return F.struct(F.call_function("div", total - low, F.lit(A.BASE).cast("long")).alias("carry"), F.concat(s["out"], F.array(low)).alias("out"))
+    def limbs(g: Column) -> Column:
+        return F.array(*[sum((g[i] * F.lit(weight(i, k)).cast("long") for i in range(10) if weight(i, k)), F.lit(0).cast("long")) for k in range(A.LIMBS)])
 
-        return F.aggregate(limbs, F.struct(x.alias("carry"), F.array().cast("array<long>").alias("out")), carry)["out"]
-
-    return A.from_limbs(F.aggregate(groups, zero, shifted))
+    return A.from_limbs(A.let(groups, limbs))
 
 
 def topic_address(topic: Column) -> Column:
@@ -56,8 +51,9 @@ def account_deltas(txs: DataFrame, receipts: DataFrame) -> DataFrame:
     transfers = F.filter("logs", lambda log: (F.size(log["topics"]) == 3) & (F.lower(log["topics"][0]) == TRANSFER_TOPIC))
 
     def token(log: Column) -> Column:
-        value, meta = uint256(log["data"]), F.to_json(F.struct(F.lower(log["address"]).alias("token_contract")))
-        return F.array(row(topic_address(log["topics"][1]), F.concat(F.lit("-"), value), "token", meta), row(topic_address(log["topics"][2]), value, "token", meta))
+        meta = F.to_json(F.struct(F.lower(log["address"]).alias("token_contract")))
+        both = lambda value: F.array(row(topic_address(log["topics"][1]), F.concat(F.lit("-"), value), "token", meta), row(topic_address(log["topics"][2]), value, "token", meta))
+        return A.let(uint256(log["data"]), both)
 
     rows = F.concat(F.filter(native, lambda r: r.isNotNull()), F.flatten(F.transform(transfers, token)))
     out = tx.select("chain_id", "block_height", "block_hash", "tx_index", F.col("tx_hash").alias("txid"), F.posexplode(rows).alias("delta_index", "r"))

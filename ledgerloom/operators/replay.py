@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.components import LOCAL_EDGES as LOCAL
 from ledgerloom.operators.components import components
 from ledgerloom.sources.storage import dropped, written
 
@@ -36,13 +37,14 @@ def first_seen(evidence: DataFrame) -> DataFrame:
     return evidence.select("chain_id", ends).groupBy("chain_id", F.col("e.address").alias("address")).agg(F.min("e.o").alias("seen"))
 
 
-def labelled(pairs: DataFrame) -> DataFrame:
-    """(chain_id, address, component): components of each chain."""
-    vertex = lambda c: F.struct("chain_id", F.col(c).alias("address"))
-    found = components(pairs.select(vertex("a").alias("x"), vertex("b").alias("y")))
-    if found.schema["vertex"].dataType.simpleString() != "struct<chain_id:string,address:string>":
-        return pairs.sparkSession.createDataFrame([], "chain_id string, address string, component string")
-    return found.select("vertex.chain_id", "vertex.address", F.col("component.address").alias("component"))
+def labelled(pairs: DataFrame, local_edges: int = LOCAL) -> DataFrame:
+    """(chain_id, address, component): components of each chain. A vertex is chain and address in one text."""
+    vertex = lambda c: F.concat(F.length("chain_id"), F.lit(":"), "chain_id", F.col(c))
+    chain = lambda c: F.substr(c, F.locate(":", c) + 1, F.split_part(c, F.lit(":"), F.lit(1)).cast("int"))
+    address = lambda c: F.substr(c, F.locate(":", c) + 1 + F.split_part(c, F.lit(":"), F.lit(1)).cast("int"))
+    found = components(pairs.select(vertex("a").alias("x"), vertex("b").alias("y")), local_edges)
+    v, c = F.col("vertex"), F.col("component")
+    return found.select(chain(v).alias("chain_id"), address(v).alias("address"), address(c).alias("component"))
 
 
 _MEMBER = "chain_id string, component string, address string, confidence double"
@@ -109,7 +111,7 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
         best = written(best, "forest")
         taken.append(best)
         chosen = live.join(best.select("chain_id", "first_order"), ["chain_id", "first_order"], "left_semi").select("chain_id", F.col("x").alias("a"), F.col("y").alias("b"))
-        names = labelled(chosen)
+        names = labelled(chosen, local_edges=0)
         x, y = names.select("chain_id", F.col("address").alias("x"), F.col("component").alias("nx")), names.select("chain_id", F.col("address").alias("y"), F.col("component").alias("ny"))
         moved = live.join(x, ["chain_id", "x"], "left").join(y, ["chain_id", "y"], "left")
         moved = moved.select("chain_id", "a", "b", "confidence", "first_order", F.coalesce("nx", "x").alias("x"), F.coalesce("ny", "y").alias("y")).where("x <> y")

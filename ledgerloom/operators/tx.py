@@ -50,7 +50,7 @@ def tx_heads(deltas: DataFrame) -> DataFrame:
 def dust_inflows(deltas: DataFrame, threshold: str | Column) -> DataFrame:
     """Distinct (chain_id, address) that receive more than 0 and at most the threshold in a row."""
     least = F.lit(threshold) if isinstance(threshold, str) else threshold
-    small = (A.sign(F.col("amount")) > 0) & (A.times(F.col("amount"), 1) <= A.times(least, 1))
+    small = (A.sign(F.col("amount")) > 0) & A.at_most(F.col("amount"), least)
     return deltas.where(small).select("chain_id", "address").distinct()
 
 

@@ -98,9 +98,10 @@ def test_no_evidence(spark):
     assert rp.replay(evidence(spark)).count() == 0
 
 
-def test_components_of_chains_stars_and_loops(spark):
+@pytest.mark.parametrize("local", [0, 1000])
+def test_components_of_chains_stars_and_loops(spark, local):
     rows = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(20)] + [(7, 7), (None, 3)]
-    got = {r.vertex: r.component for r in components(spark.createDataFrame(rows, "x long, y long")).collect()}
+    got = {r.vertex: r.component for r in components(spark.createDataFrame(rows, "x long, y long"), local).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(20)}}
 
 
