@@ -48,13 +48,13 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     an optional path. Without captures there are no rows, without entries all pass. Columns of the same names are replaced.
     """
     captures = captures.drop("verdict", "pattern", "valid_from", "valid_to")
-    asked = captures.select(F.col(url_col).alias("u"), F.col(time_col).alias("t")).where("u is not null and t is not null").distinct()
-    keys = asked.select("u", "t", F.explode(patterns_of(F.col("u"))).alias("pattern"), F.pmod(F.xxhash64("u", "t"), F.lit(SALT)).alias("salt"))
+    asked = captures.select(F.col(url_col).alias("_u"), F.col(time_col).alias("_t")).where("_u is not null and _t is not null").distinct()
+    keys = asked.select("_u", "_t", F.explode(patterns_of(F.col("_u"))).alias("pattern"), F.pmod(F.xxhash64("_u", "_t"), F.lit(SALT)).alias("salt"))
     listed = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    hit = keys.join(listed, ["pattern", "salt"]).where((F.col("t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to"))))
-    best = hit.groupBy("u", "t").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action", "valid_from", "valid_to")).alias("b"))
-    out = captures.join(best, (F.col(url_col) == F.col("u")) & (F.col(time_col) == F.col("t")), "left")
+    hit = keys.join(listed, ["pattern", "salt"]).where((F.col("_t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_t") < F.col("valid_to"))))
+    best = hit.groupBy("_u", "_t").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action", "valid_from", "valid_to")).alias("_b"))
+    out = captures.join(best, (captures[url_col] == best["_u"]) & (captures[time_col] == best["_t"]), "left")
     return out.select(
         *[captures[c] for c in captures.columns],
-        F.coalesce("b.action", F.lit("pass")).alias("verdict"), F.col("b.pattern").alias("pattern"), F.col("b.valid_from").alias("valid_from"), F.col("b.valid_to").alias("valid_to"),
+        F.coalesce("_b.action", F.lit("pass")).alias("verdict"), F.col("_b.pattern").alias("pattern"), F.col("_b.valid_from").alias("valid_from"), F.col("_b.valid_to").alias("valid_to"),
     )
