@@ -7,7 +7,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a bucket within which op ids are counted.
+from ledgerloom.sources.storage import written
+
+#: The order of op ids: engines, transactions, and places in them.
 ORDER = ["engine_ord", "tx_pos", "k1", "k2"]
 
 
@@ -29,8 +31,6 @@ def numbered(candidates: DataFrame, after: int = 0, buckets: int | None = None)
     ranges = candidates.repartitionByRange(*([buckets] if buckets else []), *[F.col(c).asc_nulls_first() for c in ORDER], "address_a", "address_b").sortWithinPartitions(*ORDER, "address_a", "address_b")
     ranges = ranges.withColumn("at", F.monotonically_increasing_id())
     placed = ranges.withColumns({"part": F.shiftright("at", 33), "within": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("at")
-    from ledgerloom.sources.storage import written
-
     placed = written(placed, "placed")  # the numbers hold only if no task is run anew with other rows
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amount as A
@@ -39,7 +38,7 @@ class Context:
 
 
 class Engine(Protocol):
-    key: str
+    """What proposes candidates (schemas.CANDIDATE) for a batch; engines of one's own are given to generate() and Pipeline."""
 
     def __call__(self, batch: DataFrame, context: Context) -> DataFrame: ...
 
@@ -145,12 +144,12 @@ def behavioral(batch: DataFrame, context: Context) -> DataFrame:
 
 
 #: In the order in which their candidates become evidence.
-ENGINES: dict[str, Callable[[DataFrame, Context], DataFrame]] = {
+ENGINES: dict[str, Engine] = {
     "common-input": common_input, "sweep-seed": sweep, "change": change, "funding": funding, "deployer": deployer, "behavioral": behavioral,
 }
 
 
-def generate(batch: DataFrame, context: Context, engines: dict[str, Callable] | None = None) -> DataFrame:
+def generate(batch: DataFrame, context: Context, engines: dict[str, Engine] | None = None) -> DataFrame:
     """Candidates of all enabled engines, in their order by engine_ord."""
     out = None
     for key, engine in (engines or ENGINES).items():

@@ -3,7 +3,7 @@
 from datetime import datetime, timezone
 
 from ledgerloom import schemas
-from ledgerloom.operators import heuristics, history, ingest, registry
+from ledgerloom.operators import heuristics
 
 NOW = datetime(2024, 6, 1, tzinfo=timezone.utc)
 
