@@ -12,7 +12,7 @@ from ledgerloom.llm.storage import dropped, written
 #: Parts of a shard that start together: the documents of a group that begin in one part move as one.
 PARTS = 4
 #: Rounds at most.
-ROUNDS = 8
+ROUNDS = 12
 #: Documents of a bucket within which positions are counted.
 BUCKET = 4_096
 
@@ -30,9 +30,11 @@ def _by_shard(shards: int, values: list, shard: str) -> Column:
 def propagated(state: DataFrame, shards: int, cap: int) -> DataFrame:
     """The groups' parts (g, part, n, total, shard) after rounds in which they move towards their groups' largest shards.
 
-    In a round every group looks for the shard with room that holds most of its documents; parts of the group in
-    shards that hold fewer ask to move there, and as large a share is let in as the room allows, by a hash. cap: linked
-    rows that a shard takes at most; rows without equals have no edges to cut and fill what is left.
+    In a round every group looks at the shards that hold most of it. One that takes half a shard at most wants to be
+    whole in the first of these with room for that. A large one keeps to as many shards as it fills, and its parts elsewhere want to
+    go to any of them with room. As large a share of what is wanted is let in as the room allows, by a hash: of a small
+    group, which moves as a whole, or of a part. cap: linked rows that a shard takes at most; rows without equals have
+    no edges to cut and fill what is left.
     """
     spark = state.sparkSession
     for turn in range(ROUNDS):
@@ -40,13 +42,22 @@ def propagated(state: DataFrame, shards: int, cap: int) -> DataFrame:
         for r in state.groupBy("shard").agg(F.sum("n").alias("n")).collect():  # one row for each shard
             load[r.shard] += r.n
         room = [max(0, cap - x) for x in load]
-        held = state.groupBy("g", "shard").agg(F.sum("n").alias("held"))
-        open_ = held.where(_by_shard(shards, room, "shard") > 0)
-        target = open_.groupBy("g").agg(F.max(F.struct("held", (-F.col("shard")).alias("back"))).alias("t"))
-        target = target.select("g", (-F.col("t.back")).alias("target"), F.col("t.held").alias("most"))
-        now = state.join(held, ["g", "shard"]).join(target, "g", "left")
-        asks = (F.col("target") != F.col("shard")) & ((F.col("most") > F.col("held")) | ((F.col("most") == F.col("held")) & (F.col("target") < F.col("shard"))))
-        now = written(now.select("g", "part", "n", "total", "shard", F.when(F.coalesce(asks, F.lit(False)), F.col("target")).alias("to")), "asks")
+        room_of = lambda x: F.element_at(F.array(*[F.lit(v) for v in room]), x["shard"] + 1)
+        held = state.groupBy("g", "shard").agg(F.sum("n").alias("held"), F.first("total").alias("total"))
+        place = F.struct("held", F.xxhash64("g", "shard").alias("lot"), F.col("shard").cast("int").alias("shard"))
+        # a row for each group and shard at most, so no list is longer than there are shards
+        ranked = held.groupBy("g").agg(F.sort_array(F.collect_list(place), asc=False).alias("places"), F.first("total").alias("total"))
+        large = F.col("total") > cap // 2
+        fills = (F.ceil(F.col("total") / cap) + turn // 4).cast("int")
+        ranked = ranked.select("g", "total", large.alias("large"), F.when(large, F.slice("places", F.lit(1), fills)).otherwise(F.col("places")).alias("keep"), (F.col("places")[0]["held"] == F.col("total")).alias("whole"))
+        fits = lambda x: F.when(F.col("large"), room_of(x) > 0).otherwise(room_of(x) + x["held"] >= F.col("total"))
+        ranked = ranked.withColumn("open", F.filter("keep", fits)).drop("total")
+        now = state.join(ranked, "g")
+        choice = F.when(F.col("large"), F.pmod(F.xxhash64("g", "part", F.lit(turn)), F.size("open"))).otherwise(F.lit(0)).cast("int")
+        to = F.when((F.size("open") > 0) & ~F.col("whole"), F.get("open", choice)["shard"])
+        stays = F.col("large") & F.exists("keep", lambda x: x["shard"] == F.col("shard"))
+        asks = F.when(~stays & (to != F.col("shard")), to)
+        now = written(now.select("g", "part", "n", "total", "large", "shard", asks.alias("to")), "asks")
         wanted = [0] * shards
         for r in now.where("to is not null").groupBy("to").agg(F.sum("n").alias("n")).collect():
             wanted[r.to] = r.n
@@ -54,8 +65,7 @@ def propagated(state: DataFrame, shards: int, cap: int) -> DataFrame:
             dropped(spark, now)
             break
         share = [min(1.0, room[s] / wanted[s]) if wanted[s] else 0.0 for s in range(shards)]
-        # a group as a whole; of one that takes much of a shard, each part on its own
-        lot = F.when(F.col("total") > cap // 8, _unit(F.col("g"), F.col("part"), F.lit(turn))).otherwise(_unit(F.col("g"), F.lit(turn)))
+        lot = F.when(F.col("large"), _unit(F.col("g"), F.col("part"), F.lit(turn))).otherwise(_unit(F.col("g"), F.lit(turn)))
         moved = now.select("g", "part", "n", "total", F.when(F.col("to").isNotNull() & (lot < _by_shard(shards, share, "to")), F.col("to")).otherwise(F.col("shard")).alias("shard"))
         dropped(spark, state)
         state = written(moved, "labels")
@@ -86,7 +96,7 @@ def balanced_shards(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     rows = written(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards * PARTS)).cast("int")), "rows")
     counts = rows.where("g is not null").groupBy("g", "part").agg(F.count("*").alias("n"))
     many = written(counts.groupBy("g").agg(F.sum("n").alias("total")).where("total > 1"), "groups")
-    state = written(counts.join(many, "g").select("g", "part", "n", "total", (F.col("part") % shards).alias("shard")), "labels")
+    state = written(counts.join(many, "g").select("g", "part", "n", "total", (F.col("part") % shards).cast("int").alias("shard")), "labels")
     total = rows.count()
     quota = [total // shards + (s < total % shards) for s in range(shards)]
     final = propagated(state, shards, max(1, total // shards)).select("g", "part", F.col("shard").alias("label"))
