@@ -20,7 +20,7 @@ LANES, ROWS = 20, 4
 #: similarity of 0.8 gives, so that fewer than one link in a million is lost by it.
 SURE = 5.0
 #: Documents, and shingles, that a block of a large bucket holds; pairs of blocks are compared in different tasks.
-BLOCK, BLOCK_SHINGLES = 128, 400_000
+BLOCK, BLOCK_SHINGLES = 64, 200_000
 SALT = 32
 
 _A = mix(np.arange(1, 2 * LANES * ROWS + 1, dtype=U)) | U(1)
@@ -283,7 +283,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     # a component can have any number of documents: its size is looked up under a salt of each
     salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     sized = near.withColumn("salt", F.pmod(F.xxhash64("vertex"), F.lit(SALT))).join(salted, ["component", "salt"])
-    named = sized.select(F.col("vertex").alias("rep"), "component", "blocks").join(reps.select("rep", "n", "sketch"), "rep")
+    named = sized.select(F.col("vertex").alias("rep"), "component", "blocks").repartition("rep").join(reps.select("rep", "n", "sketch"), "rep")
     whole = rows.withColumnRenamed("doc_id", "rep").join(named.hint("shuffle_hash"), "rep")
     sets = whole.select("rep", "component", "blocks", "n", "sketch", "text").mapInArrow(tidy(_full_sets(words)), "rep long, component long, blocks long, n long, sketch binary, shingles binary")
     links = components(_cells(sets, "blocks", ["component"]).mapInArrow(tidy(_confirmed(num, den)), "x long, y long"))
