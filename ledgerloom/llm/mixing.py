@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Sources up to which their distributions are broadcast; more of them are joined with salt.
-MOST_SOURCES, SALT = 10_000, 32
+from ledgerloom.llm.storage import written
+
+#: Sources up to which their rates are broadcast; more are joined with salt.
+MOST_SOURCES, SALT = 100_000, 32
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -15,17 +17,17 @@ def uniform(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """The distribution function at 0, 1, ...: as many values as leave less than 1e-15 of the mass."""
+def poisson_draw(rate: Column, u: Column) -> Column:
+    """How many values of the distribution function, at 0, 1, ..., are u at most: as many as leave less than 1e-15 of
+    the mass are looked at, one after the other, so that nothing is held for large rates."""
     last = F.ceil(rate + 10 * F.sqrt(rate) + 30).cast("int")
-    zero = F.struct((-rate).alias("log"), F.exp(-rate).alias("cdf"), F.array(F.exp(-rate)).alias("all"))
+    zero = F.struct((-rate).alias("log"), F.exp(-rate).alias("cdf"), F.lit(0).alias("n"))
 
     def step(s: Column, k: Column) -> Column:
         log = s["log"] + F.log(rate) - F.log(k.cast("double"))
-        cdf = s["cdf"] + F.exp(log)
-        return F.struct(log.alias("log"), cdf.alias("cdf"), F.concat(s["all"], F.array(cdf)).alias("all"))
+        return F.struct(log.alias("log"), (s["cdf"] + F.exp(log)).alias("cdf"), (s["n"] + (s["cdf"] <= u).cast("int")).alias("n"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), zero, step)["all"]).otherwise(F.array(F.lit(1.0)))
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda s: s["n"] + (s["cdf"] <= u).cast("int"))).otherwise(0)
 
 
 def mix_sources(
@@ -49,20 +51,19 @@ def mix_sources(
     source, absent = F.col(source_col).cast("string"), F.lit(default).cast("double")
     sizes = docs.groupBy(source.alias("s_source")).agg(F.sum(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")).alias("s_bytes"))
     sizes = sizes.join(given.select(F.col("source").alias("g_source"), F.col("weight").cast("double").alias("g_weight")), F.col("s_source") == F.col("g_source"), "left")
-    sizes = sizes.select("s_source", "s_bytes", F.greatest(F.coalesce("g_weight", absent), F.lit(0.0)).alias("s_weight"))
+    sizes = written(sizes.select("s_source", "s_bytes", F.greatest(F.coalesce("g_weight", absent), F.lit(0.0)).alias("s_weight")), "sizes")
     all_ = sizes.agg(F.sum("s_bytes").alias("bytes"), F.sum("s_weight").alias("weight"), F.count("*").alias("n")).first()  # three numbers
     bytes_, weight = float(total if total is not None else all_.bytes or 0), float(all_.weight or 0)
     rate = F.when((F.col("s_bytes") > 0) & F.lit(weight > 0), F.col("s_weight") / F.lit(weight or 1.0) * F.lit(bytes_) / F.col("s_bytes")).otherwise(F.lit(0.0))
-    draws = sizes.select("s_source", poisson_cdf(rate).alias("s_cdf"))
+    rates = sizes.select("s_source", rate.alias("s_rate"))
     if all_.n <= MOST_SOURCES:
-        drawn = docs.join(F.broadcast(draws), source.eqNullSafe(F.col("s_source")))
+        drawn = docs.join(F.broadcast(rates), source.eqNullSafe(F.col("s_source")))
     else:
-        salted = draws.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        salted = rates.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         drawn = docs.join(salted, source.eqNullSafe(F.col("s_source")) & (F.pmod(F.xxhash64(id_col), F.lit(SALT)) == F.col("s_salt")))
     u = uniform(seed, F.col(id_col))
-    copies = F.size(F.filter("s_cdf", lambda c: c <= F.col("s_u")))
-    drawn = drawn.withColumn("s_u", u).withColumn("copies", copies).where("copies > 0")
+    drawn = drawn.withColumn("s_u", u).withColumn("copies", poisson_draw(F.col("s_rate"), F.col("s_u"))).where("copies > 0")
     drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy")))
-    out = drawn.withColumn("shuffle_key", key).drop("s_source", "s_cdf", "s_salt", "s_u")
+    out = drawn.withColumn("shuffle_key", key).drop("s_source", "s_rate", "s_salt", "s_u")
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
