@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.storage import light_batches
 from ledgerloom.llm.words import WHITE, U, Words, mix, text_chunks
 
 #: Edits (words inserted, left out or replaced) that are allowed for each word of an item.
@@ -158,7 +159,7 @@ def contaminations(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col
     Null or wordless items and documents match nothing. Null ids are kept as null. Rows that repeat are compared each.
     No documents or no items: no rows. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = light_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def looked(matcher: Matcher):
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,5 +194,5 @@ def decontaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, text_c
         return of
 
     for block in _blocks(items, item_col, item_text_col):
-        docs = docs.mapInArrow(without(Matcher(block, rate)), docs.schema)
+        docs = light_batches(docs).mapInArrow(without(Matcher(block, rate)), docs.schema)
     return docs

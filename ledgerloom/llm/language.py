@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.llm.storage import light_batches
 from ledgerloom.llm.words import text_chunks, tidy
 
 #: Components of a vector, letters of an n-gram, and the seed of the letters' random vectors.
@@ -127,7 +128,7 @@ def language_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str =
     All documents with a language count, none is sampled; DIM sums for each language come to the driver. Documents
     without a language or text add nothing.
     """
-    known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    known = light_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     parts = known.mapInArrow(tidy(_sums), "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v")).collect()
     names = sorted({r.lang for r in parts})
     out = np.zeros((len(names), DIM))
@@ -145,7 +146,7 @@ def identify_language(docs: DataFrame, prototypes: tuple[list[str], np.ndarray],
     """
     names, learned = prototypes
     unit = learned / np.maximum(np.linalg.norm(learned, axis=1, keepdims=True), 1e-9)
-    docs = docs.drop("lang_pred", "score")
+    docs = light_batches(docs).drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

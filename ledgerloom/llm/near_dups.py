@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.storage import dropped, written
+from ledgerloom.llm.storage import dropped, light_batches, written
 from ledgerloom.llm.words import U, Words, mix, shingles, text_chunks, tidy
 
 #: Collections of minhashes on each side of the tensor, and minhashes in each. A table key is one collection of the
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     left alone. Texts of any length are taken whole.
     """
     num, den = similarity
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = light_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = written(rows.mapInArrow(tidy(sketched(words)), SKETCHED), "sketch")
     full = sketch.where("n > 0 and doc_id is not null")
     same = written(full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "same")

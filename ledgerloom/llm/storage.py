@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from ledgerloom.sources.storage import dropped, new_path, shared_dir, written
 
-__all__ = ["dropped", "file_system", "new_path", "shared_dir", "written"]
+__all__ = ["dropped", "file_system", "light_batches", "new_path", "shared_dir", "written"]
+
+
+def light_batches(df, rows: int = 1_000):
+    """The frame, with its session's Arrow batches held to so many rows: texts can be long, and a batch is in memory
+    several times over, in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key, "10000")) > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
 
 
 def file_system(uri: str):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.dac import DacFile, encode
-from ledgerloom.llm.storage import file_system, new_path, written
+from ledgerloom.llm.storage import file_system, light_batches, new_path, written
 from ledgerloom.llm.words import U, hashes, mix, text_bytes, text_chunks, tidy
 
 #: Tokens after which a task begins another file; one longer document is a file of its own.
@@ -204,7 +204,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fol
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = light_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     files = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(_writes(tokenizer_path, folder, end_id)), "part long, seq long, file string, documents long, tokens long")
     files = written(files, "manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.storage import file_system, new_path, written
+from ledgerloom.llm.storage import file_system, light_batches, new_path, written
 
 #: Fixed values of the seekable Zstandard format and of WARC 1.1.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -160,7 +160,7 @@ def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     out of the record. An empty table gives no bundle. Other columns are ignored.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = light_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     keys = rows.where(F.octet_length("html") >= LEAST_PAYLOAD).select("page_id", "digest")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
