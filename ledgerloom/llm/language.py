@@ -19,6 +19,8 @@ from ledgerloom.llm.words import text_chunks, tidy
 DIM, GRAM, SEED = 512, 3, 20240
 UNKNOWN = "und"
 _CHUNK = 1 << 20
+#: N-grams after which a task gives its counts on, and salts over which an n-gram's rows are spread.
+_HELD, SALT = 1 << 20, 16
 
 
 def _kept(name: str, make):
@@ -41,12 +43,11 @@ def letter_vector(code: int) -> np.ndarray:
     return known[code]
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, text of each, vectors' rows): the letter n-grams of some texts as columns of a small table.
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, text of each, letters): the letter n-grams of some texts as columns of a small table.
 
-    Returns the text and the column of every n-gram, and one bound vector per column: the product of the letters'
-    vectors, each permuted by its distance from the last one. Runs of other characters are one gap; n-grams whose
-    inner letters have a gap are left out.
+    Returns the column and the text of every n-gram, and the code points of each column's GRAM letters, 0 for a gap.
+    Runs of other characters are one gap; n-grams whose inner letters have a gap are left out.
     """
     joined = "\0".join(t.lower() for t in texts) + "\0"
     cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -66,7 +67,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     seq = np.where(letter, index[cps], 0)
     size, n = len(alphabet) + 1, len(seq) - GRAM + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, DIM), np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, GRAM), np.int64)
     code = np.zeros(n, np.int64)
     ok = text[:n] == text[GRAM - 1 :]
     for k in range(GRAM):
@@ -82,11 +83,26 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         code = column[code]
     else:
         distinct, code = np.unique(code, return_inverse=True)
-    letters = np.stack([letter_vector(c) for c in [0, *alphabet.tolist()]])
-    vectors = np.ones((len(distinct), DIM), np.int8)
+    codes = np.append(0, alphabet)
+    return code, of, np.stack([codes[distinct // size ** (GRAM - 1 - k) % size] for k in range(GRAM)], axis=1)
+
+
+def bound(letters: np.ndarray) -> np.ndarray:
+    """One vector per row of GRAM code points: the product of the letters' vectors, each permuted by its distance from
+    the last one."""
+    alphabet, at = np.unique(letters, return_inverse=True)
+    at = at.reshape(letters.shape)
+    known = np.stack([letter_vector(c) for c in alphabet.tolist()]) if len(alphabet) else np.zeros((0, DIM), np.int8)
+    vectors = np.ones((len(letters), DIM), np.int8)
     for k in range(GRAM):
-        vectors *= np.roll(letters, GRAM - 1 - k, axis=1)[distinct // size ** (GRAM - 1 - k) % size]
-    return code, of, vectors.astype(np.float32)
+        vectors *= np.roll(known, GRAM - 1 - k, axis=1)[at[:, k]]
+    return vectors.astype(np.float32)
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, text of each, vectors' rows): coded n-grams with one bound vector per column."""
+    code, of, letters = coded(texts)
+    return code, of, bound(letters)
 
 
 def bundled(texts: list[str]) -> np.ndarray:
@@ -129,7 +145,11 @@ def language_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str =
     without a language or text add nothing.
     """
     known = light_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    parts = known.mapInArrow(tidy(_sums), "lang string, k int, v long").groupBy("lang", "k").agg(F.sum("v").alias("v")).collect()
+    return _collected(known.mapInArrow(tidy(_sums), "lang string, k int, v long"))
+
+
+def _collected(sums: DataFrame) -> tuple[list[str], np.ndarray]:
+    parts = sums.groupBy("lang", "k").agg(F.sum("v").alias("v")).collect()
     names = sorted({r.lang for r in parts})
     out = np.zeros((len(names), DIM))
     for r in parts:
@@ -137,6 +157,91 @@ def language_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str =
     return names, out
 
 
+def _packed(letters: np.ndarray) -> np.ndarray:
+    """The code points of an n-gram as one number."""
+    return letters[:, 0] << 42 | letters[:, 1] << 21 | letters[:, 2]
+
+
+def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (lang, text) to how often each n-gram comes in a language, in parts."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def parts() -> Iterator[pa.RecordBatch]:
+        for lang, (gram, c) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(c)], names=["lang", "gram", "c"])
+
+    for batch in batches:
+        for chunk in text_chunks(batch, "text", _CHUNK):
+            langs = chunk.column("lang").to_pylist()
+            names = sorted(set(langs))
+            number = {x: i for i, x in enumerate(names)}
+            code, of, letters = coded(chunk.column("text").to_pylist())
+            if not len(code):
+                continue
+            packed = _packed(letters)
+            cell, count = np.unique(np.array([number[x] for x in langs])[of] * len(letters) + code, return_counts=True)
+            for i, name in enumerate(names):
+                b, e = np.searchsorted(cell, [i * len(letters), (i + 1) * len(letters)])
+                gram, c = packed[cell[b:e] - i * len(letters)], count[b:e]
+                if name in held:
+                    gram, at = np.unique(np.concatenate([held[name][0], gram]), return_inverse=True)
+                    c = np.bincount(at, np.concatenate([held[name][1], c])).astype(np.int64)
+                held[name] = gram, c
+            if sum(len(g) for g, _ in held.values()) > _HELD:
+                yield from parts()
+                held.clear()
+    yield from parts()
+
+
+def gram_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+    """(lang, gram, c): how often each n-gram comes in all documents of a language, exactly."""
+    known = light_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    return known.mapInArrow(tidy(_profiles), "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
+
+
+def _bundled_profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: rows of gram_profiles to each language's bundle over them."""
+    total: dict[str, np.ndarray] = {}
+    for batch in batches:
+        gram, c, langs = batch.column("gram").to_numpy(), batch.column("c").to_numpy(), np.array(batch.column("lang").to_pylist(), object)
+        vectors = bound(np.stack([gram >> 42, gram >> 21 & 0x1FFFFF, gram & 0x1FFFFF], axis=1)).astype(np.float64)
+        for name in set(langs.tolist()):
+            total[name] = total.get(name, 0) + c[langs == name].astype(np.float64) @ vectors[langs == name]
+    for name, vector in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([name] * DIM), pa.array(range(DIM), pa.int32()), pa.array(np.rint(vector).astype(np.int64))], names=["lang", "k", "v"])
+
+
+def prototypes_of(profiles: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The same as language_prototypes of the documents that the profiles are of."""
+    return _collected(light_batches(profiles).mapInArrow(tidy(_bundled_profiles), "lang string, k int, v long"))
+
+
+def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (key, text) to the text's n-grams, each with its share of the norm of the text's counts."""
+    for batch in batches:
+        for chunk in text_chunks(batch, "text", _CHUNK):
+            code, of, letters = coded(chunk.column("text").to_pylist())
+            if not len(code):
+                continue
+            cell, count = np.unique(of * len(letters) + code, return_counts=True)
+            row, packed = cell // len(letters), _packed(letters)[cell % len(letters)]
+            norm = np.sqrt(np.bincount(row, count.astype(np.float64) ** 2))
+            yield pa.RecordBatch.from_arrays([chunk.column("key").take(pa.array(row)), pa.array(packed), pa.array(count / norm[row])], names=["key", "gram", "part"])
+
+
+def exact_cosines(texts: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(key, cosine) of texts (key, text): the largest cosine of the text's n-gram counts with a language's, without the
+    noise of vectors. Texts that share no n-gram with any language have no row.
+
+    N-grams of all texts meet the profiles in a join, each n-gram spread over salts."""
+    norms = profiles.groupBy("lang").agg(F.sqrt(F.sum(F.col("c").cast("double") * F.col("c"))).alias("norm"))
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))
+    learned = profiles.join(F.broadcast(norms), "lang").select("lang", "gram", (F.col("c") / F.col("norm")).alias("w"), salts.alias("salt"))
+    rows = light_batches(texts).select("key", "text").mapInArrow(tidy(_text_grams), "key string, gram long, part double")
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALT))).join(learned, ["gram", "salt"])
+    return met.groupBy("key", "lang").agg(F.sum(F.col("part") * F.col("w")).alias("cosine")).groupBy("key").agg(F.max("cosine").alias("cosine"))
+
+
 def identify_language(docs: DataFrame, prototypes: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
     """docs with lang_pred string and score double: the language whose prototype has the largest cosine with the
     text's bundle, and that cosine, at least 0.

@@ -1,3 +1,4 @@
+import random
 import re
 import zlib
 
@@ -5,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from ledgerloom.llm.language import gram_profiles, language_prototypes, prototypes_of
 from ledgerloom.llm.storage import written
 from tests.llm import brute
 
@@ -47,3 +49,23 @@ def test_run_and_no_documents(spark, tmp_path):
     for name, stage in P.STAGES:
         docs = written(stage(spark, docs, SF), name)
     assert docs.count() == 0 and docs.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_foreign_letters_and_short_labelled_texts(spark):
+    """Texts that share no n-gram with a learned language go, whatever their bundles' cosine; short labelled ones stay."""
+    r = random.Random(3)
+    rows = [(20_000 + i, " ".join("".join(chr(r.randrange(*span)) for _ in range(r.randint(1, 8))) for _ in range(100)), None) for i in range(60) for span in [[(0x430, 0x450), (0x4E00, 0x5000)][i % 2]]]
+    short = [(30_000, "A.\nAll rights reserved.", "en"), (30_001, "Avec.", "fr"), (30_002, "A.", "en"), (30_003, "A.", "en")]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    odd = spark.createDataFrame(rows + short, "doc_id long, text string, lang string").select("doc_id", "text", "lang", F.lit("src0").alias("source"), F.length("text").cast("long").alias("n_chars"))
+    got = {x.doc_id for x in P.language(spark, docs.unionByName(odd), SF).select("doc_id").collect()}
+    assert not got & {i for i, *_ in rows} and {i for i, *_ in short} <= got
+    lettered = {x.doc_id for x in docs.collect() if any(c.isalpha() for c in x.text or "")}
+    assert lettered <= got
+
+
+def test_prototypes_of_profiles_are_those_of_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names, learned = language_prototypes(docs)
+    again = prototypes_of(gram_profiles(docs))
+    assert names == again[0] and np.array_equal(learned, again[1])
