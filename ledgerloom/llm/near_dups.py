@@ -54,6 +54,13 @@ def minhashes(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        fp1 = np.array([s.sum() for s in sets], U).view(np.int64)
+        fp2 = np.array([mix(s ^ U(0xA5A5A5A5DEADBEEF)).sum() if len(s) else 0 for s in sets], U).view(np.int64)
+    return fp1, fp2
+
+
 def sketched(words: int):
     """mapInArrow function: (doc_id, text) to doc_id, n, a fingerprint of the set, left keys and sketch."""
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("a", pa.list_(pa.int64())), ("sketch", pa.binary())])
@@ -71,9 +78,7 @@ def sketched(words: int):
                 a, sketch = [None] * len(sets), [b""] * len(sets)
                 for row, i in enumerate(full):
                     a[i], sketch[i] = keys[row].view(np.int64), low[row].tobytes()
-                with np.errstate(over="ignore"):
-                    fp1 = np.array([s.sum() for s in sets], U).view(np.int64)
-                    fp2 = np.array([mix(s ^ U(0xA5A5A5A5DEADBEEF)).sum() if len(s) else 0 for s in sets], U).view(np.int64)
+                fp1, fp2 = _fingerprints(sets)
                 n = np.array([len(s) for s in sets], np.int64)
                 yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(n), pa.array(fp1), pa.array(fp2), pa.array(a, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], schema=schema)
 
@@ -224,14 +229,18 @@ def _confirmed(num: int, den: int):
 
 
 def _full_sets(words: int):
-    """mapInArrow function: (rep, ..., text) to the same without text, with the sorted set."""
+    """mapInArrow function: (rep, ..., fp1, fp2, text) to the same without the last three, with the sorted set. Texts
+    that came by the id and have another set than that of the fingerprint are left out."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch, "text"):
                 sets = shingles(Words(chunk.column("text")), words)
-                names = [c for c in chunk.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(chunk.column(c) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"])
+                names = [c for c in chunk.schema.names if c not in ("fp1", "fp2", "text")]
+                full = pa.RecordBatch.from_arrays([*(chunk.column(c) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"])
+                fp1, fp2 = _fingerprints(sets)
+                own = (fp1 == chunk.column("fp1").to_numpy()) & (fp2 == chunk.column("fp2").to_numpy()) & (np.array([len(s) for s in sets]) == chunk.column("n").to_numpy())
+                yield full.filter(pa.array(own))
 
     return of
 
@@ -260,16 +269,19 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     compared on full sets in the same way. A pair at a similarity of exactly 0.8 is lost with a chance of 5 in 100,000.
 
     Null or empty texts: no shingles, linked with nothing. Null ids: never linked, component_id null, kept.
-    Rows that repeat an id and a text are in one component; an empty table gives an empty result. Other columns are
+    Rows that repeat an id and a text are in one component. Rows that repeat an id with another text are linked each by
+    its own text; component_id is an id all the same. An empty table gives an empty result. Other columns are
     left alone. Texts of any length are taken whole.
     """
     num, den = similarity
     rows = light_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = written(rows.mapInArrow(tidy(sketched(words)), SKETCHED), "sketch")
     full = sketch.where("n > 0 and doc_id is not null")
-    same = written(full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "same")
-    # one row for a representative, even if its id is repeated
-    reps = written(same.select("rep", "fp1", "fp2", "n").join(full.select(F.col("doc_id").alias("rep"), "fp1", "fp2", "n", "a", "sketch"), ["rep", "fp1", "fp2", "n"]).dropDuplicates(["rep"]).select("rep", "n", "a", "sketch"), "reps")
+    # a representative stands for a set, not for an id: one id can come with several texts
+    same = full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
+    same = written(same.withColumn("rep", F.monotonically_increasing_id()), "same")
+    found = full.select(F.col("doc_id").alias("first"), "fp1", "fp2", "n", "a", "sketch")
+    reps = written(same.select("rep", "first", "fp1", "fp2", "n").join(found, ["first", "fp1", "fp2", "n"]).dropDuplicates(["rep"]).select("rep", "first", "fp1", "fp2", "n", "a", "sketch"), "reps")
     lanes = reps.select("rep", F.posexplode("a").alias("lane", "key"))
     crowded = lanes.groupBy("lane", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = lanes.join(crowded, ["lane", "key"]).select("rep", "lane", "key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
@@ -283,11 +295,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     # a component can have any number of documents: its size is looked up under a salt of each
     salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
     sized = near.withColumn("salt", F.pmod(F.xxhash64("vertex"), F.lit(SALT))).join(salted, ["component", "salt"])
-    named = sized.select(F.col("vertex").alias("rep"), "component", "blocks").repartition("rep").join(reps.select("rep", "n", "sketch"), "rep")
-    whole = rows.withColumnRenamed("doc_id", "rep").join(named.hint("shuffle_hash"), "rep")
-    sets = whole.select("rep", "component", "blocks", "n", "sketch", "text").mapInArrow(tidy(_full_sets(words)), "rep long, component long, blocks long, n long, sketch binary, shingles binary")
+    named = sized.select(F.col("vertex").alias("rep"), "component", "blocks").repartition("rep").join(reps.select("rep", "first", "fp1", "fp2", "n", "sketch"), "rep")
+    whole = rows.withColumnRenamed("doc_id", "first").join(named.hint("shuffle_hash"), "first")
+    sets = whole.select("rep", "component", "blocks", "n", "sketch", "fp1", "fp2", "text").mapInArrow(tidy(_full_sets(words)), "rep long, component long, blocks long, n long, sketch binary, shingles binary")
     links = components(_cells(sets, "blocks", ["component"]).mapInArrow(tidy(_confirmed(num, den)), "x long, y long"))
-    classes = same.join(links.withColumnRenamed("vertex", "rep"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
+    linked_sets = same.select("rep", "first").join(links.withColumnRenamed("vertex", "rep"), "rep")
+    least = linked_sets.groupBy("component").agg(F.min("first").alias("least"))
+    smallest = links.withColumn("salt", F.pmod(F.xxhash64("vertex"), F.lit(SALT))).join(least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))), ["component", "salt"])
+    classes = same.join(smallest.select(F.col("vertex").alias("rep"), "least"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("least", "first").alias("component_id"))
     keyed = sketch.select("doc_id", "n", "fp1", "fp2")
     linked = keyed.where("n > 0 and doc_id is not null").join(classes, ["fp1", "fp2", "n"])
     alone = keyed.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))

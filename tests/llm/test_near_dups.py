@@ -62,3 +62,11 @@ def test_forest_connects_what_edges_connect():
     x, y = np.array([1, 2, 5, 6, 9]), np.array([2, 3, 6, 5, 9])
     v, to = forest(x, y, 10)
     assert dict(zip(v.tolist(), to.tolist(), strict=True)) == {2: 1, 3: 1, 6: 5}
+
+
+def test_an_id_with_two_texts(spark):
+    """Both texts of the smallest id of their sets have their links found."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, a + " more"), (5, b + " more"), (6, "else " + b), (0, "c d e f g")]
+    got = sorted((r.doc_id, r.component_id, r.n_shingles) for r in near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted([(1, 1, 57), (1, 1, 57), (2, 1, 57), (3, 1, 57), (4, 1, 58), (5, 1, 58), (6, 1, 58), (0, 0, 2)])
