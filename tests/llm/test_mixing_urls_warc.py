@@ -103,3 +103,11 @@ def test_bundles(spark):
     raw = open(row.bundle.removeprefix("file://"), "rb").read()
     text = zstandard.ZstdDecompressor().stream_reader(raw, read_across_frames=True).read()
     assert text.count(b"WARC/1.1\r\nWARC-Type") == index.where(F.col("bundle") == row.bundle).count()
+
+
+def test_deep_paths(spark):
+    e = spark.createDataFrame([("example.com/a/b/c/d", at("2024-01-01"), "block"), ("example.com/a/b/c/d/e/f", at("2024-01-01"), "allow")], "pattern string, listed_at timestamp, action string")
+    urls = ["http://example.com/a/b/c/d", "http://example.com/a/b/c/d/e/x", "http://example.com/a/b/c/d/e/f/g", "http://example.com/a/b/c"]
+    captures = spark.createDataFrame([(u, at("2024-02-01")) for u in urls], "url string, fetched_at timestamp")
+    got = {r.url: r.verdict for r in filter_urls(captures, e).collect()}
+    assert [got[u] for u in urls] == ["block", "block", "allow", "pass"]
