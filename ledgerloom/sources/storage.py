@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (local tests), a temporary one that is then set."""
+    """The folder named in spark.checkpoint.dir. Where it is unset a local master, as in tests, gets a temporary one that
+    is then set; on a cluster, where no machine would see the files of another, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         folder = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -38,6 +43,38 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+class Scratch:
+    """Tables that are removed together: what is written() in the block goes at its end, but for what kept() is given.
+
+    Results that are read later must be kept, or not depend on these tables.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for path in self.paths:
+            delete(self.spark, path)
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def owns(self, table: DataFrame) -> DataFrame:
+        """A table that another function wrote goes with these."""
+        self.paths += sorted({file.rsplit("/", 1)[0] for file in table.inputFiles()})
+        return table
+
+    @staticmethod
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        return written(df, name)
+
+
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Removes tables of written() that nothing will read any more."""
     for table in tables:
