@@ -54,31 +54,60 @@ def encode(doc_ids: list[int | None], starts: np.ndarray, ids: np.ndarray, width
     return b"".join(body)
 
 
+class Ranged:
+    """An open file, of which slices are read where they are asked for; `taken` counts their bytes."""
+
+    def __init__(self, file):
+        self.file, self.taken = file, 0
+
+    def __getitem__(self, where: slice) -> bytes:
+        self.taken += where.stop - where.start
+        return self.file.read_at(where.stop - where.start, where.start)
+
+
+class _Section:
+    """An array in a Ranged file: a place or a slice of it is read when it is asked for."""
+
+    def __init__(self, data: Ranged, kind: str, n: int, at: int):
+        self.data, self.kind, self.n, self.at, self.size = data, kind, n, at, np.dtype(kind).itemsize
+
+    def __getitem__(self, k):
+        begin, end = (k.start, min(k.stop, self.n)) if isinstance(k, slice) else (k, k + 1)
+        out = np.frombuffer(self.data[self.at + begin * self.size : self.at + max(begin, end) * self.size], self.kind)
+        return out if isinstance(k, slice) else out[0]
+
+
 class DacFile:
-    """A file's bytes (or a memory map): tokens by place, and documents."""
+    """A file's bytes (or a memory map, or a Ranged file): tokens by place, and documents."""
 
     def __init__(self, data):
-        if bytes(data[:8]) != MAGIC:
+        if bytes(data[0:8]) != MAGIC:
             raise ValueError("not a file of directly addressable codes")
-        self.tokens, self.documents, levels = struct.unpack_from("<3Q", data, 8)
+        self.tokens, self.documents, levels = struct.unpack("<3Q", data[8:32])
         at = 32
-        shapes = [struct.unpack_from("<2Q", data, at + 16 * k) for k in range(levels)]
+        shapes = [struct.unpack("<2Q", data[at + 16 * k : at + 16 * k + 16]) for k in range(levels)]
         at += 16 * levels
 
-        def take(kind: str, n: int) -> np.ndarray:
+        def take(kind: str, n: int):
             nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes + (-out.nbytes % 8)
+            out = _Section(data, kind, n, at) if isinstance(data, Ranged) else np.frombuffer(data, kind, n, at)
+            size = n * np.dtype(kind).itemsize
+            at += size + (-size % 8)
             return out
 
         ids, null = take("<i8", self.documents), take("u1", self.documents)
-        self.doc_ids = [None if x else d for d, x in zip(ids.tolist(), null.tolist(), strict=True)]
+        self._ids = ids, null
         self.starts = take("<u8", self.documents + 1)
         self.levels = []
         for bits, n in shapes:
             supers = n // SUPER + 1
             self.levels.append((bits, take("u1", n), take("<u8", supers * (SUPER // 64)), take("<u8", supers)))
 
+    @property
+    def doc_ids(self) -> list[int | None]:
+        ids, null = (x[0 : self.documents] for x in self._ids)
+        return [None if x else d for d, x in zip(ids.tolist(), null.tolist(), strict=True)]
+
     @staticmethod
     def _rank(words: np.ndarray, ranks: np.ndarray, i: int) -> int:
         """Set bits before bit i."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +17,8 @@ from ledgerloom.llm.token_files import read_token_files, write_token_files
 from ledgerloom.llm.urls import filter_urls, host_of
 from ledgerloom.llm.warc import read_bundles, write_bundles
 
-#: The folder of the public tokenizers' files.
-TOKENIZERS = "/opt/tokenizers"
+#: The public vocabulary's file.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,10 +72,8 @@ e as (
 d as (select pattern, listed_at, min(case when act <= 1 then 'block' when act = 2 then 'allow' else 'remove' end) as action from e group by all),
 v as (select pattern, action, listed_at as valid_from, lead(listed_at) over (partition by pattern order by listed_at) as valid_to from d),
 k as (
-  select page_id, url, host, fetched_at, unnest(list_distinct(list_concat(
-    list_transform(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')),
-    list_transform(range(1, least(len(segs), 3) + 1), lambda i: host || '/' || array_to_string(list_slice(segs, 1, i), '/'))))) as pattern
-  from c where host <> ''),
+  select distinct page_id, url, fetched_at, array_to_string(list_slice(labels, i, len(labels)), '.') || case when j > 0 then '/' || array_to_string(list_slice(segs, 1, j), '/') else '' end as pattern
+  from (select *, string_split(host, '.') as labels, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) as i from c where host <> ''), (select unnest(range(0, (select max(len(segs)) + 1 from c))) as j) where j <= len(segs)),
 m as (
   select k.page_id, k.url, k.fetched_at, v.pattern, v.action, v.valid_from, v.valid_to,
     row_number() over (partition by k.page_id, k.url, k.fetched_at order by length(v.pattern) desc, v.pattern desc) as r
@@ -159,7 +158,7 @@ def op9_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op10_addressable_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, written to files of directly addressable codes and read from them."""
-    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=0))
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), TOKENIZER, end_id=0))
 
 
 QUERIES = {f.__name__: f for f in (op1_pigeonhole_decontamination, op2_temporal_url_filter, op3_poisson_mixture, op4_balanced_propagation, op5_minhash_near_dups, op6_seekable_warc, op7_gated_recurrent_lm, op8_additive_quantisation, op9_hyperdimensional_language, op10_addressable_codes)}

@@ -2,18 +2,49 @@
 
 from __future__ import annotations
 
-from ledgerloom.sources.storage import dropped, new_path, shared_dir, written
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
-__all__ = ["dropped", "file_system", "light_batches", "new_path", "shared_dir", "written"]
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ledgerloom.sources.storage import Scratch, dropped, new_path, shared_dir, written
 
-def light_batches(df, rows: int = 1_000):
-    """The frame, with its session's Arrow batches held to so many rows: texts can be long, and a batch is in memory
-    several times over, in the JVM and in Python."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(df.sparkSession.conf.get(key, "10000")) > rows:
-        df.sparkSession.conf.set(key, str(rows))
-    return df
+__all__ = ["Scratch", "columns", "dropped", "file_system", "free", "new_path", "shared_dir", "small_batches", "written"]
+
+
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """While the block runs its jobs, Arrow batches hold so many bytes: a batch is in memory several times over, in the
+    JVM and in Python. Afterwards the session has its own bound again."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def free(taken: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as no column of those taken has it, in any case."""
+    used, out = {c.lower() for c in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame, *without: str) -> list[Column]:
+    """All columns by their names as they are written, dots included, but for those."""
+    gone = {c.lower() for c in without}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def file_system(uri: str):

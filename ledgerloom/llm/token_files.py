@@ -14,15 +14,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.dac import DacFile, encode
-from ledgerloom.llm.storage import file_system, light_batches, new_path, written
+from ledgerloom.llm.dac import DacFile, Ranged, encode
+from ledgerloom.llm.storage import file_system, new_path, small_batches, written
 from ledgerloom.llm.words import U, hashes, mix, text_bytes, text_chunks, tidy
 
 #: Tokens after which a task begins another file; one longer document is a file of its own.
 FILE_TOKENS = 4 << 20
 #: Pieces of text whose ids a worker remembers, and how many are encoded at a time. A text whose words stand apart by
 #: single spaces and line ends is cut before each of these: byte-level BPE of this kind never joins what stands on both
-#: sides. Other texts are encoded as they are.
+#: sides. Other texts, and those that hold an added token's text, are encoded as they are.
 REMEMBERED, AT_ONCE = 700_000, 400
 #: Bytes that end a piece, and other white space: its bytes, or the first two of its bytes.
 _CUT = np.zeros(256, bool)
@@ -39,7 +39,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts of added tokens: where one stands in a text, the tokenizer gives its id, whatever is around it.
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self._forget()
         self.bytes_of = self._lengths()
         self.line_end = len(self._plain(["\n"])[0]) // 4
@@ -122,6 +123,12 @@ class Encoder:
             odd[i] = data[i : i + 3].tobytes().decode().isspace()
         plain = np.ones(len(texts), bool)
         plain[np.searchsorted(bounds, np.flatnonzero(odd), "right") - 1] = False
+        raw = data.tobytes()
+        for token in self.added:
+            at = raw.find(token)
+            while at >= 0:
+                plain[np.searchsorted(bounds, at, "right") - 1] = False
+                at = raw.find(token, at + 1)
         other = [i for i in full.tolist() if not plain[i]]
         for i, ids in zip(other, self._plain([texts[i].as_py() for i in other]), strict=True):
             out[i] = ids
@@ -144,7 +151,6 @@ class Encoder:
         if len(new):
             where = np.zeros(len(distinct), np.int64)
             where[code[::-1]] = np.arange(len(code) - 1, -1, -1)
-            raw = data.tobytes()
             known = len(self.known)
             self._learn([(b"\n" if g else b" ") + raw[b:e] for g, b, e in zip(line[where[new]].tolist(), inner[where[new]].tolist(), end[where[new]].tolist(), strict=True)], distinct[new].tolist())
             number[new] = np.arange(known, known + len(new))
@@ -199,14 +205,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int = 0, fol
     """Encodes every whole text, adds end_id, and writes files in ascending id order; the manifest, written as a table.
 
     Manifest, a row per file: part, seq (the order of files), file, documents, tokens, start (ids before the file).
-    Null texts are empty: the end id alone. Null ids come first, rows with the same id in the order of their texts.
-    An empty table gives no files. A task that is run again writes the same file under the same name.
+    Null texts are empty: the end id alone. Null ids come first, rows with the same id in the order of a hash of their
+    texts: however many they are, ranges of that hash are different tasks'. An empty table gives no files. A task that
+    is run again writes the same file under the same name. Special tokens' texts are encoded as the tokenizer does.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "tokens")
-    rows = light_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    files = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(tidy(_writes(tokenizer_path, folder, end_id)), "part long, seq long, file string, documents long, tokens long")
-    files = written(files, "manifest")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("lot", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "lot").sortWithinPartitions("doc_id", "lot", "text").select("doc_id", "text")
+    files = ordered.mapInArrow(tidy(_writes(tokenizer_path, folder, end_id)), "part long, seq long, file string, documents long, tokens long")
+    with small_batches(spark):
+        files = written(files, "manifest")
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     # one row per file of millions of tokens, so one task holds the order of files
     return files.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0).cast("long")))
@@ -217,15 +227,28 @@ def _reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
             fs, path = file_system(file)
             with fs.open_input_file(path) as f:
-                dac = DacFile(f.readall())
-            lens = np.diff(dac.starts.astype(np.int64))
+                dac = DacFile(f.readall())  # all of it is wanted here
+            lens, ids = np.diff(dac.starts.astype(np.int64)), dac.doc_ids
             for b in range(0, dac.documents, 4096):
                 e = min(b + 4096, dac.documents)
                 crc = [zlib.crc32(dac.document(k).astype("<u4").tobytes()) for k in range(b, e)]
-                yield pa.RecordBatch.from_arrays([pa.array(dac.doc_ids[b:e], pa.int64()), pa.array(dac.starts[b:e].astype(np.int64) + start), pa.array(lens[b:e]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[b:e], pa.int64()), pa.array(dac.starts[b:e].astype(np.int64) + start), pa.array(lens[b:e]), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document, read from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     tasks = max(manifest.sparkSession.sparkContext.defaultParallelism, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return manifest.select("file", "start").repartition(tasks, "file").mapInArrow(tidy(_reads), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def read_tokens(manifest: DataFrame, start: int, count: int) -> list[int]:
+    """count token ids from place start of all documents' ids: of each file that has some, only the bytes that the codes'
+    chunks, bitmaps and ranks take are read."""
+    files = manifest.where((F.col("start") < start + count) & (F.col("start") + F.col("tokens") > start)).orderBy("start").select("file", "start", "tokens").collect()
+    out: list[int] = []
+    for r in files:  # as many as hold the tokens asked for
+        fs, path = file_system(r.file)
+        with fs.open_input_file(path) as f:
+            dac = DacFile(Ranged(f))
+            out += dac.slice(max(0, start - r.start), min(r.tokens, start + count - r.start)).tolist()
+    return out
