@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.storage import light_batches
+from ledgerloom.llm.storage import columns, free, small_batches
 from ledgerloom.llm.words import text_chunks, tidy
 
 #: Components of a vector, letters of an n-gram, and the seed of the letters' random vectors.
@@ -49,9 +49,9 @@ def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Returns the column and the text of every n-gram, and the code points of each column's GRAM letters, 0 for a gap.
     Runs of other characters are one gap; n-grams whose inner letters have a gap are left out.
     """
-    joined = "\0".join(t.lower() for t in texts) + "\0"
-    cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    text = np.cumsum(cps == 0) - (cps == 0)
+    lower = [t.lower() for t in texts]
+    cps = np.frombuffer(("\0".join(lower) + "\0").encode("utf-32-le", "surrogatepass"), np.uint32)
+    text = np.repeat(np.arange(len(lower)), [len(t) + 1 for t in lower])
     letter = _is_letter()[cps]
     ended = np.ones(len(cps), bool)  # the first of a run of other characters, and every letter, stay
     ended[1:] = letter[1:] | letter[:-1] | (text[1:] != text[:-1])
@@ -144,12 +144,13 @@ def language_prototypes(docs: DataFrame, lang_col: str = "lang", text_col: str =
     All documents with a language count, none is sampled; DIM sums for each language come to the driver. Documents
     without a language or text add nothing.
     """
-    known = light_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     return _collected(known.mapInArrow(tidy(_sums), "lang string, k int, v long"))
 
 
 def _collected(sums: DataFrame) -> tuple[list[str], np.ndarray]:
-    parts = sums.groupBy("lang", "k").agg(F.sum("v").alias("v")).collect()
+    with small_batches(sums.sparkSession):
+        parts = sums.groupBy("lang", "k").agg(F.sum("v").alias("v")).collect()
     names = sorted({r.lang for r in parts})
     out = np.zeros((len(names), DIM))
     for r in parts:
@@ -195,7 +196,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def gram_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """(lang, gram, c): how often each n-gram comes in all documents of a language, exactly."""
-    known = light_batches(docs).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
+    known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
     return known.mapInArrow(tidy(_profiles), "lang string, gram long, c long").groupBy("lang", "gram").agg(F.sum("c").alias("c"))
 
 
@@ -213,7 +214,7 @@ def _bundled_profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def prototypes_of(profiles: DataFrame) -> tuple[list[str], np.ndarray]:
     """The same as language_prototypes of the documents that the profiles are of."""
-    return _collected(light_batches(profiles).mapInArrow(tidy(_bundled_profiles), "lang string, k int, v long"))
+    return _collected(profiles.mapInArrow(tidy(_bundled_profiles), "lang string, k int, v long"))
 
 
 def _text_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,27 +238,31 @@ def exact_cosines(texts: DataFrame, profiles: DataFrame) -> DataFrame:
     norms = profiles.groupBy("lang").agg(F.sqrt(F.sum(F.col("c").cast("double") * F.col("c"))).alias("norm"))
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))
     learned = profiles.join(F.broadcast(norms), "lang").select("lang", "gram", (F.col("c") / F.col("norm")).alias("w"), salts.alias("salt"))
-    rows = light_batches(texts).select("key", "text").mapInArrow(tidy(_text_grams), "key string, gram long, part double")
+    rows = texts.select("key", "text").mapInArrow(tidy(_text_grams), "key string, gram long, part double")
     met = rows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALT))).join(learned, ["gram", "salt"])
     return met.groupBy("key", "lang").agg(F.sum(F.col("part") * F.col("w")).alias("cosine")).groupBy("key").agg(F.max("cosine").alias("cosine"))
 
 
-def identify_language(docs: DataFrame, prototypes: tuple[list[str], np.ndarray], text_col: str = "text") -> DataFrame:
+def identify_language(docs: DataFrame, prototypes: tuple[list[str], np.ndarray], text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """docs with lang_pred string and score double: the language whose prototype has the largest cosine with the
     text's bundle, and that cosine, at least 0.
 
     A text that is null or has no letter is 'und' with 0, and so is every text if no language was learned. Ties go to
-    the first language in order of names. Columns of the same names are replaced; all others stay as they are.
+    the first language in order of names. Columns named as pred_col and score_col are replaced; all others stay as they are.
+    Any character can stand in a text, U+0000 included; texts are taken whole; an empty table gives no rows.
     """
     names, learned = prototypes
     unit = learned / np.maximum(np.linalg.norm(learned, axis=1, keepdims=True), 1e-9)
-    docs = light_batches(docs).drop("lang_pred", "score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    docs = docs.select(*columns(docs, pred_col, score_col))
+    [own] = free(docs.columns, "text_of_row")
+    schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    # the text beside the columns, which go through as they came
+    rows = docs.select(*columns(docs), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(own))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch.set_column(batch.schema.get_field_index(text_col), text_col, batch.column(text_col).cast(pa.string())), text_col, _CHUNK):
-                vectors = bundled([t or "" for t in chunk.column(text_col).to_pylist()]).astype(np.float64)
+            for chunk in text_chunks(batch, own, _CHUNK):
+                vectors = bundled(chunk.column(own).to_pylist()).astype(np.float64)
                 norm = np.linalg.norm(vectors, axis=1)
                 pred, score = np.full(len(norm), UNKNOWN, object), np.zeros(len(norm))
                 if names:
@@ -266,6 +271,6 @@ def identify_language(docs: DataFrame, prototypes: tuple[list[str], np.ndarray],
                     some = norm > 0
                     pred[some] = np.array(names, object)[best[some]]
                     score[some] = np.clip(cos[np.arange(len(norm)), best][some], 0, 1)
-                yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(pred.tolist(), pa.string()), pa.array(score)], names=[*chunk.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(pred.tolist(), pa.string()), pa.array(score)], names=schema.fieldNames())
 
-    return docs.mapInArrow(tidy(of), schema)
+    return rows.mapInArrow(tidy(of), schema)

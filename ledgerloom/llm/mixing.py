@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.storage import written
+from ledgerloom.llm.storage import columns, free, written
 
 #: Sources up to which their rates are broadcast; more are joined with salt.
 MOST_SOURCES, SALT = 100_000, 32
@@ -47,7 +47,8 @@ def mix_sources(
     """
     spark = docs.sparkSession
     given = weights if isinstance(weights, DataFrame) else spark.createDataFrame([(str(k), float(v)) for k, v in weights.items()], "source string, weight double")
-    docs = docs.drop("copy", "copies", "shuffle_key")
+    docs = docs.select(*columns(docs, "copy", "copies", "shuffle_key"))
+    of, rate_of, salt_of, u_of = free(docs.columns, "source_of_rate", "rate_of_source", "salt_of_rate", "u_of_row")
     source, absent = F.col(source_col).cast("string"), F.lit(default).cast("double")
     sizes = docs.groupBy(source.alias("s_source")).agg(F.sum(F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long")).alias("s_bytes"))
     sizes = sizes.join(given.select(F.col("source").alias("g_source"), F.col("weight").cast("double").alias("g_weight")), F.col("s_source") == F.col("g_source"), "left")
@@ -55,15 +56,14 @@ def mix_sources(
     all_ = sizes.agg(F.sum("s_bytes").alias("bytes"), F.sum("s_weight").alias("weight"), F.count("*").alias("n")).first()  # three numbers
     bytes_, weight = float(total if total is not None else all_.bytes or 0), float(all_.weight or 0)
     rate = F.when((F.col("s_bytes") > 0) & F.lit(weight > 0), F.col("s_weight") / F.lit(weight or 1.0) * F.lit(bytes_) / F.col("s_bytes")).otherwise(F.lit(0.0))
-    rates = sizes.select("s_source", rate.alias("s_rate"))
+    rates = sizes.select(F.col("s_source").alias(of), rate.alias(rate_of))
     if all_.n <= MOST_SOURCES:
-        drawn = docs.join(F.broadcast(rates), source.eqNullSafe(F.col("s_source")))
+        drawn = docs.join(F.broadcast(rates), source.eqNullSafe(F.col(of)))
     else:
-        salted = rates.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        drawn = docs.join(salted, source.eqNullSafe(F.col("s_source")) & (F.pmod(F.xxhash64(id_col), F.lit(SALT)) == F.col("s_salt")))
-    u = uniform(seed, F.col(id_col))
-    drawn = drawn.withColumn("s_u", u).withColumn("copies", poisson_draw(F.col("s_rate"), F.col("s_u"))).where("copies > 0")
+        salted = rates.withColumn(salt_of, F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        drawn = docs.join(salted, source.eqNullSafe(F.col(of)) & (F.pmod(F.xxhash64(id_col), F.lit(SALT)) == F.col(salt_of)))
+    drawn = drawn.withColumn(u_of, uniform(seed, F.col(id_col))).withColumn("copies", poisson_draw(F.col(rate_of), F.col(u_of))).where("copies > 0")
     drawn = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy")))
-    out = drawn.withColumn("shuffle_key", key).drop("s_source", "s_rate", "s_salt", "s_u")
+    out = drawn.select(*columns(docs), "copies", "copy", key.alias("shuffle_key"))
     return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key")

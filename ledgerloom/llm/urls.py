@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.storage import columns, free
+
 #: Path segments of patterns_of() by default, and salts over which the captures of one key are spread.
 DEPTH, SALT = 3, 16
 
+RESULT = ("verdict", "pattern", "valid_from", "valid_to")
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 PATH = r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -18,14 +21,16 @@ def host_of(url: Column) -> Column:
 
 
 def patterns_of(url: Column, depth: Column | int = DEPTH) -> Column:
-    """What could be listed for a URL: its host, the domains above it down to two labels, and the host with up to
+    """What could be listed for a URL: its host and the domains above it down to two labels, each alone and with up to
     depth path segments."""
     host = host_of(url)
     labels = F.split(host, r"\.")
-    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     segments = F.filter(F.split(F.regexp_extract(url, PATH, 1), "/"), lambda s: s != "")
-    below = F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(depth), F.lit(1))), lambda i: (i <= F.size(segments)) & (i <= F.lit(depth))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/")))
-    return F.when(host != "", F.array_distinct(F.concat(above, below))).otherwise(F.array().cast("array<string>"))
+    deepest = F.least(F.size(segments), F.lit(depth))
+    paths = F.transform(F.sequence(F.lit(0), deepest), lambda i: F.when(i > 0, F.concat(F.lit("/"), F.array_join(F.slice(segments, F.lit(1), i), "/"))).otherwise(F.lit("")))
+    each = F.flatten(F.transform(domains, lambda d: F.transform(paths, lambda p: F.concat(d, p))))
+    return F.when(host != "", F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -44,23 +49,22 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", t
     Each (url, time) is looked up once, with its few possible patterns as keys; the keys of one host, however many, are
     spread over salts, for each of which the list has a copy. Only urls and times are shuffled for that.
 
-    Paths are matched at any depth, up to that of the deepest pattern of the list, which an aggregate over it gives. A
-    pattern with a path is of its own host only, not of the hosts below it.
+    Paths are matched at any depth, up to that of the deepest pattern of the list, which an aggregate over it gives; a
+    pattern, with a path or not, is of its own host and of the hosts below it.
 
     A null or malformed url, or a null time, passes. Rows that repeat are all kept. Patterns are lower-case hosts with
-    an optional path. Without captures there are no rows, without entries all pass. Columns of the same names are replaced.
+    an optional path. Without captures there are no rows, without entries all pass. Columns of the same names are replaced;
+    all others, whatever their names, stay as they are.
     """
-    captures = captures.drop("verdict", "pattern", "valid_from", "valid_to")
+    captures = captures.select(*columns(captures, *RESULT))
     # no pattern is asked for that has more segments than the deepest of the list
     slashes = F.length("pattern") - F.length(F.replace(F.col("pattern"), F.lit("/"), F.lit("")))
     depth = entries.agg(F.coalesce(F.max(slashes), F.lit(0)).alias("depth")).first().depth
-    asked = captures.select(F.col(url_col).alias("_u"), F.col(time_col).alias("_t")).where("_u is not null and _t is not null").distinct()
-    keys = asked.select("_u", "_t", F.explode(patterns_of(F.col("_u"), depth)).alias("pattern"), F.pmod(F.xxhash64("_u", "_t"), F.lit(SALT)).alias("salt"))
+    asked = captures.select(F.col(url_col).alias("u"), F.col(time_col).alias("t")).where("u is not null and t is not null").distinct()
+    keys = asked.select("u", "t", F.explode(patterns_of(F.col("u"), depth)).alias("pattern"), F.pmod(F.xxhash64("u", "t"), F.lit(SALT)).alias("salt"))
     listed = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    hit = keys.join(listed, ["pattern", "salt"]).where((F.col("_t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_t") < F.col("valid_to"))))
-    best = hit.groupBy("_u", "_t").agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action", "valid_from", "valid_to")).alias("_b"))
-    out = captures.join(best, (captures[url_col] == best["_u"]) & (captures[time_col] == best["_t"]), "left")
-    return out.select(
-        *[captures[c] for c in captures.columns],
-        F.coalesce("_b.action", F.lit("pass")).alias("verdict"), F.col("_b.pattern").alias("pattern"), F.col("_b.valid_from").alias("valid_from"), F.col("_b.valid_to").alias("valid_to"),
-    )
+    hit = keys.join(listed, ["pattern", "salt"]).where((F.col("t") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("t") < F.col("valid_to"))))
+    u, t, b = free(captures.columns, "url_asked", "time_asked", "best_entry")
+    best = hit.groupBy(F.col("u").alias(u), F.col("t").alias(t)).agg(F.max(F.struct(F.length("pattern").alias("n"), "pattern", "action", "valid_from", "valid_to")).alias(b))
+    out = captures.join(best, (F.col(url_col) == F.col(u)) & (F.col(time_col) == F.col(t)), "left")
+    return out.select(*columns(captures), F.coalesce(F.col(f"{b}.action"), F.lit("pass")).alias("verdict"), *[F.col(f"{b}.{c}").alias(c) for c in RESULT[1:]])

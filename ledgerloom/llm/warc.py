@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.storage import file_system, light_batches, new_path, written
+from ledgerloom.llm.storage import file_system, new_path, small_batches, written
 
 #: Fixed values of the seekable Zstandard format and of WARC 1.1.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -24,6 +24,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FRAME, BUNDLE = 256 << 10, 256 << 20
 #: Payloads of fewer bytes are always written whole.
 LEAST_PAYLOAD = 100
+#: Salts under which rows of one payload find its response.
+SALT = 16
 #: The tables have no time of capture.
 DATE = "1970-01-01T00:00:00Z"
 
@@ -160,14 +162,17 @@ def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "pa
     out of the record. An empty table gives no bundle. Other columns are ignored.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
-    rows = light_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2("html", 256))
     keys = rows.where(F.octet_length("html") >= LEAST_PAYLOAD).select("page_id", "digest")
     first = keys.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    revisits = keys.join(first, "digest").where("not page_id <=> refers_to").select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to").distinct()
+    # however many rows one payload has, they find its response under salts
+    salted = first.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    revisits = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALT))).join(salted, ["digest", "salt"]).where("not page_id <=> refers_to").select(F.col("page_id").alias("r_id"), F.col("digest").alias("r_digest"), "refers_to").distinct()
     all_ = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest")), "left")
     index = all_.select("page_id", "url", "html", "digest", "refers_to").sortWithinPartitions("page_id").mapInArrow(_writes(folder), _INDEX)
-    return written(index, "warc-index")
+    with small_batches(pages.sparkSession):
+        return written(index, "warc-index")
 
 
 _READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"

@@ -55,3 +55,14 @@ def test_beam_codes_are_no_worse_than_greedy_ones():
     m = fit(x, books=4, words=16)
     error = lambda beam: float(((x - m.decode(m.encode(x, beam))) ** 2).sum())
     assert error(8) <= error(1) and isinstance(m, Codebooks)
+
+
+def test_large_and_small_magnitudes(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [0.0, -1e-320]), (4, [3.0, 4.0]), (5, [1e308, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.vec_id, round(r.score, 12)) for r in nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    half = round(0.5**0.5, 12)
+    assert [g[0] for g in got[:2]] == [1, 4] and sorted(got[2:4]) == [(2, half), (5, half)] and got[4] == (3, -half) and got[0][1] == 1.0
+    x = np.random.default_rng(1).standard_normal((50, 8))
+    plain = (x[0] * x).sum(1) / (np.sqrt((x[0] * x[0]).sum()) * np.sqrt((x * x).sum(1)))
+    assert np.allclose(cosines(x[0], x), plain, rtol=0, atol=4e-16)

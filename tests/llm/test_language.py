@@ -1,9 +1,11 @@
 import random
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.language import GRAM, bundled, identify_language, language_prototypes, letter_vector
+from ledgerloom.llm.language import GRAM, bundled, gram_profiles, identify_language, language_prototypes, letter_vector, prototypes_of
+from ledgerloom.llm.queries import op9_hyperdimensional_language
 
 SYLLABLES = {"aa": ["ka", "to", "mi", "ra", "ne"], "bb": ["sch", "ung", "ein", "ter", "ach"], "cc": ["ção", "lh", "nho", "mente", "os"]}
 
@@ -44,3 +46,50 @@ def test_odd_rows(spark):
     none = language_prototypes(df.where("lang is null and doc_id = 2"))
     assert {(r.lang_pred, r.score) for r in identify_language(df, none).collect()} == {("und", 0.0)}
     assert set(identify_language(df, learned).columns) == {"doc_id", "text", "lang", "k", "lang_pred", "score"}
+
+
+def test_nul_characters_are_gaps_inside_a_text(spark):
+    rows = [(1, "ka\0to", "aa"), (2, "\0", "aa"), (3, "\0\0sch\0ung\0", "bb"), (4, "", "bb"), (5, "sch ung", "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = language_prototypes(df)
+    assert np.array_equal(prototypes_of(gram_profiles(df))[1], learned[1])
+    got = {r.doc_id: r.lang_pred for r in identify_language(df, learned).collect()}
+    assert got == {1: "aa", 2: "und", 3: "bb", 4: "und", 5: "bb"}
+    vectors = bundled(["ka\0to", "ka to", "x", "\0\0sch\0ung\0", "sch ung"])
+    assert np.array_equal(vectors[0], vectors[1]) and np.array_equal(vectors[3], vectors[4])
+
+
+def test_predictions_by_plain_code(spark):
+    """Every prediction is that of the plain bundles' cosines, worked out text by text with Python's own counts."""
+    from collections import Counter
+
+    rows = docs(80, 5)
+
+    def vector(text):
+        letters = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+        total = np.zeros(512)
+        for w in letters:
+            padded = [0, *map(ord, w), 0]
+            for g, n in Counter(tuple(padded[i : i + GRAM]) for i in range(len(padded) - GRAM + 1)).items():
+                total += n * np.prod([np.roll(letter_vector(c), GRAM - 1 - k).astype(float) for k, c in enumerate(g)], axis=0)
+        return total
+
+    sums = {lang: sum(vector(t) for i, t, x in rows if x == lang and i % 2) for lang in SYLLABLES}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in identify_language(df, language_prototypes(df.where("doc_id % 2 = 1"))).collect()}
+    for i, t, _ in rows:
+        v = vector(t)
+        cos = {x: v @ s / np.linalg.norm(v) / np.linalg.norm(s) for x, s in sums.items()}
+        assert got[i].lang_pred == max(cos, key=cos.get) and abs(got[i].score - max(0, *cos.values())) < 1e-9
+
+
+def test_the_registered_query(spark):
+    sf = "/root/testdata/sf0.001"
+    want = {r.doc_id: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = op9_hyperdimensional_language(spark, sf).collect()
+    assert len(rows) == len(want)
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
+        assert r.lang_pred != "und" or not any(c.isalpha() for c in want[r.doc_id].text or "")
+    held = [r for r in rows if r.held_out and want[r.doc_id].lang and r.lang_pred != "und"]
+    assert sum(r.lang_pred == want[r.doc_id].lang for r in held) >= 0.97 * len(held) > 10

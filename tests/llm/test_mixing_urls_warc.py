@@ -74,7 +74,7 @@ def test_url_filter(spark):
 def test_patterns(spark):
     df = spark.createDataFrame([("HTTP://A.b.c.de:1/x//y/z/w?q#f",), ("http://localhost/",), ("x",), (None,)], "u string")
     got = [(r.h, r.p) for r in df.select(host_of(F.col("u")).alias("h"), patterns_of(F.col("u")).alias("p")).collect()]
-    assert got[0] == ("a.b.c.de", ["a.b.c.de", "b.c.de", "c.de", "a.b.c.de/x", "a.b.c.de/x/y", "a.b.c.de/x/y/z"])
+    assert got[0] == ("a.b.c.de", [d + p for d in ("a.b.c.de", "b.c.de", "c.de") for p in ("", "/x", "/x/y", "/x/y/z")])
     assert got[1] == ("localhost", ["localhost"]) and got[2] == ("", []) and got[3][1] == []
 
 
@@ -111,3 +111,19 @@ def test_deep_paths(spark):
     captures = spark.createDataFrame([(u, at("2024-02-01")) for u in urls], "url string, fetched_at timestamp")
     got = {r.url: r.verdict for r in filter_urls(captures, e).collect()}
     assert [got[u] for u in urls] == ["block", "block", "allow", "pass"]
+
+
+def test_paths_of_domains_above(spark):
+    e = spark.createDataFrame([("example.com/fr", at("2024-01-01"), "block"), ("m.example.com", at("2024-01-01"), "allow"), ("a.b.m.example.com/fr/x", at("2024-01-01"), "block")], "pattern string, listed_at timestamp, action string")
+    urls = ["http://x.example.com/fr/1", "http://a.b.m.example.com/fr", "http://a.b.m.example.com/fr/x", "http://example.com/de"]
+    captures = spark.createDataFrame([(u, at("2024-02-01")) for u in urls], "url string, fetched_at timestamp").withColumns({"_b": F.lit(1), "best_entry": F.lit(2), "URL_asked": F.lit(3), "a.b": F.lit(4), "u": F.lit(5), "n": F.lit(6)})
+    got = {r.url: r for r in filter_urls(captures, e).collect()}
+    assert [(got[u].verdict, got[u].pattern) for u in urls] == [("block", "example.com/fr"), ("block", "example.com/fr"), ("block", "a.b.m.example.com/fr/x"), ("pass", None)]
+    assert all((r._b, r.best_entry, r.URL_asked, r["a.b"], r.u, r.n) == (1, 2, 3, 4, 5, 6) for r in got.values())
+
+
+def test_helper_columns_of_the_mixture_clash_with_none(spark):
+    own = ["s_source", "s_bytes", "s_rate", "s_u", "s_salt", "rate_of_source", "u_of_row", "a.b"]
+    df = spark.createDataFrame([(i, "x" * 50, "ab"[i % 2]) for i in range(200)], "doc_id long, text string, source string").select("*", *[F.lit(c).alias(c) for c in own])
+    out = mix_sources(df, {"a": 3.0}, default=1.0)
+    assert out.columns == [*df.columns, "copies", "copy", "shuffle_key"] and all(r[c] == c for r in out.collect() for c in own)

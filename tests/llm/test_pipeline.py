@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages_by_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    odd = spark.createDataFrame([(9001, None), (9002, ""), (9003, "123"), (None, "the and of that"), (9004, "the of and that in it")], "doc_id long, text string")
+    odd = spark.createDataFrame([(9001, None), (9002, ""), (9003, "123"), (None, "the and of that"), (9004, "the of and that in it"), (9005, "\0"), (9006, "the\0and of <|endoftext|> it")], "doc_id long, text string")
     docs = docs.unionByName(odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit("src0").alias("source"), F.length("text").cast("long").alias("n_chars"))).union(docs.where("doc_id = 7"))
     columns = docs.columns
     steps = {}
@@ -24,7 +24,7 @@ def test_stages_by_brute_force(spark):
         steps[name] = docs.collect()
         assert name == "token_files" or docs.columns == columns
     ids = lambda name: {r.doc_id for r in steps[name]}
-    all_ = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()} | {9004: "the of and that in it", None: "the and of that"}
+    all_ = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()} | {9004: "the of and that in it", 9006: "the\0and of <|endoftext|> it", None: "the and of that"}
     assert ids("language") == set(all_)
     whole = {i: t for i, t in all_.items() if i is not None}
     kept = {i for i, c in brute.components(whole, 5).items() if i == c}
@@ -35,7 +35,7 @@ def test_stages_by_brute_force(spark):
     assert ids("mixture") <= ids("decontaminate") and len(steps["mixture"]) > 0.5 * len(steps["decontaminate"])
     from tokenizers import Tokenizer
 
-    plain, start = Tokenizer.from_file(f"{P.TOKENIZERS}/byte_bpe_50k.json"), 0
+    plain, start = Tokenizer.from_file(P.TOKENIZER), 0
     got = sorted(map(tuple, steps["token_files"]), key=lambda r: r[1])
     for row, r in zip(got, sorted(steps["mixture"], key=lambda r: (r.doc_id is not None, r.doc_id or 0)), strict=True):
         tokens = plain.encode(r.text, add_special_tokens=False).ids + [0]
@@ -69,3 +69,15 @@ def test_prototypes_of_profiles_are_those_of_documents(spark):
     names, learned = language_prototypes(docs)
     again = prototypes_of(gram_profiles(docs))
     assert names == again[0] and np.array_equal(learned, again[1])
+
+
+def test_columns_of_any_names_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    own = ["score", "its_score", "lang_pred", "lang_score", "Lang_Score_", "text_key", "s_source", "s_rate", "s_u", "copy", "Copies", "shuffle_key", "n", "rep", "a.b", "component"]
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}:"), "doc_id").alias(c) for c in own])
+    columns = docs.columns
+    for name, stage in P.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), name)
+        assert docs.columns == columns and docs.count() > 0
+        for r in docs.limit(20).collect():
+            assert all(r[c] == f"{c}:{r.doc_id}" for c in own)
