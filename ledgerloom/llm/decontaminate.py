@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerloom.llm.words import WHITE, U, Words, mix, text_chunks
+from ledgerloom.llm.storage import aside, columns, file_system, new_path
+from ledgerloom.llm.words import WHITE, U, Words, mix, text_chunks, tidy
 
 #: Edits (words inserted, left out or replaced) that are allowed for each word of an item.
 RATE = 0.2
-#: Bytes of items that are looked for in one pass over the documents.
-BLOCK_BYTES = 32 << 20
+#: Bytes of items in a file, whose matcher a task holds at a time, and words of an item up to which it keeps all masks.
+BLOCK_BYTES, KEPT = 16 << 20, 1_024
 #: Bytes that are no part of a word here: ASCII other than letters and digits.
 _BREAK = WHITE.copy()
 _BREAK[[b for b in range(128) if not chr(b).isalnum()]] = True
@@ -33,13 +36,10 @@ def words_of(texts: pa.Array) -> Words:
 
 
 class Item:
-    """A test item as word hashes, with Myers' bit vectors: bit i of peq[word] is set if word i of the item is that."""
+    """A test item as word hashes; ids are those of all items that are the same words."""
 
-    def __init__(self, item_id: int, words: np.ndarray, rate: float):
-        self.id, self.words, self.budget = item_id, words, int(len(words) * rate)
-        self.peq: dict[int, int] = {}
-        for i, w in enumerate(words.tolist()):
-            self.peq[w] = self.peq.get(w, 0) | 1 << i
+    def __init__(self, ids: list[int | None], words: np.ndarray, rate: float):
+        self.ids, self.words, self.budget = ids, words, int(len(words) * rate)
 
     def pieces(self) -> Iterator[tuple[int, int]]:
         """(begin, end) of budget + 1 pieces of near equal length: one of them is whole in whatever is within budget."""
@@ -47,14 +47,33 @@ class Item:
         for k in range(parts):
             yield n * k // parts, n * (k + 1) // parts
 
+    def _masks(self) -> Callable[[int], int]:
+        """Bit i of a word's mask is set if word i of the item is that. Of items of over KEPT words a mask is made where it is
+        asked for and not kept, so that memory is linear in the item's length."""
+        at: dict[int, list[int]] = {}
+        for i, w in enumerate(self.words.tolist()):
+            at.setdefault(w, []).append(i)
+
+        def mask(w: int) -> int:
+            out = 0
+            for i in at.get(w, ()):
+                out |= 1 << i
+            return out
+
+        if len(self.words) > KEPT:
+            return mask
+        masks = {w: mask(w) for w in at}
+        return lambda w: masks.get(w, 0)
+
     def nearest(self, text: list[int]) -> tuple[int, int]:
-        """The least edit distance of the item to a part of the text, and where the first such part ends."""
-        n = len(self.words)
+        """The least edit distance of the item to a part of the text, and where the first such part ends, by Myers' bit
+        vectors."""
+        n, masks = len(self.words), self._masks()
         mask, top = (1 << n) - 1, 1 << (n - 1)
         pv, mv, score = mask, 0, n
         best, at = n, 0
         for j, w in enumerate(text):
-            eq = self.peq.get(w, 0)
+            eq = masks(w)
             xv = eq | mv
             xh = (((eq & pv) + pv) ^ pv) | eq
             ph, mh = mv | ~(xh | pv), pv & xh
@@ -82,7 +101,11 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
         texts = words_of(pa.array([t for _, t in items], pa.string()))
         hashes = texts.hashes()
-        self.items = [Item(i, hashes[b:e], rate) for (i, _), b, e in zip(items, texts.bounds, texts.bounds[1:], strict=False) if e > b]
+        same: dict[bytes, Item] = {}
+        for (i, _), b, e in zip(items, texts.bounds, texts.bounds[1:], strict=False):
+            if e > b:
+                same.setdefault(hashes[b:e].tobytes(), Item([], hashes[b:e], rate)).ids.append(i)
+        self.items = list(same.values())
         by: dict[int, list[tuple[int, int, int]]] = {}
         for number, item in enumerate(self.items):
             for b, e in item.pieces():
@@ -130,18 +153,65 @@ class Matcher:
                 if edits <= item.budget and (best is None or edits < best[0]):
                     best = (edits, b + end - int(words.bounds[t]))
             if best is not None:
-                out.append((t, item.id, best[0], item.budget, best[1]))
+                out += [(t, i, best[0], item.budget, best[1]) for i in item.ids]
         return out
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """All items, in blocks of about BLOCK_BYTES: each is collected on its own and sent with one pass over the documents."""
+def _stores(folder: str):
+    """mapInArrow function over (block, i, t) sorted by block: a file for each block, and its path."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = file_system(folder)
+        fs.create_dir(base, recursive=True)
+        block, sink, writer, attempt = None, None, None, TaskContext.get().taskAttemptId()
+
+        def end() -> pa.RecordBatch:
+            writer.close()
+            sink.close()
+            fs.move(f"{base}/.{block}.{attempt}", f"{base}/{block}.arrow")
+            return pa.RecordBatch.from_pydict({"path": [f"{folder}/{block}.arrow"]})
+
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for b, e in zip(cuts, cuts[1:], strict=False):
+                if e == b:
+                    continue
+                if blocks[b] != block:
+                    if block is not None:
+                        yield end()
+                    block = int(blocks[b])
+                    sink = fs.open_output_stream(f"{base}/.{block}.{attempt}")
+                    writer = pa.ipc.new_stream(sink, batch.schema)
+                writer.write_batch(batch.slice(b, e - b))
+        if block is not None:
+            yield end()
+
+    return of
+
+
+def _blocks(items: DataFrame, id_col: str, text_col: str) -> list[str]:
+    """All items in files of about BLOCK_BYTES in the shared folder; the driver gets nothing but their names."""
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null")
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    size = rows.agg(F.sum(F.octet_length("t").cast("long"))).first()[0] or 0
     blocks = -(-size // BLOCK_BYTES)
-    for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else rows
-        yield [(r.i, r.t) for r in part.orderBy("i", "t").collect()]
+    if not blocks:
+        return []
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))).repartition(blocks, "block").sortWithinPartitions("block", "i", "t")
+    files = dealt.select("block", "i", "t").mapInArrow(_stores(new_path(items.sparkSession, "items")), "path string")
+    return sorted(r.path for r in files.collect())
+
+
+def _matcher(path: str, rate: float) -> Matcher:
+    """The matcher of a block; a worker keeps the last one from task to task."""
+    store = sys.modules.setdefault("_loom_kept", types.ModuleType("_loom_kept")).__dict__
+    if store.get("matcher", (None,))[0] != (path, rate):
+        store.pop("matcher", None)
+        fs, at = file_system(path)
+        with fs.open_input_stream(at) as source:
+            items = pa.ipc.open_stream(source).read_all()
+        store["matcher"] = (path, rate), Matcher(list(zip(items.column("i").to_pylist(), items.column("t").to_pylist(), strict=True)), rate)
+    return store["matcher"][1]
 
 
 MATCHES = "doc_id long, item_id long, edits int, budget int, end_word int"
@@ -153,45 +223,54 @@ def contaminations(docs: DataFrame, items: DataFrame, rate: float = RATE, id_col
     The distance is in words (lower case, letters and digits): insertions, deletions and replacements between the item
     and the nearest passage of the document, floor(rate * words of the item) at most. An item within budget has at
     least one of budget + 1 pieces unchanged; pieces are looked up by hash in the whole text, and what surrounds a hit
-    is verified by Myers' bit vectors. end_word: words of the document up to the passage's end.
+    is verified by Myers' bit vectors. end_word: words of the document up to the passage's end. An item of fewer than
+    1 / rate words has no budget: it is found wherever it stands word for word, an item of one word in every document
+    with that word.
+
+    Items go to files of BLOCK_BYTES in the shared folder. There is one pass over the documents; a task holds the matcher
+    of one block at a time, whatever the number of items.
 
     Null or wordless items and documents match nothing. Null ids are kept as null. Rows that repeat are compared each.
     No documents or no items: no rows. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    paths = _blocks(items, item_col, item_text_col)
 
-    def looked(matcher: Matcher):
-        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        for batch in batches:
+            for path in paths:
+                matcher = _matcher(path, rate)
                 for chunk in text_chunks(batch, "text"):
                     ids = chunk.column("doc_id").to_pylist()
                     found = [(ids[t], *rest) for t, *rest in matcher.matches(chunk.column("text"))]
                     if found:
-                        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "edits", "budget", "end_word"])
 
-        return of
-
-    out = None
-    for block in _blocks(items, item_col, item_text_col):
-        part = rows.mapInArrow(looked(Matcher(block, rate)), MATCHES)
-        out = part if out is None else out.union(part)
-    return out if out is not None else docs.sparkSession.createDataFrame([], T.StructType.fromDDL(MATCHES))
+    return rows.mapInArrow(tidy(of), MATCHES)
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """docs without those that hold a passage of an item, as contaminations() finds them. All columns stay."""
-
-    def without(matcher: Matcher):
-        def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for chunk in text_chunks(batch, text_col):
-                    clean = np.ones(chunk.num_rows, bool)
-                    clean[[m[0] for m in matcher.matches(chunk.column(text_col))]] = False
-                    yield chunk.filter(pa.array(clean))
+    """docs without those that hold a passage of an item, as contaminations() finds them.
 
-        return of
+    Null and empty texts, and documents whose words are few, stay as long as they hold no item. Rows that repeat, null ids
+    and texts of any length are judged each, on the whole text. All columns stay as they are, whatever their names. No
+    documents: no rows; no items: all documents.
+    """
+    paths = _blocks(items, item_col, item_text_col)
+    given = aside(docs)
+    names = given.columns
+    rows = docs.select(F.col(text_col).cast("string").alias("text"), *columns(docs)).toDF("text", *names)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for path in paths:
+                matcher, at = _matcher(path, rate), 0
+                for chunk in text_chunks(batch, "text"):
+                    clean[[at + m[0] for m in matcher.matches(chunk.column("text"))]] = False
+                    at += chunk.num_rows
+            kept = batch.filter(pa.array(clean))
+            yield pa.RecordBatch.from_arrays(kept.columns[1:], names=names)
 
-    for block in _blocks(items, item_col, item_text_col):
-        docs = docs.mapInArrow(without(Matcher(block, rate)), docs.schema)
-    return docs
+    return rows.mapInArrow(tidy(of), given.schema).toDF(*docs.columns)

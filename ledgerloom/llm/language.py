@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.llm.storage import columns, free, small_batches
+from ledgerloom.llm.storage import aside, columns, small_batches
 from ledgerloom.llm.words import text_chunks, tidy
 
 #: Components of a vector, letters of an n-gram, and the seed of the letters' random vectors.
@@ -254,15 +254,15 @@ def identify_language(docs: DataFrame, prototypes: tuple[list[str], np.ndarray],
     names, learned = prototypes
     unit = learned / np.maximum(np.linalg.norm(learned, axis=1, keepdims=True), 1e-9)
     docs = docs.select(*columns(docs, pred_col, score_col))
-    [own] = free(docs.columns, "text_of_row")
-    schema = T.StructType([*docs.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    given = aside(docs)
+    schema = T.StructType([*given.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     # the text beside the columns, which go through as they came
-    rows = docs.select(*columns(docs), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(own))
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *columns(docs)).toDF("text", *given.columns)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in text_chunks(batch, own, _CHUNK):
-                vectors = bundled(chunk.column(own).to_pylist()).astype(np.float64)
+            for chunk in text_chunks(batch, "text", _CHUNK):
+                vectors = bundled(chunk.column("text").to_pylist()).astype(np.float64)
                 norm = np.linalg.norm(vectors, axis=1)
                 pred, score = np.full(len(norm), UNKNOWN, object), np.zeros(len(norm))
                 if names:
@@ -271,6 +271,6 @@ def identify_language(docs: DataFrame, prototypes: tuple[list[str], np.ndarray],
                     some = norm > 0
                     pred[some] = np.array(names, object)[best[some]]
                     score[some] = np.clip(cos[np.arange(len(norm)), best][some], 0, 1)
-                yield pa.RecordBatch.from_arrays([*chunk.columns[:-1], pa.array(pred.tolist(), pa.string()), pa.array(score)], names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([*chunk.columns[1:], pa.array(pred.tolist(), pa.string()), pa.array(score)], names=schema.fieldNames())
 
-    return rows.mapInArrow(tidy(of), schema)
+    return rows.mapInArrow(tidy(of), schema).toDF(*docs.columns, pred_col, score_col)

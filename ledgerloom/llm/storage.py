@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.sources.storage import Scratch, dropped, new_path, shared_dir, written
 
-__all__ = ["Scratch", "columns", "dropped", "file_system", "free", "new_path", "shared_dir", "small_batches", "written"]
+__all__ = ["Scratch", "aside", "columns", "dropped", "file_system", "free", "new_path", "shared_dir", "small_batches", "written"]
 
 
 @contextmanager
@@ -43,6 +43,11 @@ def columns(df: DataFrame, *without: str) -> list[Column]:
     return [F.col(quoted(c)) for c in df.columns if c.lower() not in gone]
 
 
+def aside(df: DataFrame) -> DataFrame:
+    """The frame with its columns named c0, c1, ...: Arrow functions can't be given columns with dots in their names."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
