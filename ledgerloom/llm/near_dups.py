@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.storage import dropped, written
+from ledgerloom.llm.storage import Scratch, small_batches
 from ledgerloom.llm.words import U, Words, mix, shingles, text_chunks, tidy
 
 #: Collections of minhashes on each side of the tensor, and minhashes in each. A table key is one collection of the
@@ -19,8 +19,8 @@ LANES, ROWS = 20, 4
 #: A pair whose sketches agree on fewer of the 160 minhashes isn't looked at: five deviations below what a
 #: similarity of 0.8 gives, so that fewer than one link in a million is lost by it.
 SURE = 5.0
-#: Documents, and shingles, that a block of a large bucket holds; pairs of blocks are compared in different tasks.
-BLOCK, BLOCK_SHINGLES = 64, 200_000
+#: Rows outside of a bucket's largest component, and rows of all, that meet in a cell, and shingles of either at most.
+OUTSIDE, INSIDE, BLOCK_SHINGLES = 128, 1_024, 400_000
 SALT = 32
 
 _A = mix(np.arange(1, 2 * LANES * ROWS + 1, dtype=U)) | U(1)
@@ -62,8 +62,8 @@ def _fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketched(words: int):
-    """mapInArrow function: (doc_id, text) to doc_id, n, a fingerprint of the set, left keys and sketch."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("a", pa.list_(pa.int64())), ("sketch", pa.binary())])
+    """mapInArrow function: (doc_id, t, text) to doc_id, t, n, a fingerprint of the set, left keys and sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("a", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -80,12 +80,31 @@ def sketched(words: int):
                     a[i], sketch[i] = keys[row].view(np.int64), low[row].tobytes()
                 fp1, fp2 = _fingerprints(sets)
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), pa.array(n), pa.array(fp1), pa.array(fp2), pa.array(a, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([chunk.column("doc_id"), chunk.column("t"), pa.array(n), pa.array(fp1), pa.array(fp2), pa.array(a, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], schema=schema)
 
     return of
 
 
-SKETCHED = "doc_id long, n long, fp1 long, fp2 long, a array<long>, sketch binary"
+SKETCHED = "doc_id long, t long, n long, fp1 long, fp2 long, a array<long>, sketch binary"
+
+
+def _table_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (rep, sketch, lefts: lane and key of left collections) to (key, rep), a row for each pair of
+    one of these and a right collection: the keys of the tensor's tables."""
+    lane_of = mix(np.arange(7, 7 + LANES * LANES, dtype=U)).reshape(LANES, LANES)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rep, lefts = batch.column("rep").to_numpy(), batch.column("lefts")
+        right = _sketches(batch).view(np.uint32)[:, LANES:].astype(U)
+        count = np.diff(lefts.offsets.to_numpy())
+        flat = lefts.flatten()
+        row = np.repeat(np.arange(len(rep)), count)
+        lane, left = flat.field("lane").to_numpy(zero_copy_only=False), flat.field("key").to_numpy(zero_copy_only=False).view(U)
+        for k in range(0, len(row), 20_000):
+            r = row[k : k + 20_000]
+            key = mix(mix(left[k : k + 20_000, None] + lane_of[lane[k : k + 20_000]]) + right[r] * U(0x9E3779B97F4A7C15))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(rep[r], LANES))], names=["key", "rep"])
 
 
 def forest(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,24 +150,23 @@ def _edges(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def _pairs(edges: np.ndarray, p: np.ndarray, q: np.ndarray, block: np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of each group: within a block where p = q, else between its two blocks. Some at a time."""
+def _crossing(edges: np.ndarray, side: np.ndarray, comp: np.ndarray, rep: np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of each cell, one of side 0 and one of side 1, of different components. Some at a time."""
     xs, ys, held = [], [], 0
     for b, e in zip(edges.tolist(), edges[1:].tolist(), strict=False):
-        if e - b < 2:
+        cut = b + int(np.searchsorted(side[b:e], 1))
+        if cut == b or cut == e:
             continue
-        if p[b] == q[b]:
-            i, j = np.triu_indices(e - b, 1)
-        else:
-            left = block[b:e] == p[b]
-            l, r = np.flatnonzero(left), np.flatnonzero(~left)
-            i, j = np.repeat(l, len(r)), np.tile(r, len(l))
-        xs.append(i + b)
-        ys.append(j + b)
-        held += len(i)
-        if held >= at_once:
-            yield np.concatenate(xs), np.concatenate(ys)
-            xs, ys, held = [], [], 0
+        step = max(1, at_once // (e - cut))
+        for k in range(b, cut, step):
+            i, j = np.repeat(np.arange(k, min(k + step, cut)), e - cut), np.tile(np.arange(cut, e), min(k + step, cut) - k)
+            ok = comp[i] != comp[j]
+            xs.append(i[ok])
+            ys.append(j[ok])
+            held += len(i)
+            if held >= at_once:
+                yield np.concatenate(xs), np.concatenate(ys)
+                xs, ys, held = [], [], 0
     if held:
         yield np.concatenate(xs), np.concatenate(ys)
 
@@ -165,43 +183,84 @@ def _alike(sketch: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, num:
     return out
 
 
-def _sketches(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, 2 * LANES * ROWS)
+def _sketches(table: pa.Table | pa.RecordBatch, column: str = "sketch") -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), np.uint8).reshape(table.num_rows, 2 * LANES * ROWS)
+
+
+def _agreeing(num: int, den: int):
+    """mapInArrow function: (x, y, nx, ny, sx, sy) to x, y and the minhashes they agree on, of pairs that may be links."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = least_agreeing(num / den)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            nx, ny = batch.column("nx").to_numpy(), batch.column("ny").to_numpy()
+            same = (_sketches(batch, "sx") == _sketches(batch, "sy")).sum(1)
+            ok = pa.array((same >= least) & (den * np.minimum(nx, ny) >= num * np.maximum(nx, ny)))
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(ok), batch.column("y").filter(ok), pa.array(same.astype(np.int32)).filter(ok)], names=["x", "y", "agree"])
+
+    return of
+
+
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    both = np.concatenate([s, t])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
 
-_EDGE = pa.schema([("x", pa.int64()), ("y", pa.int64())])
+def _similar(s: np.ndarray, t: np.ndarray, num: int, den: int) -> bool:
+    common = _common(s, t)
+    return den * common >= num * (len(s) + len(t) - common)
 
 
-def _candidates(num: int, den: int):
-    """mapInArrow function over sorted cells (lane, key, p, q): edges that connect all pairs that may be links."""
+def _sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(s.as_buffer(), U) for s in column]
+
+
+def _confirmed(num: int, den: int):
+    """mapInArrow function: (x, y, sx, sy) to those whose full sets are similar enough."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = pa.array([_similar(s, t, num, den) for s, t in zip(_sets(batch.column("sx")), _sets(batch.column("sy")), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(ok), batch.column("y").filter(ok)], names=["x", "y"])
+
+    return of
+
+
+_CELL = ["key", "p", "q"]
+
+
+def _flagged(num: int, den: int):
+    """mapInArrow function over sorted cells: (key, rep) of the rows that, by their sketches, may be linked to one of
+    another component."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = least_agreeing(num / den)
-        for table in _groups(batches, ["lane", "key", "p", "q"], 8_192):
-            at = _edges(table, ["lane", "key", "p", "q"])
-            rep, n, p, q, block = (table.column(c).to_numpy() for c in ("rep", "n", "p", "q", "block"))
-            sketch = _sketches(table)
-            ids, back = np.unique(rep, return_inverse=True)
-            for x, y in _pairs(at, p, q, block):
+        for table in _groups(batches, _CELL, 8_192):
+            key, rep, comp, n, side = (table.column(c).to_numpy() for c in ("key", "rep", "comp", "n", "side"))
+            sketch, hit = _sketches(table), np.zeros(table.num_rows, bool)
+            for x, y in _crossing(_edges(table, _CELL), side, comp, rep):
                 ok = _alike(sketch, n, x, y, num, den, least)
-                v, to = forest(back[x[ok]], back[y[ok]], len(ids))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[v]), pa.array(ids[to])], schema=_EDGE)
+                hit[x[ok]] = hit[y[ok]] = True
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(rep[hit])], names=["key", "rep"])
 
     return of
 
 
-def _confirmed(num: int, den: int):
-    """mapInArrow function over sorted cells (component, p, q): edges that connect all pairs confirmed on full sets."""
+def _linked(num: int, den: int):
+    """mapInArrow function over sorted cells with full sets: edges of a forest that, with the components, connects all that
+    is linked across components."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = least_agreeing(num / den)
-        for table in _groups(batches, ["component", "p", "q"], 512):
-            at = _edges(table, ["component", "p", "q"])
-            rep, n, p, q, block = (table.column(c).to_numpy() for c in ("rep", "n", "p", "q", "block"))
-            sets = [np.frombuffer(s.as_buffer(), U) for s in table.column("shingles")]
-            sketch = _sketches(table)
-            ids, back = np.unique(rep, return_inverse=True)
-            root = list(range(len(ids)))
+        for table in _groups(batches, _CELL, 256):
+            rep, comp, n, side = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
+            sketch, sets = _sketches(table), _sets(table.column("shingles"))
+            names, back = np.unique(comp, return_inverse=True)
+            root, out = list(range(len(names))), []
 
             def find(v: int, root: list[int] = root) -> int:
                 while root[v] != v:
@@ -209,64 +268,82 @@ def _confirmed(num: int, den: int):
                     v = root[v]
                 return v
 
-            for x, y in _pairs(at, p, q, block):
+            for x, y in _crossing(_edges(table, _CELL), side, comp, rep):
                 ok = np.flatnonzero(_alike(sketch, n, x, y, num, den, least))
                 for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
                     a, b = find(back[i]), find(back[j])
-                    if a == b:
-                        continue
-                    s, t = sets[i], sets[j]
-                    both = np.concatenate([s, t])
-                    both.sort(kind="stable")
-                    common = int((both[1:] == both[:-1]).sum())
-                    if den * common >= num * (len(s) + len(t) - common):
+                    if a != b and _similar(sets[i], sets[j], num, den):
                         root[max(a, b)] = min(a, b)
-            to = np.array([find(v) for v in range(len(ids))])
-            v = np.flatnonzero(to != np.arange(len(ids)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[v]), pa.array(ids[to[v]])], schema=_EDGE)
+                        out.append((rep[i], rep[j]))
+            if out:
+                x, y = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["x", "y"])
 
     return of
 
 
 def _full_sets(words: int):
-    """mapInArrow function: (rep, ..., fp1, fp2, text) to the same without the last three, with the sorted set. Texts
-    that came by the id and have another set than that of the fingerprint are left out."""
+    """mapInArrow function: (rep, text) to rep and the sorted set."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in text_chunks(batch, "text"):
                 sets = shingles(Words(chunk.column("text")), words)
-                names = [c for c in chunk.schema.names if c not in ("fp1", "fp2", "text")]
-                full = pa.RecordBatch.from_arrays([*(chunk.column(c) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*names, "shingles"])
-                fp1, fp2 = _fingerprints(sets)
-                own = (fp1 == chunk.column("fp1").to_numpy()) & (fp2 == chunk.column("fp2").to_numpy()) & (np.array([len(s) for s in sets]) == chunk.column("n").to_numpy())
-                yield full.filter(pa.array(own))
+                yield pa.RecordBatch.from_arrays([chunk.column("rep"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "shingles"])
 
     return of
 
 
-def _cells(df: DataFrame, blocks: str, key: list[str]) -> DataFrame:
-    """Each row in the cells (p, q) of its group in which its block takes part; a group of one block has one cell."""
-    block = F.pmod(F.xxhash64("rep"), F.col(blocks)).alias("block")
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)).alias("other")
-    rest = [c for c in df.columns if c != blocks]
-    cells = df.select(*rest, blocks, block).select(*rest, "block", other)
-    cells = cells.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("other")
-    return cells.repartition(*key, "p", "q").sortWithinPartitions(*key, "p", "q")
+def _cells(rows: DataFrame, outside: int, inside: int) -> DataFrame:
+    """rows (key, rep, comp, home, n, ...) in cells (key, p, q): a bucket's rows that aren't of its home component, its
+    largest, in blocks p, beside all its rows in blocks q. With few rows outside, every row is in few cells. Blocks hold
+    about so many rows, and shingles not beyond a bound."""
+    out = F.col("comp") != F.col("home")
+    size = rows.groupBy("key").agg(F.count("*").alias("all"), F.count_if(out).alias("r"), F.sum("n").alias("w"), F.coalesce(F.sum(F.when(out, F.col("n"))), F.lit(0)).alias("wr"))
+    blocks = lambda c, w, most: F.ceil(F.greatest(F.col(c) / most, F.col(w) / BLOCK_SHINGLES)).cast("int")
+    size = size.where("r > 0 and all > 1").select("key", blocks("r", "wr", outside).alias("ps"), blocks("all", "w", inside).alias("qs"))
+    rows = rows.join(size, "key").drop("home")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    block = lambda c, seed: F.pmod(F.xxhash64("rep", F.lit(seed)), F.col(c)).cast("int")
+    kept = [c for c in rows.columns if c not in ("ps", "qs", "out")]
+    left = rows.where("out").select(*kept, block("ps", 1).alias("p"), every("qs").alias("q"), F.lit(0).alias("side"))
+    right = rows.select(*kept, every("ps").alias("p"), block("qs", 2).alias("q"), F.lit(1).alias("side"))
+    return left.unionByName(right).repartition(*_CELL).sortWithinPartitions(*_CELL, "side")
+
+
+def _across(spark: SparkSession, buckets: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame, num: int, den: int, tables: Scratch) -> DataFrame | None:
+    """The exact way for what the hubs left open: links between rows of one bucket (key, rep) that are of different
+    components so far. Buckets of the same rows, which many tables have, are taken once."""
+    now = buckets.join(comps.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+    xor = lambda seed: F.bit_xor(F.xxhash64("rep", F.lit(seed)))
+    parts = now.groupBy("key", "comp").agg(F.count("*").alias("c"), xor(1).alias("f1"), xor(2).alias("f2"))
+    open_ = parts.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("home"), F.count("*").alias("comps"), F.sum("c").alias("c"), F.bit_xor("f1").alias("f1"), F.bit_xor("f2").alias("f2")).where("comps > 1")
+    open_ = open_.groupBy("c", "f1", "f2").agg(F.min(F.struct("key", "home")).alias("b")).select("b.*")
+    rows = now.join(open_, "key").join(reps.select("rep", "n", "sketch"), "rep")
+    rows = tables.written(rows.select("key", "rep", "comp", "home", "n", "sketch", (F.col("comp") != F.col("home")).alias("out")), "open")
+    if rows.isEmpty():
+        return None
+    flagged = tables.written(_cells(rows, OUTSIDE, INSIDE).mapInArrow(tidy(_flagged(num, den)), "key long, rep long").distinct(), "flagged")
+    if flagged.isEmpty():
+        return None
+    whole = rows.join(flagged, ["key", "rep"], "left_semi").join(sets, "rep")
+    return _cells(tables.written(whole, "flagged-sets"), OUTSIDE // 2, INSIDE // 4).mapInArrow(tidy(_linked(num, den)), "x long, y long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept; written as a table.
 
     A document's set: distinct shingles of that many words (`[^\\x20\\x09-\\x0D]+`, A-Z lower-cased); with fewer words,
     the whole sequence as one. Documents are linked if den * intersection >= num * union, for similarity (num, den).
     component_id: the smallest id reachable; kept: whether that is the document's own.
 
-    Equal sets are joined first and go on as one representative. A table's key is a pair of collections of minhashes;
-    the tables are spread by the left collection, and the right ones are compared inside a bucket, so that no document
-    is written once for each of the LANES * LANES tables. Large buckets are cut into blocks whose pairs are compared
-    in different tasks; a task gives back only edges of a forest, never pairs. What these edges connect is then
-    compared on full sets in the same way. A pair at a similarity of exactly 0.8 is lost with a chance of 5 in 100,000.
+    Equal sets go on as one representative. A table's key is a pair of a left and a right collection of minhashes; pairs
+    are formed for the left collections that representatives share, so that a text like no other is never written once
+    for each of the LANES * LANES tables. Every bucket's rows meet its smallest only, so rows and candidates grow with the
+    rows of the buckets, not with their squares; of its candidates each representative confirms the one that agrees best,
+    on full sets. Buckets whose rows are then in different components take the exact way: rows outside of the largest component
+    against all rows, in blocks, by sketches and then by full sets. A pair at a similarity of exactly 0.8 is lost with a
+    chance of 5 in 100,000, as it may share no bucket.
 
     Null or empty texts: no shingles, linked with nothing. Null ids: never linked, component_id null, kept.
     Rows that repeat an id and a text are in one component. Rows that repeat an id with another text are linked each by
@@ -274,39 +351,46 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     left alone. Texts of any length are taken whole.
     """
     num, den = similarity
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = written(rows.mapInArrow(tidy(sketched(words)), SKETCHED), "sketch")
-    full = sketch.where("n > 0 and doc_id is not null")
-    # a representative stands for a set, not for an id: one id can come with several texts
-    same = full.groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    same = written(same.withColumn("rep", F.monotonically_increasing_id()), "same")
-    found = full.select(F.col("doc_id").alias("first"), "fp1", "fp2", "n", "a", "sketch")
-    reps = written(same.select("rep", "first", "fp1", "fp2", "n").join(found, ["first", "fp1", "fp2", "n"]).dropDuplicates(["rep"]).select("rep", "first", "fp1", "fp2", "n", "a", "sketch"), "reps")
-    lanes = reps.select("rep", F.posexplode("a").alias("lane", "key"))
-    crowded = lanes.groupBy("lane", "key").agg(F.count("*").alias("size")).where("size > 1")
-    members = lanes.join(crowded, ["lane", "key"]).select("rep", "lane", "key", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    cells = _cells(members.join(reps.select("rep", "n", "sketch"), "rep"), "blocks", ["lane", "key"])
-    near = components(cells.mapInArrow(tidy(_candidates(num, den)), "x long, y long"))
-    sizes = (
-        near.join(reps.select(F.col("rep").alias("vertex"), "n"), "vertex")
-        .groupBy("component")
-        .agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
-    )
-    # a component can have any number of documents: its size is looked up under a salt of each
-    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    sized = near.withColumn("salt", F.pmod(F.xxhash64("vertex"), F.lit(SALT))).join(salted, ["component", "salt"])
-    named = sized.select(F.col("vertex").alias("rep"), "component", "blocks").repartition("rep").join(reps.select("rep", "first", "fp1", "fp2", "n", "sketch"), "rep")
-    whole = rows.withColumnRenamed("doc_id", "first").join(named.hint("shuffle_hash"), "first")
-    sets = whole.select("rep", "component", "blocks", "n", "sketch", "fp1", "fp2", "text").mapInArrow(tidy(_full_sets(words)), "rep long, component long, blocks long, n long, sketch binary, shingles binary")
-    links = components(_cells(sets, "blocks", ["component"]).mapInArrow(tidy(_confirmed(num, den)), "x long, y long"))
-    linked_sets = same.select("rep", "first").join(links.withColumnRenamed("vertex", "rep"), "rep")
-    least = linked_sets.groupBy("component").agg(F.min("first").alias("least"))
-    smallest = links.withColumn("salt", F.pmod(F.xxhash64("vertex"), F.lit(SALT))).join(least.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long")))), ["component", "salt"])
-    classes = same.join(smallest.select(F.col("vertex").alias("rep"), "least"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("least", "first").alias("component_id"))
-    keyed = sketch.select("doc_id", "n", "fp1", "fp2")
-    linked = keyed.where("n > 0 and doc_id is not null").join(classes, ["fp1", "fp2", "n"])
-    alone = keyed.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    out = linked.select("doc_id", "n", "component_id").union(alone.select("doc_id", "n", "component_id"))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-    dropped(docs.sparkSession, near)
-    return out
+    spark = docs.sparkSession
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
+    with Scratch(spark) as tables, small_batches(spark):
+        sketch = tables.written(rows.mapInArrow(tidy(sketched(words)), SKETCHED), "sketch")
+        full = sketch.where("n > 0 and doc_id is not null")
+        # a representative stands for a set, not for an id: one id can come with several texts
+        reps = full.groupBy("fp1", "fp2", "n").agg(F.min(F.struct("doc_id", "t")).alias("at"), F.first("a").alias("a"), F.first("sketch").alias("sketch"))
+        reps = tables.written(reps.select(F.monotonically_increasing_id().alias("rep"), "fp1", "fp2", "n", F.col("at.doc_id").alias("first"), F.col("at.t").alias("t"), "a", "sketch"), "reps")
+        lanes = reps.select("rep", F.posexplode("a").alias("lane", "key"))
+        crowded = lanes.groupBy("lane", "key").agg(F.count("*").alias("size")).where("size > 1")
+        lefts = lanes.join(crowded.drop("size"), ["lane", "key"]).groupBy("rep").agg(F.collect_list(F.struct("lane", "key")).alias("lefts"))  # LANES at most
+        keyed = lefts.join(reps.select("rep", "sketch"), "rep").select("rep", "sketch", "lefts").mapInArrow(tidy(_table_keys), "key long, rep long")
+        keyed = tables.written(keyed, "keys")
+        hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
+        buckets = tables.written(keyed.join(hubs, "key"), "buckets")
+        edges = tables.written(buckets.where("rep != hub").select(F.col("rep").alias("x"), F.col("hub").alias("y")).distinct(), "edges")
+        active = edges.select(F.col("x").alias("rep")).union(edges.select("y")).distinct()
+        wanted = active.join(reps.select("rep", "first", "t"), "rep")
+        texts = rows.withColumnRenamed("doc_id", "first").join(wanted.hint("shuffle_hash"), ["first", "t"]).dropDuplicates(["first", "t"]).select("rep", "text")
+        sets = tables.written(texts.mapInArrow(tidy(_full_sets(words)), "rep long, shingles binary"), "sets")
+        of = lambda frame, end, *cols: frame.select(F.col("rep").alias(end), *[F.col(c).alias(f"{a}{end}") for c, a in cols])
+        sketches = (("n", "n"), ("sketch", "s"))
+        both = edges.join(of(reps, "x", *sketches), "x").join(of(reps, "y", *sketches), "y")
+        near = both.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(tidy(_agreeing(num, den)), "x long, y long, agree int")
+        best = tables.written(near.groupBy("x").agg(F.max(F.struct("agree", -F.col("y")))["col2"].alias("y")).select("x", (-F.col("y")).alias("y")), "best")
+        pairs = best.join(of(sets, "x", ("shingles", "s")), "x").join(of(sets, "y", ("shingles", "s")), "y")
+        links = tables.written(pairs.select("x", "y", "sx", "sy").mapInArrow(tidy(_confirmed(num, den)), "x long, y long"), "links")
+        comps = tables.owns(components(links))
+        more = _across(spark, buckets.select("key", "rep"), comps, reps, sets, num, den, tables)
+        if more is not None:
+            comps = tables.owns(components(links.union(more)))
+        # a component can have any number of documents: its smallest is looked up under a salt of each
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt")
+        named = reps.select("rep", "first").join(comps.withColumnRenamed("vertex", "rep"), "rep")
+        least = named.groupBy("component").agg(F.min("first").alias("least")).select("component", "least", salts)
+        smallest = comps.withColumn("salt", F.pmod(F.xxhash64("vertex"), F.lit(SALT))).join(least, ["component", "salt"])
+        classes = reps.join(smallest.select(F.col("vertex").alias("rep"), "least"), "rep", "left").select("fp1", "fp2", "n", F.coalesce("least", "first").alias("component_id"))
+        own = sketch.select("doc_id", "n", "fp1", "fp2")
+        linked = own.where("n > 0 and doc_id is not null").join(classes, ["fp1", "fp2", "n"]).select("doc_id", "n", "component_id")
+        out = linked.union(own.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+        kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+        return tables.kept(out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", kept), "near-dups")
