@@ -67,6 +67,7 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
         following = written(on.select(F.least("tx", "ty").alias("x"), F.greatest("tx", "ty").alias("y")).distinct(), "edges")
         dropped(spark, edges)
         edges = following
+    dropped(spark, edges)
     if not maps:
         return spark.createDataFrame([], f"vertex {kind.simpleString()}, component {kind.simpleString()}")
 
@@ -74,9 +75,10 @@ def components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
         then = step.select(F.col("u").alias("to"), F.col("to").alias("then"))
         return label.join(then, "to", "left").select("vertex", F.coalesce("then", "to").alias("to"))
 
-    label = written(reduce(through, maps[1:], maps[0].select(F.col("u").alias("vertex"), "to")), "roots")
+    first = maps[0].select(F.col("u").alias("vertex"), "to")
+    label = written(reduce(through, maps[1:], first), "roots") if maps[1:] else first
     root = label.groupBy("to").agg(F.min("vertex").alias("component"))
     # one component can have a large part of all vertices: what reads the result finds them spread again
     out = written(label.join(root, "to").select("vertex", "component").repartition("vertex"), "components")
-    dropped(spark, label, *maps)
+    dropped(spark, *maps, *([label] if maps[1:] else []))
     return out

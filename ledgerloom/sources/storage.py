@@ -30,7 +30,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The frame as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -60,14 +62,12 @@ class Scratch:
             delete(self.spark, path)
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        path = new_path(self.spark, name)
-        self.paths.append(path)
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.owns(written(df, name))
 
     def owns(self, table: DataFrame) -> DataFrame:
         """A table that another function wrote goes with these."""
-        self.paths += sorted({file.rsplit("/", 1)[0] for file in table.inputFiles()})
+        if path := getattr(table, "written_at", None):
+            self.paths.append(path)
         return table
 
     @staticmethod
@@ -78,5 +78,4 @@ class Scratch:
 def dropped(spark: SparkSession, *tables: DataFrame) -> None:
     """Removes tables of written() that nothing will read any more."""
     for table in tables:
-        for file in table.inputFiles()[:1]:
-            delete(spark, file.rsplit("/", 1)[0])
+        delete(spark, table.written_at)
