@@ -89,8 +89,8 @@ SKETCHED = "doc_id long, t long, n long, fp1 long, fp2 long, a array<long>, sket
 
 
 def _table_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: (rep, sketch, lefts: lane and key of left collections) to (key, rep), a row for each pair of
-    one of these and a right collection: the keys of the tensor's tables."""
+    """mapInArrow function: (rep, sketch, lefts: lane and key of left collections) to (key, place, rep), a row for each
+    pair of one of these and a right collection: the keys of the tensor's tables, and the tables' places."""
     lane_of = mix(np.arange(7, 7 + LANES * LANES, dtype=U)).reshape(LANES, LANES)
     for batch in batches:
         if not batch.num_rows:
@@ -104,21 +104,8 @@ def _table_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(row), 20_000):
             r = row[k : k + 20_000]
             key = mix(mix(left[k : k + 20_000, None] + lane_of[lane[k : k + 20_000]]) + right[r] * U(0x9E3779B97F4A7C15))
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(rep[r], LANES))], names=["key", "rep"])
-
-
-def forest(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (vertex, smallest vertex of its component) that connect what the edges x-y among n vertices connect."""
-    label = np.arange(n)
-    while len(x):
-        np.minimum.at(label, label[x], label[y])
-        np.minimum.at(label, label[y], label[x])
-        while (label != (up := label[label])).any():
-            label = up
-        open_ = label[x] != label[y]
-        x, y = x[open_], y[open_]
-    moved = np.flatnonzero(label != np.arange(n))
-    return moved, label[moved]
+            place = lane[k : k + 20_000, None].astype(np.int32) * LANES + np.arange(LANES, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(place.ravel()), pa.array(np.repeat(rep[r], LANES))], names=["key", "place", "rep"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], most_rows: int) -> Iterator[pa.Table]:
@@ -150,7 +137,7 @@ def _edges(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-def _crossing(edges: np.ndarray, side: np.ndarray, comp: np.ndarray, rep: np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _crossing(edges: np.ndarray, side: np.ndarray, comp: np.ndarray, at_once: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of each cell, one of side 0 and one of side 1, of different components. Some at a time."""
     xs, ys, held = [], [], 0
     for b, e in zip(edges.tolist(), edges[1:].tolist(), strict=False):
@@ -171,16 +158,19 @@ def _crossing(edges: np.ndarray, side: np.ndarray, comp: np.ndarray, rep: np.nda
         yield np.concatenate(xs), np.concatenate(ys)
 
 
-def _alike(sketch: np.ndarray, n: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int, least: int) -> np.ndarray:
-    """Which pairs share a table key, agree on enough minhashes, and have sizes that allow the similarity."""
-    out = den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
-    lanes = sketch.view(np.uint32)
-    at = np.flatnonzero(out)
+def _alike(sketch: np.ndarray, n: np.ndarray, place: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows those that may be links, and the minhashes they agree on: enough, for sets whose sizes allow
+    the similarity. A pair that several tables have is looked at in the first of them only."""
+    fits = den * np.minimum(n[x], n[y]) >= num * np.maximum(n[x], n[y])
+    lanes, agree = sketch.view(np.uint32), np.zeros(len(x), np.int32)
+    at = np.flatnonzero(fits)
     for i in range(0, len(at), 1 << 16):
         rows = at[i : i + (1 << 16)]
         same = lanes[x[rows]] == lanes[y[rows]]
-        out[rows] = same[:, :LANES].any(1) & same[:, LANES:].any(1) & ((sketch[x[rows]] == sketch[y[rows]]).sum(1) >= least)
-    return out
+        rows = rows[same[:, :LANES].argmax(1) * LANES + same[:, LANES:].argmax(1) == place[x[rows]]]
+        agree[rows] = (sketch[x[rows]] == sketch[y[rows]]).sum(1)
+    ok = np.flatnonzero(agree >= least)
+    return ok, agree[ok]
 
 
 def _sketches(table: pa.Table | pa.RecordBatch, column: str = "sketch") -> np.ndarray:
@@ -233,19 +223,22 @@ _CELL = ["key", "p", "q"]
 
 
 def _flagged(num: int, den: int):
-    """mapInArrow function over sorted cells: (key, rep) of the rows that, by their sketches, may be linked to one of
-    another component."""
+    """mapInArrow function over sorted cells: (key, rep, other, agree) of the rows that, by their sketches, may be linked to
+    one of another component, with the one that agrees best."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = least_agreeing(num / den)
         for table in _groups(batches, _CELL, 8_192):
-            key, rep, comp, n, side = (table.column(c).to_numpy() for c in ("key", "rep", "comp", "n", "side"))
-            sketch, hit = _sketches(table), np.zeros(table.num_rows, bool)
-            for x, y in _crossing(_edges(table, _CELL), side, comp, rep):
-                ok = _alike(sketch, n, x, y, num, den, least)
-                hit[x[ok]] = hit[y[ok]] = True
-            if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(rep[hit])], names=["key", "rep"])
+            key, rep, comp, n, side, place = (table.column(c).to_numpy() for c in ("key", "rep", "comp", "n", "side", "place"))
+            sketch = _sketches(table)
+            for x, y in _crossing(_edges(table, _CELL), side, comp):
+                ok, agree = _alike(sketch, n, place, x, y, num, den, least)
+                if not len(ok):
+                    continue
+                mine, other, agree = np.concatenate([x[ok], y[ok]]), np.concatenate([y[ok], x[ok]]), np.concatenate([agree, agree])
+                order = np.lexsort((rep[other], -agree, mine))
+                first = order[np.flatnonzero(np.diff(mine[order], prepend=-1))]
+                yield pa.RecordBatch.from_arrays([pa.array(key[mine[first]]), pa.array(rep[mine[first]]), pa.array(rep[other[first]]), pa.array(agree[first])], names=["key", "rep", "other", "agree"])
 
     return of
 
@@ -257,7 +250,7 @@ def _linked(num: int, den: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = least_agreeing(num / den)
         for table in _groups(batches, _CELL, 256):
-            rep, comp, n, side = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side"))
+            rep, comp, n, side, place = (table.column(c).to_numpy() for c in ("rep", "comp", "n", "side", "place"))
             sketch, sets = _sketches(table), _sets(table.column("shingles"))
             names, back = np.unique(comp, return_inverse=True)
             root, out = list(range(len(names))), []
@@ -268,8 +261,8 @@ def _linked(num: int, den: int):
                     v = root[v]
                 return v
 
-            for x, y in _crossing(_edges(table, _CELL), side, comp, rep):
-                ok = np.flatnonzero(_alike(sketch, n, x, y, num, den, least))
+            for x, y in _crossing(_edges(table, _CELL), side, comp):
+                ok, _ = _alike(sketch, n, place, x, y, num, den, least)
                 for i, j in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
                     a, b = find(back[i]), find(back[j])
                     if a != b and _similar(sets[i], sets[j], num, den):
@@ -311,23 +304,48 @@ def _cells(rows: DataFrame, outside: int, inside: int) -> DataFrame:
     return left.unionByName(right).repartition(*_CELL).sortWithinPartitions(*_CELL, "side")
 
 
-def _across(spark: SparkSession, buckets: DataFrame, comps: DataFrame, reps: DataFrame, sets: DataFrame, num: int, den: int, tables: Scratch) -> DataFrame | None:
-    """The exact way for what the hubs left open: links between rows of one bucket (key, rep) that are of different
-    components so far. Buckets of the same rows, which many tables have, are taken once."""
-    now = buckets.join(comps.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    xor = lambda seed: F.bit_xor(F.xxhash64("rep", F.lit(seed)))
-    parts = now.groupBy("key", "comp").agg(F.count("*").alias("c"), xor(1).alias("f1"), xor(2).alias("f2"))
-    open_ = parts.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("home"), F.count("*").alias("comps"), F.sum("c").alias("c"), F.bit_xor("f1").alias("f1"), F.bit_xor("f2").alias("f2")).where("comps > 1")
-    open_ = open_.groupBy("c", "f1", "f2").agg(F.min(F.struct("key", "home")).alias("b")).select("b.*")
+def _named(frame: DataFrame, end: str, **cols: str) -> DataFrame:
+    """Columns of representatives under the names that one end of a pair has."""
+    return frame.select(F.col("rep").alias(end), *[F.col(c).alias(f"{name}{end}") for c, name in cols.items()])
+
+
+def _verified(candidates: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The links among each representative's best candidate: candidates (x, y, agree)."""
+    # the smallest of those that agree best
+    best = candidates.groupBy("x").agg(F.max(F.struct("agree", (-F.col("y")).alias("y")))["y"].alias("y")).select("x", (-F.col("y")).alias("y"))
+    pairs = best.join(_named(sets, "x", shingles="s"), "x").join(_named(sets, "y", shingles="s"), "y")
+    return pairs.select("x", "y", "sx", "sy").mapInArrow(tidy(_confirmed(num, den)), "x long, y long")
+
+
+def _open(buckets: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
+    """Rows (key, place, rep, comp, home, n, sketch, out) of the buckets that have several components."""
+    now = buckets.join(comps.select(F.col("vertex").alias("rep"), "component"), "rep", "left").select("key", "place", "rep", F.coalesce("component", "rep").alias("comp"))
+    parts = now.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    open_ = parts.groupBy("key").agg(F.max(F.struct("c", "comp"))["comp"].alias("home"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
     rows = now.join(open_, "key").join(reps.select("rep", "n", "sketch"), "rep")
-    rows = tables.written(rows.select("key", "rep", "comp", "home", "n", "sketch", (F.col("comp") != F.col("home")).alias("out")), "open")
-    if rows.isEmpty():
-        return None
-    flagged = tables.written(_cells(rows, OUTSIDE, INSIDE).mapInArrow(tidy(_flagged(num, den)), "key long, rep long").distinct(), "flagged")
-    if flagged.isEmpty():
-        return None
-    whole = rows.join(flagged, ["key", "rep"], "left_semi").join(sets, "rep")
-    return _cells(tables.written(whole, "flagged-sets"), OUTSIDE // 2, INSIDE // 4).mapInArrow(tidy(_linked(num, den)), "x long, y long")
+    return rows.select("key", "place", "rep", "comp", "home", "n", "sketch", (F.col("comp") != F.col("home")).alias("out"))
+
+
+def _across(buckets: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFrame, num: int, den: int, tables: Scratch) -> DataFrame:
+    """Components by the links so far and all links between rows of one bucket (key, place, rep) that are of different ones:
+    first each representative's best candidate is confirmed; what is open after that is compared on full sets."""
+    for last in (False, True):
+        if last:
+            comps = tables.owns(components(links))
+        else:  # every representative has one link at most so far: where that leads to in two steps does for now
+            once = links.select(F.col("x").alias("vertex"), "y")
+            comps = once.join(once.select(F.col("vertex").alias("y"), F.col("y").alias("z")), "y", "left").select("vertex", F.coalesce("z", "y").alias("component"))
+        rows = tables.written(_open(buckets, comps, reps), "open")
+        flagged = tables.written(_cells(rows, OUTSIDE, INSIDE).mapInArrow(tidy(_flagged(num, den)), "key long, rep long, other long, agree int"), "flagged")
+        if flagged.isEmpty():
+            return comps if last else tables.owns(components(links))
+        if last:
+            whole = tables.written(rows.join(flagged.select("key", "rep").distinct(), ["key", "rep"], "left_semi").join(sets, "rep"), "flagged-sets")
+            more = _cells(whole, OUTSIDE // 2, INSIDE // 4).mapInArrow(tidy(_linked(num, den)), "x long, y long")
+        else:
+            more = _verified(flagged.select(F.col("rep").alias("x"), F.col("other").alias("y"), "agree"), sets, num, den)
+        links = tables.written(links.union(more), "links")
+    return tables.owns(components(links))
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,7 +360,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     for each of the LANES * LANES tables. Every bucket's rows meet its smallest only, so rows and candidates grow with the
     rows of the buckets, not with their squares; of its candidates each representative confirms the one that agrees best,
     on full sets. Buckets whose rows are then in different components take the exact way: rows outside of the largest component
-    against all rows, in blocks, by sketches and then by full sets. A pair at a similarity of exactly 0.8 is lost with a
+    against all rows, in blocks, by sketches; again the best candidates are confirmed first, and all of what then is still
+    open is compared on full sets. A pair at a similarity of exactly 0.8 is lost with a
     chance of 5 in 100,000, as it may share no bucket.
 
     Null or empty texts: no shingles, linked with nothing. Null ids: never linked, component_id null, kept.
@@ -363,7 +382,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
         lanes = reps.select("rep", F.posexplode("a").alias("lane", "key"))
         crowded = lanes.groupBy("lane", "key").agg(F.count("*").alias("size")).where("size > 1")
         lefts = lanes.join(crowded.drop("size"), ["lane", "key"]).groupBy("rep").agg(F.collect_list(F.struct("lane", "key")).alias("lefts"))  # LANES at most
-        keyed = lefts.join(reps.select("rep", "sketch"), "rep").select("rep", "sketch", "lefts").mapInArrow(tidy(_table_keys), "key long, rep long")
+        keyed = lefts.join(reps.select("rep", "sketch"), "rep").select("rep", "sketch", "lefts").mapInArrow(tidy(_table_keys), "key long, place int, rep long")
         keyed = tables.written(keyed, "keys")
         hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1").drop("size")
         buckets = tables.written(keyed.join(hubs, "key"), "buckets")
@@ -372,17 +391,10 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
         wanted = active.join(reps.select("rep", "first", "t"), "rep")
         texts = rows.withColumnRenamed("doc_id", "first").join(wanted.hint("shuffle_hash"), ["first", "t"]).dropDuplicates(["first", "t"]).select("rep", "text")
         sets = tables.written(texts.mapInArrow(tidy(_full_sets(words)), "rep long, shingles binary"), "sets")
-        of = lambda frame, end, *cols: frame.select(F.col("rep").alias(end), *[F.col(c).alias(f"{a}{end}") for c, a in cols])
-        sketches = (("n", "n"), ("sketch", "s"))
-        both = edges.join(of(reps, "x", *sketches), "x").join(of(reps, "y", *sketches), "y")
+        both = edges.join(_named(reps, "x", n="n", sketch="s"), "x").join(_named(reps, "y", n="n", sketch="s"), "y")
         near = both.select("x", "y", "nx", "ny", "sx", "sy").mapInArrow(tidy(_agreeing(num, den)), "x long, y long, agree int")
-        best = tables.written(near.groupBy("x").agg(F.max(F.struct("agree", -F.col("y")))["col2"].alias("y")).select("x", (-F.col("y")).alias("y")), "best")
-        pairs = best.join(of(sets, "x", ("shingles", "s")), "x").join(of(sets, "y", ("shingles", "s")), "y")
-        links = tables.written(pairs.select("x", "y", "sx", "sy").mapInArrow(tidy(_confirmed(num, den)), "x long, y long"), "links")
-        comps = tables.owns(components(links))
-        more = _across(spark, buckets.select("key", "rep"), comps, reps, sets, num, den, tables)
-        if more is not None:
-            comps = tables.owns(components(links.union(more)))
+        links = tables.written(_verified(near, sets, num, den), "links")
+        comps = _across(buckets.drop("hub"), links, reps, sets, num, den, tables)
         # a component can have any number of documents: its smallest is looked up under a salt of each
         salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt")
         named = reps.select("rep", "first").join(comps.withColumnRenamed("vertex", "rep"), "rep")

@@ -3,7 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.near_dups import forest, near_duplicates
+from ledgerloom.llm import near_dups as N
+from ledgerloom.llm.near_dups import near_duplicates
+from ledgerloom.llm.queries import op5_minhash_near_dups
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string"
@@ -56,12 +58,66 @@ def test_odd_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_forest_connects_what_edges_connect():
-    import numpy as np
+def near_copies(n, edits, seed=5, words=150):
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(words)]
+    out = {}
+    for i in range(n):
+        copy = base[:]
+        for _ in range(r.randint(0, edits)):
+            copy[r.randrange(words)] = f"x{r.randrange(10**6)}"
+        out[i] = " ".join(copy)
+    return out
+
+
+@pytest.mark.parametrize("edits", [3, 6])
+def test_rows_grow_with_the_group_not_with_its_square(spark, monkeypatch, edits):
+    """All rows that are written or dealt out for one group of near copies; its square would be 16 times as many."""
+    rows = []
+
+    def counted(f):
+        def of(*args):
+            out = f(*args)
+            rows.append(out.count())
+            return out
+
+        return of
+
+    monkeypatch.setattr(N.Scratch, "written", counted(N.Scratch.written))
+    monkeypatch.setattr(N, "_cells", counted(N._cells))
+    totals = []
+    for n in (80, 320):
+        rows.clear()
+        near_duplicates(spark.createDataFrame(list(near_copies(n, edits).items()), SCHEMA))
+        totals.append(sum(rows))
+    assert totals[1] < 8 * totals[0]
+
+
+def test_the_exact_way_finds_what_hubs_and_best_candidates_miss(spark):
+    """A chain of texts, each similar enough to its neighbours only."""
+    words = [f"w{i}" for i in range(300)]
+    chain = {i: " ".join(words[4 * i : 4 * i + 100]) for i in range(40)}
+    t = chain | {100 + i: x for i, x in near_copies(60, 8, seed=2, words=60).items()}
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(list(t.items()), SCHEMA)).collect()}
+    assert got == brute.components(t, 4)
+
+
+def test_the_registered_query(spark):
+    sf = "/root/testdata/sf0.001"
+    t = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    want = brute.components(t, 4)
+    rows = op5_minhash_near_dups(spark, sf).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows} == {i: (len(brute.shingles(t[i], 4)), c, c == i) for i, c in want.items()} and len(rows) == len(t)
+
+
+def test_nothing_but_the_result_stays_in_the_shared_folder(spark):
+    from pathlib import Path
 
-    x, y = np.array([1, 2, 5, 6, 9]), np.array([2, 3, 6, 5, 9])
-    v, to = forest(x, y, 10)
-    assert dict(zip(v.tolist(), to.tolist(), strict=True)) == {2: 1, 3: 1, 6: 5}
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = {x.name for x in folder.iterdir()}
+    near_duplicates(spark.createDataFrame(list(near_copies(30, 6).items()), SCHEMA)).count()
+    left = {x.name for x in folder.iterdir()} - before
+    assert len(left) == 1 and all(x.startswith("near-dups-") for x in left)
 
 
 def test_an_id_with_two_texts(spark):
