@@ -2,7 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import ann
 from ledgerloom.llm.ann import Codebooks, cosines, fit, nearest
+from ledgerloom.llm.queries import op8_additive_quantisation
 
 
 def exact(ids, x, k):
@@ -66,3 +68,39 @@ def test_large_and_small_magnitudes(spark):
     x = np.random.default_rng(1).standard_normal((50, 8))
     plain = (x[0] * x).sum(1) / (np.sqrt((x[0] * x[0]).sum()) * np.sqrt((x * x).sum(1)))
     assert np.allclose(cosines(x[0], x), plain, rtol=0, atol=4e-16)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_of_the_registered_query(spark, sf):
+    """Against brute force over all embeddings."""
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").toArrow()
+    ids, raw = table.column("vec_id").to_numpy(), table.column("embedding").to_pylist()
+    fine = np.array([v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v) for v in raw])
+    ids, x = ids[fine], np.array([v for v, ok in zip(raw, fine, strict=True) if ok], float)
+    want = exact(ids, x, 5)
+    got = {}
+    for r in op8_additive_quantisation(spark, f"/root/testdata/{sf}").orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    at = {int(i): k for k, i in enumerate(ids)}
+    for q, found in got.items():
+        assert found == sorted(found, key=lambda f: (-f[1], f[0]))
+        assert all(s == pytest.approx(float(cosines(x[at[q]], x[at[v]])), abs=1e-12) for v, s in found)
+    print(sf, sum(len({v for v, _ in got[q]} & set(want[q])) for q in want) / 5 / len(want))
+    assert sum(len({v for v, _ in got[q]} & set(want[q])) for q in want) >= 0.95 * 5 * len(want)
+
+
+def test_a_grid_of_many_places_finds_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.standard_normal(12).tolist()) for i in range(900)], "vec_id long, embedding array<double>").repartition(4)
+    one = sorted(map(tuple, nearest(df, df.where("vec_id % 9 = 0")).collect()))
+    for name, n in (("BLOCK_ROWS", 50), ("BLOCK_QUERIES", 20), ("PLACE_GROUPS", 2), ("PLACE_BLOCKS", 3)):
+        monkeypatch.setattr(ann, name, n)
+    assert sorted(map(tuple, nearest(df, df.where("vec_id % 9 = 0")).collect())) == one and len(one) == 500
+
+
+def test_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.0, 2.0]), (1, [0.0, 2.0]), (2, [1.0, 0.1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id) for r in nearest(df, df.where("vec_id = 0")).orderBy("rank").collect()]
+    assert got == [(1, 1), (2, 1), (3, 2)]
