@@ -83,9 +83,10 @@ def sweep(batch: DataFrame, context: Context) -> DataFrame:
 def change_scores(batch: DataFrame, context: Context, params: HeuristicParams) -> DataFrame:
     """Received rows with the score of being change: a new address, an amount that isn't round, spent again later."""
     seen = context.addresses.select("chain_id", "address", "first_seen_height")
-    later = last_spent(context.history)
+    received = received_entries(batch)
+    later = last_spent(context.history.join(received.select("chain_id", "address").distinct(), ["chain_id", "address"], "left_semi"))
     heads = tx_heads(batch).select(*TX, F.col("block_height").alias("tx_height"))
-    outs = received_entries(batch).join(heads, TX).join(seen, ["chain_id", "address"], "left").join(later, ["chain_id", "address"], "left")
+    outs = received.join(heads, TX).join(seen, ["chain_id", "address"], "left").join(later, ["chain_id", "address"], "left")
     weight = lambda is_so, w: F.when(F.coalesce(is_so, F.lit(False)), F.lit(w)).otherwise(F.lit(0.0))
     score = (
         weight(F.col("first_seen_height") == F.col("tx_height"), params.new_address_weight)

@@ -33,6 +33,9 @@ def approximate_degrees(deltas: DataFrame, error: float = 0.02) -> DataFrame:
 def shared_transactions(deltas: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     """(chain_id, a, b, shared): in how many transactions both addresses of an unordered pair, a < b, take part."""
     members = _members(deltas)
+    if pairs is not None:  # only what the pairs' addresses take part in meets itself
+        asked = pairs.select("chain_id", F.explode(F.array("a", "b")).alias("address")).distinct()
+        members = members.join(asked, ["chain_id", "address"], "left_semi")
     both = members.withColumnRenamed("address", "a").join(members.withColumnRenamed("address", "b"), TX).where("a < b")
     if pairs is not None:
         both = both.join(pairs.select("chain_id", "a", "b").distinct(), ["chain_id", "a", "b"], "left_semi")

@@ -23,12 +23,15 @@ def usable(evidence: DataFrame, least: float = 0.0) -> DataFrame:
 
 def combined_pairs(evidence: DataFrame) -> DataFrame:
     """(chain_id, a, b, confidence, first_order): of one source the largest confidence counts, sources combine as
-    1 - product(1 - c), in sorted order so that the result is the same in every run. Without a transaction each row is a source."""
+    1 - product(1 - c). Without a transaction each row is a source. Sources are counted by confidence, of which three
+    places allow 1,001, and the counts are folded in order: a pair of any number of sources is a short list, and the
+    result is the same in every run."""
     source = F.coalesce("source_txid", F.concat(F.lit("op:"), F.col("op_id")))
     by_source = evidence.groupBy("chain_id", F.least("address_a", "address_b").alias("a"), F.greatest("address_a", "address_b").alias("b"), source.alias("source"))
     by_source = by_source.agg(F.max(F.col("confidence").cast("double")).alias("c"), F.min("op_id").alias("first"))
-    left = F.aggregate(F.array_sort(F.collect_list("c")), F.lit(1.0), lambda p, c: p * (1 - c))
-    return by_source.groupBy("chain_id", "a", "b").agg((1 - left).alias("confidence"), F.min("first").alias("first_order"))
+    counted = by_source.groupBy("chain_id", "a", "b", "c").agg(F.count("*").alias("n"), F.min("first").alias("first"))
+    left = F.aggregate(F.array_sort(F.collect_list(F.struct("c", "n"))), F.lit(1.0), lambda p, s: p * F.pow(1 - s["c"], s["n"]))
+    return counted.groupBy("chain_id", "a", "b").agg((1 - left).alias("confidence"), F.min("first").alias("first_order"))
 
 
 def first_seen(evidence: DataFrame) -> DataFrame:
@@ -125,19 +128,44 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 
 
 def _spread(forest: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(chain_id, component, address, confidence) by walking the forest from its anchors, a step in each round."""
+    """(chain_id, component, address, confidence): the least confidence on each address's way from its anchor.
+
+    Trees are contracted: in a round every leaf goes, and of vertices between two others those whose hash is smaller than
+    their neighbours', whose two edges become one with the smaller confidence. A constant fraction goes in each round, whatever
+    the trees' shapes. Then what went comes back in reverse: a leaf through its neighbour, another by the better of its two
+    sides, as the one that leads away from the anchor can't be better. Anchors stay.
+    """
+    spark = forest.sparkSession
+    key = ["chain_id", "v"]
     near = forest.select("chain_id", F.col("a").alias("v"), F.col("b").alias("w"), "confidence").union(forest.select("chain_id", F.col("b").alias("v"), F.col("a").alias("w"), "confidence"))
     near = written(near, "near")
-    front = written(anchors.select("chain_id", "component", F.col("anchor").alias("address"), F.lit(1.0).alias("confidence"), F.lit(None).cast("string").alias("came")), "front")
-    steps = []
-    while not front.isEmpty():
-        steps.append(front)
-        on = front.withColumnRenamed("address", "v").withColumnRenamed("confidence", "so_far").join(near, ["chain_id", "v"]).where("not w <=> came")
-        front = written(on.select("chain_id", "component", F.col("w").alias("address"), F.least("so_far", "confidence").alias("confidence"), F.col("v").alias("came")), "front")
-    out = steps[0]
-    for s in steps[1:]:
-        out = out.union(s)
-    return out.drop("came")
+    root = anchors.select("chain_id", "component", F.col("anchor").alias("v"))
+    gone: list[DataFrame] = []
+    while not near.isEmpty():
+        kind = near.groupBy(*key).agg(F.count("*").alias("n")).join(root.select(*key, F.lit(True).alias("anchor")), key, "left")
+        kind = kind.select(*key, F.when(F.col("anchor").isNotNull() | (F.col("n") > 2), 0).otherwise(F.col("n")).cast("int").alias("n"))
+        other = kind.select("chain_id", F.col("v").alias("w"), F.col("n").alias("nw"))
+        first = F.struct(F.xxhash64("v"), "v") < F.struct(F.xxhash64("w"), "w")
+        free = (F.col("nw") == 0) | ((F.col("nw") == 2) & first)
+        sides = near.join(kind.where("n > 0"), key).join(other, ["chain_id", "w"])
+        sides = sides.groupBy(*key, "n").agg(F.every(free).alias("free"), F.sort_array(F.collect_list(F.struct("w", "confidence"))).alias("sides"))  # two at most
+        out = written(sides.where((F.col("n") == 1) | F.col("free")).select(*key, "sides"), "gone")
+        gone.append(out)
+        stay = near.join(out, key, "left_anti").join(out.select("chain_id", F.col("v").alias("w")), ["chain_id", "w"], "left_anti").select("chain_id", "v", "w", "confidence")
+        a, b = F.col("sides")[0], F.col("sides")[1]
+        bridged = out.where(F.size("sides") == 2).select("chain_id", a["w"].alias("v"), b["w"].alias("w"), F.least(a["confidence"], b["confidence"]).alias("confidence"))
+        following = written(stay.unionByName(bridged).unionByName(bridged.select("chain_id", F.col("w").alias("v"), F.col("v").alias("w"), "confidence")), "near")
+        dropped(spark, near)
+        near = following
+    dropped(spark, near)
+    found = root.select(*key, "component", F.lit(1.0).alias("confidence"))
+    for out in reversed(gone):
+        side = out.select(*key, F.explode("sides").alias("s")).select(*key, F.col("s.w").alias("w"), F.col("s.confidence").alias("c"))
+        back = side.join(found.select("chain_id", F.col("v").alias("w"), "component", "confidence"), ["chain_id", "w"])
+        back = written(back.groupBy(*key, "component").agg(F.max(F.least("c", "confidence")).alias("confidence")), "back")
+        found = found.unionByName(back)
+    dropped(spark, *gone)
+    return found.select("chain_id", "component", F.col("v").alias("address"), "confidence")
 
 
 def replay(evidence: DataFrame, least: float = 0.0, local_edges: int = LOCAL_EDGES) -> DataFrame:
