@@ -22,7 +22,7 @@ ORACLE: dict[str, str] = {}
 
 AT = datetime(2024, 3, 1, tzinfo=timezone.utc)
 DUST = "3000000"
-PARAMS = preprocess.Params(dust_threshold=DUST, equal_output_min=1, collab_input_min=2, collab_output_min=2)
+PARAMS = preprocess.Params(dust_threshold=DUST)
 
 
 def query(sql: str | None = None, ctes: str = ""):
@@ -63,14 +63,14 @@ hub as (
 EXCLUDED = HUBS + f""", equal_group as (select chain_id, txid, max(n) as equal from (select chain_id, txid, amount, count(*) as n from received group by all) group by all),
 coinjoin as (
   select chain_id, txid from equal_group join (select chain_id, txid, count(*) as inputs from spent group by all) using (chain_id, txid) join (select chain_id, txid, count(*) as outputs from received group by all) using (chain_id, txid)
-  where equal >= 1 and inputs >= 2 and outputs >= 2),
+  where equal >= 3 and inputs >= 3 and outputs >= 3),
 dust as (select distinct chain_id, address from balance_delta where amount > 0 and amount <= {DUST}),
 dust_only as (select s.chain_id, s.txid from spent s left join dust using (chain_id, address) group by all having bool_and(dust.address is not null)),
 excluded as (
   select chain_id, txid, 'dust-only' as reason from dust_only union all
   select chain_id, txid, 'coinjoin' from coinjoin where (chain_id, txid) not in (select chain_id, txid from dust_only))"""
 
-#: coinjoin takes away too much here for what follows; only dust excludes.
+#: What follows leaves out transactions of dust only.
 COMMON = EXCLUDED + """, clean as (
   select s.*, row_number() over (partition by s.chain_id, s.txid order by s.pos) - 1 as rank from spent s
   where (chain_id, address) not in (select chain_id, address from hub) and (chain_id, txid) not in (select chain_id, txid from dust_only)),
@@ -248,12 +248,12 @@ def c3_uint256(spark, d):
     return derived.table(spark, d, "orders").select(k.alias("k"), extract.uint256(F.concat(F.lit("0x"), F.hex(k * 1_000_000_007))).alias("v"))
 
 
-@query("select 'tpch' as chain_id, 'o' || l_orderkey as txid, l_linenumber::integer as delta_index, case when l_linenumber > 3 then 'unparsed:o' || l_orderkey || ':' || l_linenumber else 's' || l_suppkey end as address, cast(cents as varchar) as amount from lines where side = 1 and l_linenumber > 0")
-def x8_utxo_outputs(spark, d):
-    lines = derived.table(spark, d, "lineitem").where("l_returnflag = 'R' and l_quantity >= 40")
-    vout = lines.select(F.lit("tpch").alias("chain_id"), F.concat(F.lit("o"), "l_orderkey").alias("txid"), F.col("l_linenumber").alias("n"), F.when(F.col("l_linenumber") <= 3, F.concat(F.lit("s"), "l_suppkey")).alias("address"), F.round(F.col("l_extendedprice") * 100).cast("long").cast("string").alias("amount"), F.lit(1).cast("long").alias("block_height"), F.lit("h").alias("block_hash"))
-    vin = spark.createDataFrame([], "chain_id string, txid string, n int, prev_txid string, prev_n int")
-    return extract.utxo_deltas(vin, vout).select("chain_id", "txid", "delta_index", "address", "amount")
+@query("""select 'tpch' as chain_id, txid, n as delta_index, coalesce(p.address, 'unparsed:' || p.txid || ':' || n) as address, '-' || p.amount as amount
+from (select o, txid, n from outputs where o % 5 > 0) i join (select o + 1 as o, txid as txid_, n, address, amount, txid from outputs) p using (o, n)""".replace("select 'tpch' as chain_id, txid,", "select 'tpch' as chain_id, i.txid,")
++ """ union all select 'tpch', txid, cast(n + case when o % 5 > 0 then count(*) over (partition by txid) else 0 end as integer), coalesce(address, 'unparsed:' || txid || ':' || n), cast(amount as varchar) from outputs""")
+def x8_utxo_deltas(spark, d):
+    """Outputs, and inputs by the outputs that they spend; coinbase inputs and unknown outputs are left out."""
+    return extract.utxo_deltas(derived.inputs(spark, d), derived.outputs(spark, d)).select("chain_id", "txid", "delta_index", "address", "amount")
 
 
 @query("select chain_id, txid, delta_index, address, amount::varchar as amount, block_height, block_hash, meta from balance_delta")
@@ -381,9 +381,9 @@ def s10_evidence_by_blocks(spark, d):
     return ev.by_blocks(evidence_of(spark, d), hashes).select("op_id", "status")
 
 
-@query("select op_id, status from evidence where address_a in (select 'p' || p_partkey from part where p_partkey % 5 = 0) or address_b in (select 'p' || p_partkey from part where p_partkey % 5 = 0)", EVIDENCE)
+@query("select op_id, status from evidence where address_a in (select 'w' || o_orderkey || '-3' from orders) or address_b in (select 'w' || o_orderkey || '-3' from orders)", EVIDENCE)
 def s12_evidence_by_addresses(spark, d):
-    asked = derived.table(spark, d, "part").where("p_partkey % 5 = 0").select(F.lit("tpch").alias("chain_id"), F.concat(F.lit("p"), "p_partkey").alias("address"))
+    asked = derived.table(spark, d, "orders").select(F.lit("tpch").alias("chain_id"), F.concat(F.lit("w"), "o_orderkey", F.lit("-3")).alias("address"))
     return ev.by_addresses(evidence_of(spark, d), asked).select("op_id", "status")
 
 
@@ -601,10 +601,9 @@ BEHAVIORAL = COMMON + """, shared as (select a.chain_id, a.address as a, b.addre
 born as (select a.chain_id, a.address as a, b.address as b, arg_min(a.txid, h.tx_pos) as txid from members a join members b on a.chain_id = b.chain_id and a.txid = b.txid and a.address < b.address join head h on h.chain_id = a.chain_id and h.txid = a.txid group by all)"""
 
 
-@query("select b.chain_id, b.a as address_a, b.b as address_b, b.txid as source_txid, 0.3::double as confidence from born b join shared s using (chain_id, a, b) where s.n >= 1 and (b.chain_id, b.a) not in (select chain_id, address from hub) and (b.chain_id, b.b) not in (select chain_id, address from hub)", BEHAVIORAL)
+@query("select b.chain_id, b.a as address_a, b.b as address_b, b.txid as source_txid, 0.3::double as confidence from born b join shared s using (chain_id, a, b) where s.n >= 3 and (b.chain_id, b.a) not in (select chain_id, address from hub) and (b.chain_id, b.b) not in (select chain_id, address from hub)", BEHAVIORAL)
 def h6_behavioral(spark, d):
-    """Pairs that share a transaction at least: in these tables few share three."""
-    c = context(spark, d, behavioral=(0.3, True, registry.HeuristicParams(min_interactions=1)))
+    c = context(spark, d)
     return heuristics.behavioral(c.history, c).select("chain_id", "address_a", "address_b", "source_txid", "confidence")
 
 
@@ -635,7 +634,19 @@ def g3_cluster_members(spark, d):
     return rp.replay(evidence_of(spark, d)).select("chain_id", "address", "cluster_id", "anchor_address", "size")
 
 
-@query()
+#: An edge is in the forest if no edges before it join its ends; a member's confidence is the least on its way from the anchor.
+FOREST = EVIDENCE + """, ordered as (select p.*, c.component from pair p join comp c on c.chain_id = p.chain_id and c.address = p.a),
+before as (
+  select o.chain_id, o.first_order as e, o.component, o.a as x from ordered o
+  union select b.chain_id, b.e, b.component, case when o.a = b.x then o.b else o.a end from before b join ordered o on o.chain_id = b.chain_id and o.component = b.component and o.first_order < b.e and (o.a = b.x or o.b = b.x)),
+forest as (select o.* from ordered o where not exists (select 1 from before b where b.chain_id = o.chain_id and b.e = o.first_order and b.x = o.b)),
+steps as (select chain_id, a as x, b as y, confidence as c from forest union all select chain_id, b, a, confidence from forest),
+walk as (
+  select chain_id, anchor as address, null::varchar as came, 1.0::double as c from anchor
+  union all select w.chain_id, s.y, w.address, least(w.c, s.c) from walk w join steps s on s.chain_id = w.chain_id and s.x = w.address and s.y is distinct from w.came)"""
+
+
+@query("select m.*, round(w.c, 9) as confidence, round(avg(w.c) over (partition by m.chain_id, m.anchor_address), 9) as representative_confidence from (select chain_id, address, cluster_id, anchor_address, size from member) m join walk w using (chain_id, address)", FOREST)
 def g3_confidences(spark, d):
     """The whole replay, confidences along the spanning forest included."""
     return rp.replay(evidence_of(spark, d)).withColumn("confidence", F.round("confidence", 9)).withColumn("representative_confidence", F.round("representative_confidence", 9))
@@ -683,6 +694,31 @@ def q1_cluster_of(spark, d):
 LARGEST = "(select cluster_id from member order by size desc, cluster_id limit 1)"
 
 
+STRONG = EVIDENCE.replace("usable as (select * from evidence where status = 'active')", "usable as (select * from evidence where status = 'active' and confidence >= 0.9)")
+
+
+@query("select address, cluster_id from member", STRONG)
+def q1_clusters_at_threshold(spark, d):
+    """Clusters as evidence of 0.9 and more alone gives them: what is joined by weaker evidence only falls apart."""
+    return reader(spark, d).members_at("tpch", 0.9).select("address", "cluster_id")
+
+
+@query(f"select address from member where cluster_id = {LARGEST} order by address offset 2", STRONG)
+def q2_members_page_at_threshold(spark, d):
+    r = reader(spark, d)
+    sizes = r.members_at("tpch", 0.9).groupBy("cluster_id").count()
+    largest = sizes.orderBy(F.desc("count"), "cluster_id").first().cluster_id
+    return r.members_of("tpch", largest, least=0.9, limit=0, offset=2)
+
+
+@query("select op_id, heuristic_key, status from evidence where least(address_a, address_b) = (select a from pair order by first_order limit 1) and greatest(address_a, address_b) = (select b from pair order by first_order limit 1)", EVIDENCE)
+def s11_evidence_of_pair(spark, d):
+    """All evidence, of any status, of the pair that comes first, asked for with its ends the other way round."""
+    rows = evidence_of(spark, d)
+    first = rp.combined_pairs(rp.usable(rows)).orderBy("first_order").first()
+    return ev.by_pair(rows, "tpch", first.b, first.a).select("op_id", "heuristic_key", "status")
+
+
 @query(f"select address from member where cluster_id = {LARGEST} order by address limit 3 offset 1", EVIDENCE)
 def q2_members_page(spark, d):
     r = reader(spark, d)

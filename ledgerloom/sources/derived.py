@@ -5,7 +5,7 @@ Every function takes (spark, sf_dir). WITH has the same tables as common table e
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,22 +16,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def cents_of(price: Column) -> Column:
+    return F.round(price * 100).cast("long")
+
+
 def balance_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Returned lines of 40 and more as transactions: an order's lines move money from parts to suppliers."""
-    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_quantity >= 40")
-    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    """All lines as movements, an order's as one transaction.
+
+    Eight orders in a row share a wallet of six addresses, from which their lines are paid; what the second line of an order
+    pays to a new address, line 1 of the next order spends, where the wallet is the same. Of three orders two pay suppliers;
+    the third pays a new address on even lines, and on odd ones an address of the wallet beside its own. Every tenth
+    order's lines are paid out alike.
+    """
+    lines = table(spark, sf_dir, "lineitem")
     keys = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    o, n = F.col("l_orderkey"), F.col("l_linenumber")
+    wallet = F.expr("l_orderkey div 8")
+    home = lambda w: F.concat(F.lit("w"), w, F.lit("-"), F.col("l_partkey") % 6)
+    new = lambda order, line: F.concat(F.lit("n"), order, F.lit("-"), line)
+    payer = F.when((n == 1) & (o % 8 > 0) & ((o - 1) % 3 == 0), new(o - 1, F.lit(2))).otherwise(home(wallet))
+    payee = F.when(o % 3 > 0, F.concat(F.lit("s"), "l_suppkey")).when(n % 2 == 0, new(o, n)).otherwise(home(wallet.bitwiseXOR(F.lit(1).cast("long"))))
     height = F.date_diff(F.col("l_shipdate").cast("date"), F.lit("1992-01-01").cast("date")).cast("long")
-    creation = F.when((F.col("side") == 1) & (F.col("l_linenumber") == 7), F.lit('{"contract_creation":true}'))
-    rows = lines.select("l_orderkey", *keys, height.alias("h"), cents.alias("cents")).withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    cents = cents_of(F.col("l_extendedprice"))
+    move = lambda side, address, amount: F.struct(F.lit(side).alias("side"), address.alias("address"), amount.alias("cents"))
+    paid = F.when(o % 10 == 7, F.lit(5_000_000).cast("long")).otherwise(cents)
+    side = F.explode(F.array(move(0, payer, -cents), move(1, payee, paid))).alias("m")
+    rows = lines.select("l_orderkey", *keys, height.alias("h"), side).select("l_orderkey", *keys, "h", "m.*")
+    creation = F.when((F.col("side") == 1) & (n == 7), F.lit('{"contract_creation":true}'))
     tx = Window.partitionBy("l_orderkey").orderBy("side", *keys, "h")
     rows = rows.withColumn("i", F.row_number().over(tx) - 1).withColumn("height", F.first("h").over(tx.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.select(
         F.lit(CHAIN).alias("chain_id"),
         F.concat(F.lit("o"), "l_orderkey").alias("txid"),
         F.col("i").alias("delta_index"),
-        F.when(F.col("side") == 0, F.concat(F.lit("p"), "l_partkey")).otherwise(F.concat(F.lit("s"), "l_suppkey")).alias("address"),
-        F.when(F.col("side") == 0, -F.col("cents")).otherwise(F.col("cents")).cast("string").alias("amount"),
+        "address",
+        F.col("cents").cast("string").alias("amount"),
         F.lit("native").alias("kind"),
         F.col("height").alias("block_height"),
         F.sha2(F.col("height").cast("string"), 256).alias("block_hash"),
@@ -41,6 +60,25 @@ def balance_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines as outputs of output-model transactions; those after the third of an order have no address."""
+    lines = table(spark, sf_dir, "lineitem")
+    n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate")) - 1
+    return lines.select(
+        F.lit(CHAIN).alias("chain_id"), F.concat(F.lit("o"), "l_orderkey").alias("txid"), n.cast("int").alias("n"), F.when(F.col("l_linenumber") <= 3, F.concat(F.lit("s"), "l_suppkey")).alias("address"),
+        cents_of(F.col("l_extendedprice")).cast("string").alias("amount"), F.lit(1).cast("long").alias("block_height"), F.lit("h").alias("block_hash"),
+    )
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An input for each output: of every fifth order coinbase inputs; else the output of that number of the order before,
+    which not all orders have."""
+    o = F.substring("txid", 2, 20).cast("long")
+    rows = outputs(spark, sf_dir).select("chain_id", "txid", "n", o.alias("o"))
+    spends = F.col("o") % 5 > 0
+    return rows.select("chain_id", "txid", "n", F.when(spends, F.concat(F.lit("o"), F.col("o") - 1)).alias("prev_txid"), F.when(spends, F.col("n")).alias("prev_n"))
+
+
 def address(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry after the deltas, without flags."""
     return balance_delta(spark, sf_dir).groupBy("chain_id", "address").agg(F.min("block_height").alias("first_seen_height"), F.max("block_height").alias("last_seen_height"))
@@ -106,16 +144,24 @@ def receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH = """
 with recursive lines as (
   select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, date_diff('day', date '1992-01-01', cast(l_shipdate as date)) as h,
-    cast(round(l_extendedprice * 100) as bigint) as cents, side
-  from lineitem, (values (0), (1)) s(side) where l_returnflag = 'R' and l_quantity >= 40),
+    cast(round(l_extendedprice * 100) as bigint) as cents, side, l_orderkey // 8 as wallet
+  from lineitem, (values (0), (1)) s(side)),
+moved as (
+  select *, case when side = 0 then -cents when l_orderkey % 10 = 7 then 5000000 else cents end as amount,
+    case when side = 0 and l_linenumber = 1 and l_orderkey % 8 > 0 and (l_orderkey - 1) % 3 = 0 then 'n' || (l_orderkey - 1) || '-2'
+      when side = 0 then 'w' || wallet || '-' || (l_partkey % 6) when l_orderkey % 3 > 0 then 's' || l_suppkey
+      when l_linenumber % 2 = 0 then 'n' || l_orderkey || '-' || l_linenumber else 'w' || xor(wallet, 1) || '-' || (l_partkey % 6) end as address from lines),
 numbered as (
-  select *, row_number() over w - 1 as i, first_value(h) over w as height from lines
+  select *, row_number() over w - 1 as i, first_value(h) over w as height from moved
   window w as (partition by l_orderkey order by side, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, h)),
 balance_delta as (
-  select 'tpch' as chain_id, 'o' || l_orderkey as txid, cast(i as integer) as delta_index, case side when 0 then 'p' || l_partkey else 's' || l_suppkey end as address,
-    case side when 0 then -cents else cents end as amount, 'native' as kind, cast(height as bigint) as block_height, sha256(cast(height as varchar)) as block_hash,
+  select 'tpch' as chain_id, 'o' || l_orderkey as txid, cast(i as integer) as delta_index, address,
+    amount, 'native' as kind, cast(height as bigint) as block_height, sha256(cast(height as varchar)) as block_hash,
     case when side = 1 and l_linenumber = 7 then '{"contract_creation":true}' end as meta, cast(height as bigint) * 100000000000 + l_orderkey * 1000 + i as pos
   from numbered),
+outputs as (
+  select l_orderkey as o, 'o' || l_orderkey as txid, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate) - 1 as integer) as n,
+    case when l_linenumber <= 3 then 's' || l_suppkey end as address, cast(round(l_extendedprice * 100) as bigint) as amount from lineitem),
 address as (select chain_id, address, min(block_height) as first_seen_height, max(block_height) as last_seen_height from balance_delta group by all),
 labelled as (select s_suppkey as k, 0 as n from supplier where s_suppkey % 4 = 0 union all select s_suppkey, 1 from supplier where s_suppkey % 12 = 0),
 label as (
