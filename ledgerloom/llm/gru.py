@@ -7,9 +7,10 @@ import heapq
 import numpy as np
 
 F32 = np.float32
-#: Units of the state, words of a class, lanes in which documents follow each other, and tokens of a training window.
-UNITS, CLASS, LANES, WINDOW = 12, 32, 256, 24
-LEARNING_RATE, SEED = 0.3, 11
+#: Units of the state, dimensions of an embedding, words of a class, lanes in which documents follow each other, and tokens
+#: of a training window.
+UNITS, DIM, CLASS, LANES, WINDOW = 64, 32, 96, 256, 24
+LEARNING_RATE, SEED = 0.1, 11
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -21,30 +22,30 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Tokens 0 to words - 1 are words in classes of CLASS; token `words` is every other word, a class of its own.
+    """Tokens 0 to words - 1 are words, in classes of CLASS; tokens words to words + tails - 1 are classes of all other words.
 
-    z, r = sigmoid(embedded + h U), n = tanh(embedded + (r h) U), h' = h + z (n - h); the state before a token gives its
-    class's logits, and the class its word's.
+    z, r = sigmoid(x + h U), n = tanh(x + (r h) U), h' = h + z (n - h), where x is the token's embedding through a
+    projection; the state before a token gives its class's logits, and the class its word's.
     """
 
-    def __init__(self, words: int, units: int = UNITS, seed: int = SEED):
+    def __init__(self, words: int, tails: int = 1, units: int = UNITS, dim: int = DIM, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.words, self.units, self.classes = words, units, -(-words // CLASS)
+        self.words, self.tails, self.units, self.classes = words, tails, units, -(-words // CLASS)
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(F32)
         self.p = {
-            "e": small(words + 1, 3 * units), "u": small(units, 2 * units), "un": small(units, units), "wc": small(units, self.classes + 1), "bc": np.zeros(self.classes + 1, F32),
-            "ww": small(self.classes, units, CLASS), "bw": np.zeros((self.classes, CLASS), F32),
+            "e": small(words + tails, dim) * F32(5), "x": small(dim, 3 * units) * F32(2), "bx": np.zeros(3 * units, F32), "u": small(units, 2 * units), "un": small(units, units),
+            "wc": small(units, self.classes + tails), "bc": np.zeros(self.classes + tails, F32), "ww": small(self.classes, units, CLASS), "bw": np.zeros((self.classes, CLASS), F32),
         }
         last = words - (self.classes - 1) * CLASS
         if words:
             self.p["bw"][-1, last:] = -60  # places of the last class without a word
 
-    def begin_with(self, counts: np.ndarray, others: float) -> None:
-        """Biases that give the words' relative frequencies."""
+    def begin_with(self, counts: np.ndarray, others: np.ndarray) -> None:
+        """Biases that give the relative frequencies of words, and of the classes of all others."""
         padded = np.full(self.classes * CLASS, 0.0)
         padded[: self.words] = counts
         by = padded.reshape(self.classes, CLASS)
-        total = by.sum() + others
+        total = max(1.0, by.sum() + others.sum())
         self.p["bc"][:] = np.log(np.append(by.sum(1), others) / total + 1e-9)
         self.p["bw"][:] = np.where(by > 0, np.log(np.maximum(by, 1e-9) / np.maximum(by.sum(1, keepdims=True), 1e-9)), -60)
 
@@ -60,14 +61,15 @@ class Model:
     def run(self, tokens: np.ndarray, follows: np.ndarray, h: np.ndarray, keep: bool = False):
         """States before each of tokens (time, lane), from state h; follows is 0 where a document begins.
 
-        Returns (states, last state), and with keep what the gradient needs."""
+        Returns (states, last state, and what the gradient needs, if keep)."""
         t, b, d = *tokens.shape, self.units
         before, zr, cand = np.empty((t, b, d), F32), np.empty((t, b, 2 * d), F32) if keep else None, np.empty((t, b, d), F32) if keep else None
-        e, u, un = self.p["e"], self.p["u"], self.p["un"]
+        u, un = self.p["u"], self.p["un"]
+        inputs = (self.p["e"][tokens.ravel()] @ self.p["x"] + self.p["bx"]).reshape(t, b, 3 * d)
         for k in range(t):
             np.multiply(h, follows[k][:, None], out=before[k])
             h = before[k]
-            x = e[tokens[k]]
+            x = inputs[k]
             g = _sigmoid(h @ u + x[:, : 2 * d])
             n = np.tanh((g[:, d:] * h) @ un + x[:, 2 * d :])
             if keep:
@@ -84,7 +86,7 @@ class Model:
         flat, p = states.reshape(-1, self.units), self.p
         token = tokens.ravel()
         cls = token // CLASS
-        cls[token == self.words] = self.classes
+        cls = np.where(token < self.words, cls, self.classes + token - self.words)
         logits = flat @ p["wc"] + p["bc"]
         logits -= logits.max(1, keepdims=True)
         rows = np.arange(len(token))
@@ -147,15 +149,16 @@ class Model:
         grad["u"] = hb.T @ flat[:, : 2 * d]
         grad["un"] = (zr[:, :, d:].reshape(-1, d) * hb).T @ flat[:, 2 * d :]
         token = tokens.ravel()
+        grad["x"], grad["bx"] = self.p["e"][token].T @ flat, flat.sum(0)
         order = np.argsort(token, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], np.diff(token[order]) > 0]))
-        grad["e"] = (token[order[first]], np.add.reduceat(flat[order], first, axis=0))
+        grad["e"] = (token[order[first]], np.add.reduceat((flat @ self.p["x"].T)[order], first, axis=0))
         return grad, last, -float((logp * weight.ravel()).sum())
 
     def learn(self, tokens: np.ndarray, follows: np.ndarray, weight: np.ndarray, memory: dict | None = None, rate: float = LEARNING_RATE) -> dict:
         """One pass of truncated backpropagation through lanes (time, lane), window by window; the state goes on from
         window to window. memory: squared gradients so far, for the step sizes."""
-        memory = memory or {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
+        memory = memory or {k: np.full_like(v, 1e-8) for k, v in self.p.items()}
         h = np.zeros((tokens.shape[1], self.units), F32)
         for k in range(0, len(tokens), WINDOW):
             grad, h, _ = self.gradient(tokens[k : k + WINDOW], follows[k : k + WINDOW], weight[k : k + WINDOW], h)

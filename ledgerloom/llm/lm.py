@@ -1,4 +1,4 @@
-"""Language-model scores of whole documents: exact unigram counts and a gated recurrent model over frequent words."""
+"""Language-model scores of whole documents: exact unigram counts and a gated recurrent model over all words."""
 
 from __future__ import annotations
 
@@ -12,46 +12,57 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.gru import Model, laid_out
-from ledgerloom.llm.storage import written
-from ledgerloom.llm.words import U, Words, text_chunks, tidy
+from ledgerloom.llm.storage import Scratch, small_batches
+from ledgerloom.llm.words import U, Words, mix, text_chunks, tidy
 
 #: The token after the last word of each document, as a hash.
 END = U(0x454E444F46444F43)
-#: Words whose counts are sent to all tasks, at most, and words that the recurrent model knows.
-HEAD, KNOWN = 1 << 17, 1_024
-#: Words after which a task gives the counts on, and tokens that are trained or scored at a time.
-COUNTED, AT_ONCE = 3_000_000, 1_500_000
-#: Rows in which the tasks' models are averaged, and the part of the documents on which a first average is made.
-MEETINGS, FIRST = 16, 12
-
-
-def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, END after each text, and where each text begins, with the end."""
+#: Words whose counts are sent to all tasks, at most; words that the recurrent model knows by themselves; classes, by the end
+#: of the word, of all others.
+HEAD, KNOWN, TAILS = 1 << 17, 8_192, 32
+#: Words after which a task gives the counts on, and tokens that are scored at a time.
+COUNTED, AT_ONCE = 3_000_000, 2_000_000
+#: The part of the documents on which a first average of models is made, tokens from which one model learns then, and
+#: afterwards, and the rates at which it learns; rows in which models are averaged.
+FIRST, LEARNED, RATES, MEETINGS = 12, (1 << 19, 1 << 21), (0.1, 0.03), 8
+
+
+def tokens_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all tokens, END after each text; their classes by the last two bytes; where each text begins, with the end."""
     words = Words(texts)
     bounds = words.bounds + np.arange(len(words.bounds))
-    out = np.empty(int(bounds[-1]), U)
+    out, tails = np.empty(int(bounds[-1]), U), np.zeros(int(bounds[-1]), np.uint8)
     ends = bounds[1:] - 1
     out[ends] = END
     inner = np.ones(len(out), bool)
     inner[ends] = False
     out[inner] = words.hashes()
-    return out, bounds
+    if len(words.begin):
+        last = words.data[words.end - 1].astype(np.uint16) << 8 | words.data[np.maximum(words.end - 2, words.begin)]
+        tails[inner] = _TAIL[last]
+    return out, tails, bounds
+
+
+_TAIL = (mix(np.arange(1 << 16, dtype=U)) % U(TAILS)).astype(np.uint8)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow function: (text) to hashes and counts of its tokens."""
+    """mapInArrow function: (text) to hashes, classes and counts of its tokens."""
     import pandas as pd
 
     held, size = [], 0
 
     def counted() -> pa.RecordBatch:
-        code, distinct = pd.factorize(np.concatenate(held))
-        return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(np.bincount(code, minlength=len(distinct)))], names=["hash", "c"])
+        hashes, tails = (np.concatenate(x) for x in zip(*held, strict=True))
+        code, distinct = pd.factorize(hashes)
+        tail = np.zeros(len(distinct), np.int32)
+        tail[code] = tails
+        return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(tail), pa.array(np.bincount(code, minlength=len(distinct)))], names=["hash", "tail", "c"])
 
     for batch in batches:
         for chunk in text_chunks(batch, "text"):
-            held.append(tokens_of(chunk.column("text"))[0])
-            size += len(held[-1])
+            held.append(tokens_of(chunk.column("text"))[:2])
+            size += len(held[-1][0])
             if size >= COUNTED:
                 yield counted()
                 held, size = [], 0
@@ -61,7 +72,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Head:
-    """The most frequent words: sorted hashes, their counts, and their number in the model (KNOWN at most, else others)."""
+    """The most frequent words: sorted hashes, their counts, and their number in the model (known, if they have none of
+    their own). mass: (c + 1) summed over the words of each class that have none, and 1 for those that never came."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -69,6 +81,7 @@ class Head:
     known: int
     total: int
     distinct: int
+    mass: np.ndarray
 
     def __post_init__(self):
         self._tables = None
@@ -118,45 +131,83 @@ def head_of(counts: DataFrame, most: int = HEAD, known: int = KNOWN) -> Head:
             break
         least, held = r.level, held + r.n
     top = counts.where((level >= least) | (F.col("hash") == int(END.view(np.int64)))).toArrow()
-    hashes, c = top.column("hash").to_numpy().view(U), top.column("c").to_numpy()
+    hashes, c, tails = top.column("hash").to_numpy().view(U), top.column("c").to_numpy(), top.column("tail").to_numpy()
     order = np.argsort(hashes)
     hashes, c = hashes[order], c[order]
     rank = np.lexsort((hashes, -c, hashes != END))  # the end first, then by count
-    number = np.full(len(hashes), min(known, len(hashes)), np.int64)
+    number = np.full(len(hashes), min(known, len(hashes)), np.int32)
     number[rank[:known]] = np.arange(min(known, len(hashes)))
-    return Head(hashes, c, number, min(known, len(hashes)), sum(r.c for r in levels), sum(r.n for r in levels))
+    mass = np.ones(TAILS)
+    for r in counts.groupBy("tail").agg(F.sum(F.col("c") + 1).alias("m")).collect():  # TAILS rows
+        mass[r.tail] += r.m
+    mass -= np.bincount(tails[order][rank[:known]], c[rank[:known]] + 1.0, minlength=TAILS)
+    return Head(hashes, c, number, min(known, len(hashes)), sum(r.c for r in levels), sum(r.n for r in levels), mass)
 
 
-def _trained(head: Head, start: np.ndarray):
-    """mapInArrow function: (text) to the parameters after one pass over the task's documents, and their tokens."""
+_CODED = "row long, doc_id long, held_out boolean, lot long, n_tokens long, n_known long, base double, rest double, tokens binary, others array<long>"
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, memory, seen = Model(head.known), None, 0
-        numbers = np.append(head.number, head.known)  # a place of -1 is that of a word outside
-        model.load(start)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def learn() -> None:
-            nonlocal memory, seen
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in held]))])
-            tokens, follows, weight, _ = laid_out(np.concatenate([t for t, _ in held]), bounds, head.known)
-            memory = model.learn(tokens, follows, weight, memory)
-            seen += int(bounds[-1])
 
-        size = 0
+def _coded(head: Head):
+    """mapInArrow function: (doc_id, held_out, lot, text) to the model's tokens as uint16, sums over the words of the head,
+    and hashes of all others. rest: what the words without a number of their own add to their classes' probabilities."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a place of -1 is that of a word outside the head
+        log_c, numbers = np.append(np.log10(head.counts + 1.0), 0.0), np.append(head.number, np.int32(head.known))
+        share = np.log10(head.mass)
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for chunk in text_chunks(batch, "text"):
-                hashes, bounds = tokens_of(chunk.column("text"))
+                hashes, tails, bounds = tokens_of(chunk.column("text"))
                 at = head.find(hashes)
-                held.append((numbers[at], bounds))
-                size += len(hashes)
-                if size >= AT_ONCE:
-                    learn()
-                    held, size = [], 0
+                token, base = numbers[at], log_c[at]
+                tail = token == head.known
+                rest = np.where(tail, base - share[tails], 0.0)
+                token = np.where(tail, np.int32(head.known) + tails.astype(np.int32), token).astype("<u2")
+                missing = at < 0
+                sums = lambda v: np.add.reduceat(v, bounds[:-1])
+                n = np.diff(bounds)
+                others = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sums(missing.astype(np.int64)))]).astype(np.int32)), pa.array(hashes[missing].view(np.int64)))
+                raw = token.tobytes()
+                tokens = [raw[2 * b : 2 * e] for b, e in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+                rows = np.arange(row, row + len(n))
+                row += len(n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows), chunk.column("doc_id"), chunk.column("held_out"), chunk.column("lot"), pa.array(n), pa.array(sums((~missing).astype(np.int64))), pa.array(sums(base)), pa.array(sums(rest)), pa.array(tokens, pa.binary()), others],
+                    names=["row", "doc_id", "held_out", "lot", "n_tokens", "n_known", "base", "rest", "tokens", "others"],
+                )
+
+    return of
+
+
+def _laid(tokens: list[bytes], other: int):
+    lengths = np.array([len(t) // 2 for t in tokens])
+    return laid_out(np.frombuffer(b"".join(tokens), "<u2").astype(np.int32), np.concatenate([[0], np.cumsum(lengths)]), other)
+
+
+def _trained(known: int, start: np.ndarray, rate: float):
+    """mapInArrow function over (bucket, tokens), sorted by bucket: for each bucket the parameters after one pass over its
+    documents from the start's, and their tokens."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, held = None, []
+
+        def learned() -> pa.RecordBatch:
+            model = Model(known, TAILS)
+            model.load(start)
+            tokens, follows, weight, _ = _laid(held, known)
+            model.learn(tokens, follows, weight, rate=rate)
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([sum(map(len, held)) // 2], pa.int64()), pa.array([model.flat().tobytes()], pa.binary())], names=["bucket", "seen", "flat"])
+
+        for batch in batches:
+            for b, t in zip(batch.column("bucket").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if b != bucket:
+                    if held:
+                        yield learned()
+                    bucket, held = b, []
+                held.append(t)
         if held:
-            learn()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([model.flat().tobytes()], pa.binary())], names=["task", "seen", "flat"])
+            yield learned()
 
     return of
 
@@ -168,113 +219,100 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = np.frombuffer(flat.as_buffer(), np.float32).astype(np.float64) * n
             total, seen = part if total is None else total + part, seen + n
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], names=["task", "seen", "flat"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], names=["bucket", "seen", "flat"])
 
 
-def train(docs: DataFrame, head: Head) -> np.ndarray:
-    """The recurrent model's parameters, from all documents (id, text): tasks go through their own documents and their
-    models are averaged, first over one document of FIRST, then over all others from that average."""
-    model = Model(head.known)
+def train(coded: DataFrame, head: Head) -> np.ndarray:
+    """The recurrent model's parameters, from all documents (lot, tokens): buckets of documents by a hash of their lots, as
+    many as there are tokens for, each give a model, and these are averaged; first over one document of FIRST, then
+    over all others from that average. Which documents are in a bucket, and their order, depends on the documents only."""
+    model = Model(head.known, TAILS)
     known = np.zeros(head.known)
     inner = head.number < head.known
     known[head.number[inner]] = head.counts[inner]
-    model.begin_with(known, max(1.0, head.total - known.sum()))
+    model.begin_with(known, head.mass)
     flat = model.flat()
-    first = F.pmod(F.xxhash64("doc_id", "text"), F.lit(FIRST)) == 0
-    kinds = "task long, seen long, flat binary"
-    for part in (docs.where(first), docs.where(~first)):
-        tasks = part.select("text").mapInArrow(tidy(_trained(head, flat)), kinds)
-        met = tasks.repartition(MEETINGS, "task").mapInArrow(_averaged, kinds).toArrow()  # MEETINGS rows at most
+    first = F.pmod(F.col("lot"), F.lit(FIRST)) == 0
+    kinds = "bucket long, seen long, flat binary"
+    for turn, (part, size) in enumerate(zip((coded.where(first), coded.where(~first)), LEARNED, strict=True)):
+        buckets = max(1, -(-(part.agg(F.sum("n_tokens")).first()[0] or 0) // size))
+        dealt = part.select(F.pmod(F.xxhash64("lot", F.lit(turn)), F.lit(buckets)).alias("bucket"), "lot", "tokens").repartition(buckets, "bucket").sortWithinPartitions("bucket", "lot", "tokens")
+        models = dealt.select("bucket", "tokens").mapInArrow(tidy(_trained(head.known, flat, RATES[turn])), kinds)
+        met = models.repartition(MEETINGS, "bucket").sortWithinPartitions("bucket").mapInArrow(_averaged, kinds).toArrow()  # MEETINGS rows at most
         if met.num_rows:
             seen = met.column("seen").to_numpy()
-            flat = (np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in met.column("flat")]).astype(np.float64) * (seen / seen.sum())[:, None]).sum(0).astype(np.float32)
+            parts = [np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) * n for x, n in zip(met.column("flat"), seen, strict=True)]
+            flat = (sum(parts) / seen.sum()).astype(np.float32)
     return flat
 
 
-_SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, others array<long>"
-
-
-def _scores(head: Head, flat: np.ndarray):
-    """mapInArrow function: (doc_id, held_out, text) to sums over the words of the head, and hashes of all others."""
+def _scores(known: int, flat: np.ndarray):
+    """mapInArrow function: rows of the coded documents with, instead of their tokens, the model's score of these."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(head.known)
+        model = Model(known, TAILS)
         model.load(flat)
-        # logs of (c + 1) of the words of the head; of the others outside the model all share what it gives to them
-        # a place of -1 is that of a word outside the head
-        log_c, numbers = np.append(np.log10(head.counts + 1.0), 0.0), np.append(head.number, head.known)
-        inner = head.number < head.known
-        others = np.log10(head.total + head.distinct + 1.0 - (head.counts[inner] + 1.0).sum())
-        row = TaskContext.get().partitionId() << 36
+        held: list[pa.RecordBatch] = []
+        size = 0
 
-        def scored(held: list, ids: list, out: list) -> pa.RecordBatch:
-            nonlocal row
-            hashes = np.concatenate([h for h, _ in held])
-            bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for _, b in held]))])
-            at = head.find(hashes)
-            found = at >= 0
-            token = numbers[at]
-            grid, follows, _, place = laid_out(token, bounds, head.known)
+        def scored() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            tokens = rows.column("tokens").to_pylist()
+            grid, follows, _, place = _laid(tokens, known)
             logp = model.score(grid, follows).T.reshape(-1)[place].astype(np.float64) / np.log(10)
-            base = log_c[at]
-            extra = np.where(token == head.known, base - others, 0.0)
-            sums = lambda v: np.add.reduceat(v, bounds[:-1])
-            n = np.diff(bounds)
-            missing = hashes[~found].view(np.int64)
-            cut = np.concatenate([[0], np.cumsum(sums((~found).astype(np.int64)))]).astype(np.int32)
-            rows = np.arange(row, row + len(n))
-            row += len(n)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(rows), pa.chunked_array(ids).combine_chunks(), pa.chunked_array(out).combine_chunks(), pa.array(n), pa.array(sums(found.astype(np.int64))), pa.array(sums(base)), pa.array(sums(logp + extra)), pa.ListArray.from_arrays(pa.array(cut), pa.array(missing))],
-                names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "others"],
-            )
-
-        held, ids, out, size = [], [], [], 0
+            begins = np.concatenate([[0], np.cumsum([len(t) // 2 for t in tokens])[:-1]])
+            at = rows.schema.get_field_index("tokens")
+            return rows.set_column(at, "score", pa.array(np.add.reduceat(logp, begins)))
+
         for batch in batches:
-            for chunk in text_chunks(batch, "text"):
-                held.append(tokens_of(chunk.column("text")))
-                ids.append(chunk.column("doc_id"))
-                out.append(chunk.column("held_out"))
-                size += len(held[-1][0])
+            for k in range(0, batch.num_rows, 256):
+                held.append(batch.slice(k, 256))
+                size += sum(len(t) for t in held[-1].column("tokens").to_pylist()) // 2
                 if size >= AT_ONCE:
-                    yield scored(held, ids, out)
-                    held, ids, out, size = [], [], [], 0
+                    yield scored()
+                    held.clear()
+                    size = 0
         if held:
-            yield scored(held, ids, out)
+            yield scored()
 
     return of
 
 
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; written as a table.
 
     Tokens: words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased, then one end. Counts, and the model, come from all rows
     that aren't held out. base_score: the sum of log10((c + 1) / (N + V + 1)). score: the sum of the log10 probabilities
-    of a gated recurrent model that knows the KNOWN most frequent words; it gives all others one probability, which
-    they share by their add-one counts, so that both scores are of the same events.
+    of a gated recurrent model. The KNOWN most frequent words have embeddings and outputs of their own; all others have
+    those of one of TAILS classes, by their last two bytes, whose probability they share by c + 1, with 1 for all that
+    never came: each token is read by the state and has a probability from it, and all of them add up to 1.
 
-    Counts of the HEAD most frequent words are sent to all tasks; the rest of each text's words meets the table of
-    counts in a join. The recurrent model is trained by truncated backpropagation through every training document,
-    task by task, and averaged; a document's state is carried over all windows from its begin to its end.
+    Texts are turned into tokens once; what is written of them, two bytes for each, is what the model learns from and
+    scores. Counts of the HEAD most frequent words are sent to all tasks; the rest of each text's words meets the table
+    of counts in a join. The model is trained by truncated backpropagation through every training document, in buckets that
+    depend on the documents only, so that scores don't depend on how the input is split, and averaged; a document's
+    state is carried over all windows from its begin to its end.
 
     A null text is empty: one token, the end. Null ids and repeated rows are scored like others. Without training rows
     every count is 0. An empty table gives no rows. Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
-    training = rows.where("not held_out")
-    counts = written(training.select("text").mapInArrow(tidy(_counts), "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c")), "counts")
-    head = head_of(counts)
-    flat = train(training.select("doc_id", "text"), head)
-    scored = written(rows.mapInArrow(tidy(_scores(head, flat)), _SCORED), "scored")
-    tail = scored.select("row", F.explode("others").alias("hash")).join(counts, "hash")
-    tail = tail.groupBy("row").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("tail_log"))
-    inner = head.number < head.known
-    others = float(np.log10(head.total + head.distinct + 1.0 - (head.counts[inner] + 1.0).sum()))
-    each = float(np.log10(head.total + head.distinct + 1.0))
-    out = scored.withColumn("n_others", F.size("others")).drop("others").join(tail, "row", "left")
-    tail_log = F.coalesce("tail_log", F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(head.total).cast("long").alias("train_tokens"),
-        (F.col("base") + tail_log - F.col("n_tokens") * F.lit(each)).alias("base_score"), (F.col("score") + tail_log).alias("score"),
-    )
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), held_out.alias("held_out"))
+    with Scratch(spark) as tables, small_batches(spark):
+        counts = rows.where("not held_out").select("text").mapInArrow(tidy(_counts), "hash long, tail int, c long")
+        counts = tables.written(counts.groupBy("hash").agg(F.sum("c").alias("c"), F.max("tail").alias("tail")), "counts")
+        head = head_of(counts)
+        lot = F.xxhash64("doc_id", "text").alias("lot")
+        coded = tables.written(rows.select("doc_id", "held_out", lot, "text").mapInArrow(tidy(_coded(head)), _CODED), "coded")
+        flat = train(coded.where("not held_out").select("lot", "n_tokens", "tokens"), head)
+        given = coded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "rest", "tokens")
+        scored = given.mapInArrow(tidy(_scores(head.known, flat)), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, rest double, score double")
+        tail = coded.select("row", F.explode("others").alias("hash")).join(counts.select("hash", "c"), "hash")
+        tail = tail.groupBy("row").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("c") + 1.0)).alias("tail_log"))
+        each, tail_log = float(np.log10(head.total + head.distinct + 1.0)), F.coalesce("tail_log", F.lit(0.0))
+        out = scored.join(tail, "row", "left").select(
+            "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(head.total).cast("long").alias("train_tokens"),
+            (F.col("base") + tail_log - F.col("n_tokens") * F.lit(each)).alias("base_score"), (F.col("score") + F.col("rest") + tail_log).alias("score"),
+        )
+        return tables.kept(out, "lm-scores")
