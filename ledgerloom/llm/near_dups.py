@@ -20,7 +20,7 @@ LANES, ROWS = 20, 4
 #: similarity of 0.8 gives, so that fewer than one link in a million is lost by it.
 SURE = 5.0
 #: Rows outside of a bucket's largest component, and rows of all, that meet in a cell, and shingles of either at most.
-OUTSIDE, INSIDE, BLOCK_SHINGLES = 128, 1_024, 400_000
+OUTSIDE, INSIDE, BLOCK_SHINGLES = 1_024, 1_024, 400_000
 SALT = 32
 
 _A = mix(np.arange(1, 2 * LANES * ROWS + 1, dtype=U)) | U(1)
@@ -341,7 +341,7 @@ def _across(buckets: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFra
             return comps if last else tables.owns(components(links))
         if last:
             whole = tables.written(rows.join(flagged.select("key", "rep").distinct(), ["key", "rep"], "left_semi").join(sets, "rep"), "flagged-sets")
-            more = _cells(whole, OUTSIDE // 2, INSIDE // 4).mapInArrow(tidy(_linked(num, den)), "x long, y long")
+            more = _cells(whole, OUTSIDE // 4, INSIDE // 4).mapInArrow(tidy(_linked(num, den)), "x long, y long")
         else:
             more = _verified(flagged.select(F.col("rep").alias("x"), F.col("other").alias("y"), "agree"), sets, num, den)
         links = tables.written(links.union(more), "links")
