@@ -21,6 +21,8 @@ LANES, ROWS = 20, 4
 SURE = 5.0
 #: Rows outside of a bucket's largest component, and rows of all, that meet in a cell, and shingles of either at most.
 OUTSIDE, INSIDE, BLOCK_SHINGLES = 1_024, 1_024, 400_000
+#: Left and right collections of whose tables each representative's best candidate is taken, before all are looked at.
+GLANCE = 3
 SALT = 32
 
 _A = mix(np.arange(1, 2 * LANES * ROWS + 1, dtype=U)) | U(1)
@@ -230,7 +232,7 @@ def _flagged(num: int, den: int):
         least = least_agreeing(num / den)
         for table in _groups(batches, _CELL, 8_192):
             key, rep, comp, n, side, place = (table.column(c).to_numpy() for c in ("key", "rep", "comp", "n", "side", "place"))
-            sketch = _sketches(table)
+            sketch, best, partner = _sketches(table), np.zeros(table.num_rows, np.int32), np.zeros(table.num_rows, np.int64)
             for x, y in _crossing(_edges(table, _CELL), side, comp):
                 ok, agree = _alike(sketch, n, place, x, y, num, den, least)
                 if not len(ok):
@@ -238,7 +240,10 @@ def _flagged(num: int, den: int):
                 mine, other, agree = np.concatenate([x[ok], y[ok]]), np.concatenate([y[ok], x[ok]]), np.concatenate([agree, agree])
                 order = np.lexsort((rep[other], -agree, mine))
                 first = order[np.flatnonzero(np.diff(mine[order], prepend=-1))]
-                yield pa.RecordBatch.from_arrays([pa.array(key[mine[first]]), pa.array(rep[mine[first]]), pa.array(rep[other[first]]), pa.array(agree[first])], names=["key", "rep", "other", "agree"])
+                first = first[agree[first] > best[mine[first]]]
+                best[mine[first]], partner[mine[first]] = agree[first], rep[other[first]]
+            if (hit := best > 0).any():
+                yield pa.RecordBatch.from_arrays([pa.array(key[hit]), pa.array(rep[hit]), pa.array(partner[hit]), pa.array(best[hit])], names=["key", "rep", "other", "agree"])
 
     return of
 
@@ -328,17 +333,19 @@ def _open(buckets: DataFrame, comps: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _across(buckets: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFrame, num: int, den: int, tables: Scratch) -> DataFrame:
     """Components by the links so far and all links between rows of one bucket (key, place, rep) that are of different ones:
-    first each representative's best candidate is confirmed; what is open after that is compared on full sets."""
+    first, of a few tables' buckets, each representative's best candidate is confirmed; what is open after that in any
+    bucket is compared on full sets."""
     for last in (False, True):
         if last:
             comps = tables.owns(components(links))
         else:  # every representative has one link at most so far: where that leads to in two steps does for now
             once = links.select(F.col("x").alias("vertex"), "y")
             comps = once.join(once.select(F.col("vertex").alias("y"), F.col("y").alias("z")), "y", "left").select("vertex", F.coalesce("z", "y").alias("component"))
-        rows = tables.written(_open(buckets, comps, reps), "open")
+        some = buckets if last else buckets.where((F.col("place") % LANES < GLANCE) & (F.floor(F.col("place") / LANES) < GLANCE))
+        rows = tables.written(_open(some, comps, reps), "open")
         flagged = tables.written(_cells(rows, OUTSIDE, INSIDE).mapInArrow(tidy(_flagged(num, den)), "key long, rep long, other long, agree int"), "flagged")
-        if flagged.isEmpty():
-            return comps if last else tables.owns(components(links))
+        if last and flagged.isEmpty():
+            return comps
         if last:
             whole = tables.written(rows.join(flagged.select("key", "rep").distinct(), ["key", "rep"], "left_semi").join(sets, "rep"), "flagged-sets")
             more = _cells(whole, OUTSIDE // 4, INSIDE // 4).mapInArrow(tidy(_linked(num, den)), "x long, y long")
