@@ -213,13 +213,13 @@ def _trained(known: int, start: np.ndarray, rate: float):
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, seen = None, 0
+    total, seen, first = None, 0, 0
     for batch in batches:
-        for n, flat in zip(batch.column("seen").to_pylist(), batch.column("flat"), strict=True):
+        for bucket, n, flat in zip(batch.column("bucket").to_pylist(), batch.column("seen").to_pylist(), batch.column("flat"), strict=True):
             part = np.frombuffer(flat.as_buffer(), np.float32).astype(np.float64) * n
-            total, seen = part if total is None else total + part, seen + n
+            total, seen, first = part if total is None else total + part, seen + n, first if seen else bucket
     if seen:
-        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], names=["bucket", "seen", "flat"])
+        yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], names=["bucket", "seen", "flat"])
 
 
 def train(coded: DataFrame, head: Head) -> np.ndarray:
@@ -238,6 +238,9 @@ def train(coded: DataFrame, head: Head) -> np.ndarray:
         buckets = max(1, -(-(part.agg(F.sum("n_tokens")).first()[0] or 0) // size))
         dealt = part.select(F.pmod(F.xxhash64("lot", F.lit(turn)), F.lit(buckets)).alias("bucket"), "lot", "tokens").repartition(buckets, "bucket").sortWithinPartitions("bucket", "lot", "tokens")
         models = dealt.select("bucket", "tokens").mapInArrow(tidy(_trained(head.known, flat, RATES[turn])), kinds)
+        meetings = -(-buckets // 16)
+        while meetings > MEETINGS:  # however many models there are, a task averages a few of them
+            models, meetings = models.repartition(meetings, "bucket").sortWithinPartitions("bucket").mapInArrow(_averaged, kinds), -(-meetings // 16)
         met = models.repartition(MEETINGS, "bucket").sortWithinPartitions("bucket").mapInArrow(_averaged, kinds).toArrow()  # MEETINGS rows at most
         if met.num_rows:
             seen = met.column("seen").to_numpy()
