@@ -348,7 +348,7 @@ def _across(buckets: DataFrame, links: DataFrame, reps: DataFrame, sets: DataFra
             return comps
         if last:
             whole = tables.written(rows.join(flagged.select("key", "rep").distinct(), ["key", "rep"], "left_semi").join(sets, "rep"), "flagged-sets")
-            more = _cells(whole, OUTSIDE // 4, INSIDE // 4).mapInArrow(tidy(_linked(num, den)), "x long, y long")
+            more = _cells(whole, OUTSIDE // 2, INSIDE // 2).mapInArrow(tidy(_linked(num, den)), "x long, y long")
         else:
             more = _verified(flagged.select(F.col("rep").alias("x"), F.col("other").alias("y"), "agree"), sets, num, den)
         links = tables.written(links.union(more), "links")
@@ -380,7 +380,7 @@ def near_duplicates(docs: DataFrame, words: int = 4, similarity: tuple[int, int]
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t"), text.alias("text"))
-    with Scratch(spark) as tables, small_batches(spark):
+    with Scratch(spark) as tables, small_batches(spark, "2m"):
         sketch = tables.written(rows.mapInArrow(tidy(sketched(words)), SKETCHED), "sketch")
         full = sketch.where("n > 0 and doc_id is not null")
         # a representative stands for a set, not for an id: one id can come with several texts
