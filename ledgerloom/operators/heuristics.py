@@ -60,9 +60,8 @@ def _candidates(df: DataFrame, batch: DataFrame, key: str, confidence: Column, a
 def common_input(batch: DataFrame, context: Context) -> DataFrame:
     """Transactions that aren't excluded: a star from the first spender that is no hub to each other one."""
     confidence, _, _ = context.of("common-input")
-    spent = ranked(without(spent_addresses(context.not_excluded(batch)), context.hubs(), "address"))
-    first = spent.where("rank = 0").select(*TX, F.col("address").alias("anchor"))
-    return _candidates(spent.where("rank > 0").join(first, TX), batch, "common-input", F.lit(confidence), "anchor", "address", F.col("rank"), F.lit(0))
+    spent = ranked(without(spent_addresses(context.not_excluded(batch)), context.hubs(), "address"), first="anchor")
+    return _candidates(spent.where("rank > 0"), batch, "common-input", F.lit(confidence), "anchor", "address", F.col("rank"), F.lit(0))
 
 
 def sweep(batch: DataFrame, context: Context) -> DataFrame:
@@ -109,25 +108,29 @@ def change(batch: DataFrame, context: Context) -> DataFrame:
     return _candidates(best.join(anchors(spent_addresses(clean)), TX), batch, "change", F.least("score", F.lit(confidence)), "anchor", "best", F.lit(0), F.lit(0))
 
 
-def _from_first_spender(batch: DataFrame, context: Context, created: bool) -> DataFrame:
+def _from_first_spender(received: DataFrame, batch: DataFrame, context: Context) -> DataFrame:
     first = without(anchors(spent_addresses(batch)), context.hubs(), "anchor")
-    received = received_entries(batch).where(is_contract_creation(F.col("meta")) == created).select(*TX, "address", "pos")
     return received.join(first, TX).where("address <> anchor")
 
 
+def _received(batch: DataFrame, created: bool) -> DataFrame:
+    return received_entries(batch).where(is_contract_creation(F.col("meta")) == created).select(*TX, "address", "pos")
+
+
 def funding(batch: DataFrame, context: Context) -> DataFrame:
     """The first spender, if no hub, with each address that appears for the first time by what it receives here."""
     confidence, _, _ = context.of("funding")
     seen = context.addresses.select("chain_id", "address", "first_seen_height")
     heads = tx_heads(batch).select(*TX, F.col("block_height").alias("tx_height"))
-    new = _from_first_spender(batch, context, created=False).join(heads, TX).join(seen, ["chain_id", "address"]).where("first_seen_height = tx_height").drop("tx_height")
-    return _candidates(new, batch, "funding", F.lit(confidence), "anchor", "address", F.col("pos"), F.lit(0))
+    # few rows are of new addresses: only these go on to the spenders
+    new = _received(batch, created=False).join(heads, TX).join(seen, ["chain_id", "address"]).where("first_seen_height = tx_height").select(*TX, "address", "pos")
+    return _candidates(_from_first_spender(new, batch, context), batch, "funding", F.lit(confidence), "anchor", "address", F.col("pos"), F.lit(0))
 
 
 def deployer(batch: DataFrame, context: Context) -> DataFrame:
     """The first spender, if no hub, with each contract that it creates."""
     confidence, _, _ = context.of("deployer")
-    return _candidates(_from_first_spender(batch, context, created=True), batch, "deployer", F.lit(confidence), "anchor", "address", F.col("pos"), F.lit(0))
+    return _candidates(_from_first_spender(_received(batch, created=True), batch, context), batch, "deployer", F.lit(confidence), "anchor", "address", F.col("pos"), F.lit(0))
 
 
 def behavioral(batch: DataFrame, context: Context) -> DataFrame:

@@ -64,6 +64,8 @@ def anchors(spent: DataFrame) -> DataFrame:
     return spent.groupBy(*TX).agg(F.min_by("address", "pos").alias("anchor"))
 
 
-def ranked(df: DataFrame, order: str = "pos") -> DataFrame:
-    """With rank, from 0, in each transaction."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*TX).orderBy(order)) - 1)
+def ranked(df: DataFrame, order: str = "pos", first: str | None = None) -> DataFrame:
+    """With rank, from 0, in each transaction; first: a column of that name has the address of rank 0."""
+    turn = Window.partitionBy(*TX).orderBy(order)
+    out = df.withColumn("rank", F.row_number().over(turn) - 1)
+    return out.withColumn(first, F.first("address").over(turn.rowsBetween(Window.unboundedPreceding, 0))) if first else out
