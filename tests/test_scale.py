@@ -2,6 +2,7 @@
 
 import re
 
+from ledgerloom.operators import evidence as ev
 from ledgerloom.operators import history
 from ledgerloom.operators import tx as T
 from ledgerloom.sources import derived
@@ -27,3 +28,13 @@ def test_degrees_send_an_address_once_a_transaction(spark):
     got = history.degrees(spark.createDataFrame(rows, "chain_id string, txid string, address string"))
     assert {(r.chain_id, r.address): r.degree for r in got.collect()} == {("c", x): 6 for x in odd} | {("d", "a"): 1, ("d", "z"): 1}
     assert not any("other" in keys for keys in shuffles(got))
+
+
+def test_record_leaves_candidates_at_their_transactions(spark):
+    rows = [("c", "a", "b", "t1"), ("c", "a", "h", "t1"), ("c", "h", "b", None), ("c", "x", "x", "t2"), ("d", "a", "h", "t1")]
+    candidates = spark.createDataFrame(rows, "chain_id string, address_a string, address_b string, source_txid string")
+    addresses = spark.createDataFrame([("c", "h", True), ("c", "a", False)], "chain_id string, address string, is_hub boolean")
+    accepted, rejected = ev.record(candidates, addresses)
+    assert sorted(map(tuple, accepted.collect())) == [("c", "a", "b", "t1"), ("d", "a", "h", "t1")]
+    assert len(rejected.collect()) == 3
+    assert not any("address_a" in keys or "address_b" in keys for keys in shuffles(accepted))
