@@ -27,8 +27,9 @@ def combined_pairs(evidence: DataFrame) -> DataFrame:
     places allow 1,001, and the counts are folded in order: a pair of any number of sources is a short list, and the
     result is the same in every run."""
     source = F.coalesce("source_txid", F.concat(F.lit("op:"), F.col("op_id")))
-    by_source = evidence.groupBy("chain_id", F.least("address_a", "address_b").alias("a"), F.greatest("address_a", "address_b").alias("b"), source.alias("source"))
-    by_source = by_source.agg(F.max(F.col("confidence").cast("double")).alias("c"), F.min("op_id").alias("first"))
+    rows = evidence.select("chain_id", F.least("address_a", "address_b").alias("a"), F.greatest("address_a", "address_b").alias("b"), source.alias("source"), F.col("confidence").cast("double").alias("c"), "op_id")
+    # rows go to their pair once, where all that follows finds them
+    by_source = rows.repartition("a", "b").groupBy("chain_id", "a", "b", "source").agg(F.max("c").alias("c"), F.min("op_id").alias("first"))
     counted = by_source.groupBy("chain_id", "a", "b", "c").agg(F.count("*").alias("n"), F.min("first").alias("first"))
     left = F.aggregate(F.array_sort(F.collect_list(F.struct("c", "n"))), F.lit(1.0), lambda p, s: p * F.pow(1 - s["c"], s["n"]))
     return counted.groupBy("chain_id", "a", "b").agg((1 - left).alias("confidence"), F.min("first").alias("first_order"))

@@ -3,7 +3,7 @@
 import re
 
 from ledgerloom.operators import evidence as ev
-from ledgerloom.operators import history
+from ledgerloom.operators import history, replay
 from ledgerloom.operators import tx as T
 from ledgerloom.sources import derived
 
@@ -38,3 +38,11 @@ def test_record_leaves_candidates_at_their_transactions(spark):
     assert sorted(map(tuple, accepted.collect())) == [("c", "a", "b", "t1"), ("d", "a", "h", "t1")]
     assert len(rejected.collect()) == 3
     assert not any("address_a" in keys or "address_b" in keys for keys in shuffles(accepted))
+
+
+def test_pairs_are_combined_where_they_are(spark):
+    rows = [("c", 1, "a", "b", "t1", 0.5), ("c", 2, "b", "a", "t2", 0.5), ("c", 3, "a", "b", "t2", 0.2)]
+    evidence = spark.createDataFrame(rows, "chain_id string, op_id long, address_a string, address_b string, source_txid string, confidence double")
+    pairs = replay.combined_pairs(evidence)
+    assert len(shuffles(pairs)) == 1
+    assert [tuple(r) for r in pairs.collect()] == [("c", "a", "b", 0.75, 1)]
