@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amount as A
-from ledgerloom.operators.tx import TX, received_entries, spent_addresses
+from ledgerloom.operators.tx import TX, received_entries, spent_addresses, tx_addresses
 
 
 def _members(deltas: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def degrees(deltas: DataFrame, of: DataFrame | None = None) -> DataFrame:
     plain = lambda a: F.replace(F.replace(a, F.lit(escape), F.lit(escape + "0")), F.lit(separator), F.lit(escape + "1"))
     # by pos, where there is one, members come from the shuffle that other features of transactions share
     at = ["pos", "address"] if "pos" in deltas.columns else ["address"]
-    members = deltas.where("address is not null").groupBy(*TX, "address").agg(*[F.min(c).alias(c) for c in at[:-1]])
+    members = tx_addresses(deltas) if "pos" in deltas.columns else _members(deltas)
+    members = members.where("address is not null")
     groups = members.groupBy(*TX).agg(F.collect_list(F.struct(*at)).alias("all")).where(F.size("all") > 1)
     groups = groups.select(*TX, F.transform("all", lambda m: m["address"]).alias("all"))
     others = F.array_join(F.transform(F.array_remove("all", F.col("address")), plain), separator)

@@ -30,6 +30,11 @@ def test_degrees_send_an_address_once_a_transaction(spark):
     assert not any("other" in keys for keys in shuffles(got))
 
 
+def test_degrees_share_the_shuffle_of_transactions(spark):
+    rows = derived.balance_delta(spark, SF)
+    assert [k.split("#")[0] for k in shuffles(history.degrees(rows))] == ["address", "txid"]
+
+
 def test_record_leaves_candidates_at_their_transactions(spark):
     rows = [("c", "a", "b", "t1"), ("c", "a", "h", "t1"), ("c", "h", "b", None), ("c", "x", "x", "t2"), ("d", "a", "h", "t1")]
     candidates = spark.createDataFrame(rows, "chain_id string, address_a string, address_b string, source_txid string")
