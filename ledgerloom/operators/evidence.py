@@ -35,7 +35,7 @@ def numbered(candidates: DataFrame, after: int = 0, buckets: int | None = None)
     ranges = candidates.repartitionByRange(*([buckets] if buckets else []), *[F.col(c).asc_nulls_first() for c in ORDER], "address_a", "address_b").sortWithinPartitions(*ORDER, "address_a", "address_b")
     ranges = ranges.withColumn("at", F.monotonically_increasing_id())
     placed = ranges.withColumns({"part": F.shiftright("at", 33), "within": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("at")
-    placed = written(placed, "placed")  # the numbers hold only if no task is run anew with other rows
+    placed = written(placed, "placed", small=True)  # the numbers hold only if no task is run anew with other rows
     sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
     before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))
     return placed.join(F.broadcast(before), "part").withColumn("op_id", F.col("before") + F.col("within") + 1 + after).drop("part", "within", "before")

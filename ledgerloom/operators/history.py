@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import amount as A
@@ -13,25 +16,67 @@ def _members(deltas: DataFrame) -> DataFrame:
     return deltas.select(*TX, "address").distinct()
 
 
-def degrees(deltas: DataFrame, of: DataFrame | None = None) -> DataFrame:
+SEPARATOR, ESCAPE = "\x1f", "\x1b"
+
+
+def _plain(a: Column) -> Column:
+    """Different for different addresses, and without the separator."""
+    return F.replace(F.replace(a, F.lit(ESCAPE), F.lit(ESCAPE + "0")), F.lit(SEPARATOR), F.lit(ESCAPE + "1"))
+
+
+def _up_to(most: int):
+    """mapInArrow function over (chain_id, address, all) sorted by the first two: an address's degree, most at most. Only
+    one address's others are held, and no more than most of them, however many rows it has."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, known = None, set()
+        for batch in batches:
+            out: list[tuple] = []
+            for chain, address, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (chain, address) != key:
+                    if key is not None:
+                        out.append((*key, min(len(known) - 1, most)))  # the address itself is among them
+                    key, known = (chain, address), set()
+                if len(known) <= most:
+                    known.update(members.split(SEPARATOR))
+            if out:
+                yield _degree_rows(out)
+        if key is not None:
+            yield _degree_rows([(*key, min(len(known) - 1, most))])
+
+    return counted
+
+
+def _degree_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["chain_id", "address", "degree"])
+
+
+def degrees(deltas: DataFrame, of: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(chain_id, address, degree): distinct other addresses that share a transaction. of: (chain_id, address) asked for.
 
+    most: for those who need no larger degrees, which are then given as that. Pairs are not made then: an address's rows
+    are read in order, and its others counted until there are that many.
+
     Each address of a transaction is sent once, with the transaction's others in one text, not once for each other; an
     address's pairs meet where all of them are, and are made distinct there before they are counted."""
-    separator, escape = "\x1f", "\x1b"
-    plain = lambda a: F.replace(F.replace(a, F.lit(escape), F.lit(escape + "0")), F.lit(separator), F.lit(escape + "1"))
     # by pos, where there is one, members come from the shuffle that other features of transactions share
     at = ["pos", "address"] if "pos" in deltas.columns else ["address"]
     members = tx_addresses(deltas) if "pos" in deltas.columns else _members(deltas)
     members = members.where("address is not null")
     groups = members.groupBy(*TX).agg(F.collect_list(F.struct(*at)).alias("all")).where(F.size("all") > 1)
     groups = groups.select(*TX, F.transform("all", lambda m: m["address"]).alias("all"))
-    others = F.array_join(F.transform(F.array_remove("all", F.col("address")), plain), separator)
+    if most is not None:
+        rows = groups.select("chain_id", F.array_join(F.transform("all", _plain), SEPARATOR).alias("text"), "all").select("chain_id", F.explode("all").alias("address"), "text")
+        if of is not None:
+            rows = rows.join(of.select("chain_id", "address").distinct(), ["chain_id", "address"], "left_semi")
+        rows = rows.select("chain_id", "address", "text").repartition("chain_id", "address").sortWithinPartitions("chain_id", "address")
+        return rows.mapInArrow(_up_to(most), "chain_id string, address string, degree long")
+    others = F.array_join(F.transform(F.array_remove("all", F.col("address")), _plain), SEPARATOR)
     rows = groups.select("chain_id", "all", F.explode("all").alias("address"))
     if of is not None:
         rows = rows.join(of.select("chain_id", "address").distinct(), ["chain_id", "address"], "left_semi")
     rows = rows.select("chain_id", "address", others.alias("others")).repartition("address")
-    pairs = rows.select("chain_id", "address", F.explode(F.split("others", separator)).alias("other")).distinct()
+    pairs = rows.select("chain_id", "address", F.explode(F.split("others", SEPARATOR)).alias("other")).distinct()
     return pairs.groupBy("chain_id", "address").agg(F.count("*").alias("degree"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -42,8 +43,9 @@ def hub_labels(labels: DataFrame) -> DataFrame:
 def mark_hubs(batch: DataFrame, history: DataFrame, labels: DataFrame, params: Params = Params()) -> DataFrame:
     """(chain_id, address, hub_type, hub_confidence) of the batch's addresses that are hubs: by label, else by degree over the whole history."""
     asked = batch_addresses(batch)
+    most = max(math.ceil(params.hub_degree_saturation), 1)  # from there on the score is 1
     score = hub_score(F.coalesce("degree", F.lit(0)), F.lit(float(params.hub_degree_saturation)))
-    named = asked.join(hub_labels(labels), ["chain_id", "address"], "left").join(degrees(history, None if history is batch else asked), ["chain_id", "address"], "left")
+    named = asked.join(hub_labels(labels), ["chain_id", "address"], "left").join(degrees(history, None if history is batch else asked, most), ["chain_id", "address"], "left")
     by_label = F.col("hub_type").isNotNull()
     return named.withColumn("score", score).where(by_label | (F.col("score") >= params.hub_threshold)).select(
         "chain_id", "address", F.coalesce("hub_type", F.lit("unknown")).alias("hub_type"), F.when(by_label, F.lit(HUB_LABEL_CONFIDENCE)).otherwise(F.col("score")).alias("hub_confidence")

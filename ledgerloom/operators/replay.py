@@ -178,20 +178,20 @@ def replay(evidence: DataFrame, least: float = 0.0, local_edges: int = LOCAL_EDG
     Only active evidence counts. No evidence: no rows. The result doesn't depend on the order of rows.
     """
     rows = usable(evidence, least)
-    pairs = written(combined_pairs(rows), "pairs")
+    pairs = written(combined_pairs(rows), "pairs", small=True)
     names = labelled(pairs)
     seen = first_seen(rows)
     anchor = names.join(seen, ["chain_id", "address"]).groupBy("chain_id", "component").agg(F.min_by("address", "seen").alias("anchor"), F.count("*").alias("size"))
     edges = pairs.join(names.withColumnRenamed("address", "a"), ["chain_id", "a"])
     weight = edges.groupBy("chain_id", "component").agg(F.count("*").alias("n_edges"))
-    anchor = written(anchor.join(weight, ["chain_id", "component"]), "anchors")
+    anchor = written(anchor.join(weight, ["chain_id", "component"]), "anchors", small=True)
     whole = edges.join(anchor, ["chain_id", "component"])
     small = whole.where(F.col("n_edges") <= local_edges).repartition("chain_id", "component").sortWithinPartitions("chain_id", "component", "first_order", "a", "b")
     members = small.select("chain_id", "component", "anchor", "a", "b", "confidence").mapInArrow(_local, _MEMBER)
     if not anchor.where(F.col("n_edges") > local_edges).isEmpty():
         large = whole.where(F.col("n_edges") > local_edges).select("chain_id", "a", "b", "confidence", "first_order")
         members = members.unionByName(_spread(spanning_forest(large), anchor.where(F.col("n_edges") > local_edges)))
-    members = written(members, "members")
+    members = written(members, "members", small=True)
     mean = members.groupBy("chain_id", "component").agg(F.avg("confidence").alias("representative_confidence"))
     return members.join(anchor.join(mean, ["chain_id", "component"]), ["chain_id", "component"]).select(
         "chain_id", "address", cluster_id(F.col("anchor")).alias("cluster_id"), F.col("anchor").alias("anchor_address"), "size", "confidence", "representative_confidence"
