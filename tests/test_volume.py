@@ -1,9 +1,32 @@
 """What queries move and make: nothing twice, nothing that they don't need, and no partition that grows with the tables."""
 
+import pytest
+
 from ledgerloom.operators import history, preprocess
+from ledgerloom.plans import queries
 from ledgerloom.sources import storage
 from tests.helpers import deltas
 
+SF = "/root/testdata/sf0.001"
+
+
+def test_reader_makes_the_registry_once(spark, monkeypatch):
+    made, of = [], queries.registry_of
+    monkeypatch.setattr(queries, "registry_of", lambda *a: made.append(1) or of(*a))
+    reader = queries.reader(spark, SF)
+    assert len(made) == 1
+    assert reader.addresses.where("is_hub").count() == queries.hubs(spark, SF).count()
+
+
+@pytest.mark.parametrize("name", ["j7_not_excluded", "j8_no_hub_touched", "h2_sweep"])
+def test_no_registry_where_none_is_read(spark, monkeypatch, name):
+    def none(*_):
+        raise AssertionError("a registry was made")
+
+    monkeypatch.setattr(queries, "registry_of", none)
+    assert queries.QUERIES[name](spark, SF).count() > 0
+
+
 def test_degrees_up_to_a_number(spark):
     odd = ["a\x1fb", "a\x1b1b", "a", "b", "", "a\x1b0"]  # would run together without an escape
     rows = [(f"t{k}", a, 1) for k in range(3) for a in odd[: k + 2]] + [("t9", "alone", 1), ("t0", None, 1)] + [(f"u{k}", a, 1) for k in range(40) for a in ("big", f"p{k}")]
