@@ -7,6 +7,7 @@ and beyond that ANSI mode raises an error instead of a wrong sum.
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,7 +87,12 @@ def from_limbs(limbs: Column) -> Column:
 def sum_of(c: Column, where: Column | None = None) -> Column:
     """Aggregate: the exact sum of canonical texts, as canonical text; 0 of no rows."""
     part = lambda k: limb(c, k) if where is None else F.when(where, limb(c, k))
-    return from_limbs(F.array(*[F.coalesce(F.sum(part(k)), F.lit(0).cast("long")) for k in range(LIMBS)]))
+    sums = [F.coalesce(F.sum(part(k)), F.lit(0).cast("long")) for k in range(LIMBS)]
+    # what a long holds needs no arrays, which are slow
+    short = (sums[0].between(-(10**18), 10**18)) & (sums[1].between(-BASE, BASE))
+    for s in sums[2:]:
+        short &= s == 0
+    return F.when(short, (sums[1] * F.lit(BASE).cast("long") + sums[0]).cast("string")).otherwise(from_limbs(F.array(*sums)))
 
 
 def at_most(a: Column, b: Column) -> Column:
@@ -112,4 +118,9 @@ def times(c: Column, factor: int) -> Column:
 def ratio_at_least(part: Column, whole: Column, threshold: float) -> Column:
     """part / whole >= threshold for positive amounts, compared with the double's exact value: 900/1000 is under 0.9."""
     num, den = float(threshold).as_integer_ratio()
-    return times(part, den) >= times(whole, num)
+    exact = times(part, den) >= times(whole, num)
+    if not (0 <= num < 10**17 and den < 10**17):
+        return exact
+    # decimals hold the products of up to 18 digits, and are much faster than arrays
+    product = lambda c, factor: c.try_cast("decimal(18,0)") * F.lit(Decimal(factor)).cast("decimal(17,0)")
+    return F.when((F.length(part) <= 18) & (F.length(whole) <= 18), product(part, den) >= product(whole, num)).otherwise(exact)

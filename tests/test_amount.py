@@ -41,3 +41,17 @@ def test_uint256(spark):
     values = [0, 1, 255, 2**64, 2**128 + 7, 2**256 - 1, 123456789012345678901234567890]
     df = spark.createDataFrame([(i, f"0x{v:064x}") for i, v in enumerate(values)], "i int, h string")
     assert [r.v for r in df.orderBy("i").select(uint256(F.col("h")).alias("v")).collect()] == [str(v) for v in values]
+
+
+def test_short_amounts_as_long_ones(spark):
+    """Sums and ratios at the ends of what longs and decimals hold; arrays are left out where those are enough."""
+    sums = [[10**18, 10**18], [-(10**18), 1 - 10**18], [10**18 - 1], [999_999_999] * 3, [-1, 1], [10**9, -(10**9) - 1], [10**17, -(10**18)], [5 * 10**26, -1], [-(10**27), 10**27], [A.BASE**8, 7]]
+    rows = spark.createDataFrame([(k, str(v)) for k, vs in enumerate(sums) for v in vs], "k int, v string")
+    assert {r.k: int(r.s) for r in rows.groupBy("k").agg(A.sum_of(F.col("v")).alias("s")).collect()} == {k: sum(vs) for k, vs in enumerate(sums)}
+    assert {r.s for r in rows.where("k in (4, 8)").groupBy("k").agg(A.sum_of(F.col("v")).alias("s")).collect()} == {"0"}
+    pairs = [(9, 10), (8, 10), (10**18 - 1, 10**18 - 1), (9 * 10**17, 10**18), (9 * 10**17 + 1, 10**18), (10**18 - 1, 10**18), (10**30, 10**30), (1, 10**18 - 1), (899999999999999999, 999999999999999999), (900000000000000000, 999999999999999999)]
+    for t in (0.9, 0.5, 1.0, 0.0):
+        df = spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "a string, b string").select("*", A.ratio_at_least(F.col("a"), F.col("b"), t).alias("r"))
+        assert [r.r for r in df.collect()] == [Fraction(a, b) >= Fraction(t) for a, b in pairs]
+    plan = rows.groupBy("k").agg(A.sum_of(F.col("v")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= -1000000000)" in plan and "decimal(18,0)" in df._jdf.queryExecution().optimizedPlan().toString()
