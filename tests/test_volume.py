@@ -2,10 +2,11 @@
 
 import pytest
 
-from ledgerloom.operators import history, preprocess
+from ledgerloom.operators import history, preprocess, reorg
+from ledgerloom.operators.evidence import folded
 from ledgerloom.plans import queries
 from ledgerloom.sources import storage
-from tests.helpers import deltas
+from tests.helpers import NOW, deltas, evidence
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +61,21 @@ def test_partitions_grow_with_the_table(spark, monkeypatch, tmp_path):
     with storage.small_partitions(spark, spark.createDataFrame([(1,)], "a int")):
         assert spark.conf.get(key) == before
     assert storage.written(df, "t", small=True).count() == 20_000
+
+
+def test_registry_has_the_dust_flags(spark, monkeypatch):
+    flags = lambda df: {(r.address, r.dust_flag) for r in df.collect()}
+    registry = queries.registry_of(spark, SF)
+    assert flags(registry) == flags(queries.QUERIES["k7_dust_flags"](spark, SF))
+    assert {f for _, f in flags(registry)} == {True, False}
+    monkeypatch.setattr(queries.T, "dust_inflows", lambda *_: 1 / 0)  # another pass over the movements
+    assert queries.context(spark, SF).excluded.count() > 0
+
+
+def test_rolled_back_as_by_events(spark):
+    rows = evidence(spark, (1, "a", "b", 0.9, "t1", "active", "x"), (2, "a", "c", 0.5, None, "active", "y"), (3, "b", "c", 0.5, "t3", "invalidated", "x"), (4, "c", "d", 0.5, "t4", "active", None))
+    gone = spark.createDataFrame([("bitcoin", "x"), ("bitcoin", "x"), ("other", "y"), ("bitcoin", None)], "chain_id string, block_hash string")
+    events, _ = reorg.on_reorg(rows, gone, NOW)
+    want = sorted(map(str, folded(rows, events).collect()))
+    assert sorted(map(str, reorg.rolled_back(rows, gone).collect())) == want
+    assert sum("reorg" in w for w in want) == 1
