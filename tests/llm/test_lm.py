@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -146,3 +147,21 @@ def test_odd_rows(spark):
     none = score_documents(df, F.lit(True)).collect()
     assert {(r.train_tokens, r.n_known) for r in none} == {(0, 0)} and {r.base_score for r in none} == {0.0}
     assert score_documents(df.limit(0), F.lit(False)).count() == 0
+
+
+def test_a_window_reuses_memory_and_projects_each_word_once():
+    """Of a later window's work, what is allocated anew is little of what its states, logits and gradients take."""
+    m, rng = gru.Model(8192, 32), np.random.default_rng(5)
+    tokens = np.minimum(rng.zipf(1.3, (gru.WINDOW, 128)), 8223)
+    follows, weight, h = np.ones(tokens.shape, np.float32), np.ones(tokens.shape, np.float32), np.zeros((128, m.units), np.float32)
+    follows[5, ::7] = 0
+    grad, last, _ = m.gradient(tokens, follows, weight, h)
+    rows = grad["e"][0]
+    assert sorted(rows.tolist()) == sorted(set(tokens.ravel().tolist()))
+    plain = m.run(tokens, follows, h)[1]
+    assert np.allclose(last, plain, atol=1e-6)
+    tracemalloc.start()
+    m.gradient(tokens, follows, weight, h)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * tokens.size * m.units * 4  # four times the window's states
