@@ -222,6 +222,12 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([seen], pa.int64()), pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())], names=["bucket", "seen", "flat"])
 
 
+def dealt(part: DataFrame, turn: int, buckets: int) -> DataFrame:
+    """(bucket, lot, tokens) of documents (lot, tokens), sorted; each bucket is a partition, and none has two."""
+    bucket = F.pmod(F.xxhash64("lot", F.lit(turn)), F.lit(buckets))
+    return part.select(bucket.alias("bucket"), "lot", "tokens").repartitionById(buckets, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "lot", "tokens")
+
+
 def train(coded: DataFrame, head: Head) -> np.ndarray:
     """The recurrent model's parameters, from all documents (lot, tokens): buckets of documents by a hash of their lots, as
     many as there are tokens for, each give a model, and these are averaged; first over one document of FIRST, then
@@ -236,8 +242,7 @@ def train(coded: DataFrame, head: Head) -> np.ndarray:
     kinds = "bucket long, seen long, flat binary"
     for turn, (part, size) in enumerate(zip((coded.where(first), coded.where(~first)), LEARNED, strict=True)):
         buckets = max(1, -(-(part.agg(F.sum("n_tokens")).first()[0] or 0) // size))
-        dealt = part.select(F.pmod(F.xxhash64("lot", F.lit(turn)), F.lit(buckets)).alias("bucket"), "lot", "tokens").repartition(buckets, "bucket").sortWithinPartitions("bucket", "lot", "tokens")
-        models = dealt.select("bucket", "tokens").mapInArrow(tidy(_trained(head.known, flat, RATES[turn])), kinds)
+        models = dealt(part, turn, buckets).select("bucket", "tokens").mapInArrow(tidy(_trained(head.known, flat, RATES[turn])), kinds)
         meetings = -(-buckets // 16)
         while meetings > MEETINGS:  # however many models there are, a task averages a few of them
             models, meetings = models.repartition(meetings, "bucket").sortWithinPartitions("bucket").mapInArrow(_averaged, kinds), -(-meetings // 16)

@@ -165,3 +165,10 @@ def test_a_window_reuses_memory_and_projects_each_word_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4 * tokens.size * m.units * 4  # four times the window's states
+
+
+def test_each_bucket_is_learned_in_a_task_of_its_own(spark):
+    docs = spark.range(3000).select(F.xxhash64("id").alias("lot"), F.lit(b"ab").alias("tokens"))
+    rows = lm.dealt(docs, 1, 40).groupBy(F.spark_partition_id().alias("task"), "bucket").count().collect()
+    assert sorted(r.bucket for r in rows) == list(range(40)) and len({r.task for r in rows}) == 40
+    assert sum(r["count"] for r in rows) == 3000
