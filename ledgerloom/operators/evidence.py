@@ -89,6 +89,7 @@ def by_pair(evidence: DataFrame, chain_id: str, a: str, b: str) -> DataFrame:
 
 def by_addresses(evidence: DataFrame, addresses: DataFrame) -> DataFrame:
     """Evidence with an end among (chain_id, address), each row once, in order."""
-    ends = evidence.select("chain_id", "op_id", F.explode(F.array("address_a", "address_b")).alias("address"))
-    ops = ends.join(addresses.select("chain_id", "address").distinct(), ["chain_id", "address"], "left_semi").select("chain_id", "op_id").distinct()
-    return evidence.join(ops, ["chain_id", "op_id"], "left_semi").orderBy("chain_id", "op_id")
+    # a row goes to both its ends with what is asked of it, so that those found needn't meet the whole log again
+    ends = evidence.withColumn("address", F.explode(F.array_distinct(F.array("address_a", "address_b"))))
+    found = ends.join(addresses.select("chain_id", "address"), ["chain_id", "address"], "left_semi")
+    return found.dropDuplicates(["chain_id", "op_id"]).select(evidence.columns).orderBy("chain_id", "op_id")

@@ -70,6 +70,14 @@ def test_candidates_that_are_judged(spark):
         assert not any("source" in k for k in shuffles(judged[0]))
 
 
+def test_evidence_of_addresses_meets_the_log_once(spark):
+    rows = evidence(spark, (1, "a", "b", 0.9, "t1"), (2, "b", "c", 0.9, "t2"), (3, "c", "d", 0.9, "t3", "invalidated"), (4, "x", "x", 0.9, "t4"))
+    asked = spark.createDataFrame([("bitcoin", a) for a in ("a", "b", "d", "d", "x", "none")] + [("other", "c")], "chain_id string, address string")
+    found = ev.by_addresses(rows, asked)
+    assert [r.op_id for r in found.collect()] == [1, 2, 3, 4] and found.columns == rows.columns
+    assert len(found._jdf.queryExecution().optimizedPlan().collectLeaves().toString().split("LogicalRDD")) <= 3
+
+
 def test_short_names_are_whole_again(spark):
     names = ["", "a", "ab", "abc", "AB", "00", "ä", "0" * 64, "\x01ab", None, "ab\n"]
     df = spark.createDataFrame([(n,) for n in names], "n string")
