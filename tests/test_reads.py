@@ -1,5 +1,7 @@
 """What reads over rebuilt clusters make and send, and that odd names and heights come through it."""
 
+import pytest
+
 from ledgerloom import schemas
 from ledgerloom.functions.names import short, whole
 from ledgerloom.operators import evidence as ev
@@ -14,6 +16,16 @@ SF = "/root/testdata/sf0.001"
 LABELS = "label_id long, target_type string, chain_id string, target_address string, category string, status string"
 
 
+@pytest.mark.parametrize("name", ["q2_members_page_at_threshold"])
+def test_names_at_a_threshold_take_no_replay(spark, monkeypatch, name):
+    def none(*_, **__):
+        raise AssertionError("a replay was made")
+
+    monkeypatch.setattr(api, "replay", none)
+    monkeypatch.setattr(replay, "replay", none)
+    assert queries.QUERIES[name](spark, SF).count() > 0
+
+
 def test_clusters_without_confidences(spark):
     rows = evidence(spark, (1, "a", "b", 0.9, "t1"), (2, "y", "x", 0.5, "t2"), (3, "b", "c", 0.4, None), (4, "c", "d", 0.9, "t3", "invalidated"), (5, "q", "q", 0.9, "t4"))
     for least in (0.0, 0.5, 0.95):
