@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 LABELS = "label_id long, target_type string, chain_id string, target_address string, category string, status string"
 
 
-@pytest.mark.parametrize("name", ["q2_members_page_at_threshold"])
+@pytest.mark.parametrize("name", ["q1_clusters_at_threshold", "q2_members_page_at_threshold"])
 def test_names_at_a_threshold_take_no_replay(spark, monkeypatch, name):
     def none(*_, **__):
         raise AssertionError("a replay was made")
